@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import media, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_shard": sharding.op9_shard}
+    return {
+        "op2_media": media.op2_media,
+        "op7_warc": warc.op7_warc,
+        "op9_shard": sharding.op9_shard,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_warc": warc.OP7_SQL}
