@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, sharding, warc
+from . import media, mixing, rules, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mix": mixing.op1_mix,
         "op2_media": media.op2_media,
         "op7_warc": warc.op7_warc,
         "op9_shard": sharding.op9_shard,
+        "op10_rules": rules.op10_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": warc.OP7_SQL}
+    return {"op7_warc": warc.OP7_SQL, "op10_rules": rules.OP10_SQL}
