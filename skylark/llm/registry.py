@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, rules, sharding, warc
+from . import media, mixing, packing, rules, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mix": mixing.op1_mix,
         "op2_media": media.op2_media,
         "op7_warc": warc.op7_warc,
+        "op8_packing": packing.op8_packing,
         "op9_shard": sharding.op9_shard,
         "op10_rules": rules.op10_rules,
     }
