@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, media, mixing, packing, rules, sharding, warc
+from . import html_text, media, mixing, packing, quality, rules, sharding, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mix": mixing.op1_mix,
         "op2_media": media.op2_media,
         "op3_html": html_text.op3_html,
+        "op4_toxicity": toxicity.op4_toxicity,
+        "op5_quality": quality.op5_quality,
         "op7_warc": warc.op7_warc,
         "op8_packing": packing.op8_packing,
         "op9_shard": sharding.op9_shard,
