@@ -76,6 +76,7 @@ def word_count(text: Column) -> Column:
 
 _RNG = np.random.default_rng(20240229)
 _COEF = _RNG.integers(1, 2**63, size=256, dtype=np.uint64) | np.uint64(1)
+_STEPS = np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -132,7 +133,7 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     n = min(n, k)
     h = np.zeros(k - n + 1, np.uint64)
     for i in range(n):
-        h += mix(words[i : k - n + 1 + i] + np.uint64(i + 1) * _STEP) * _COEF[i]
+        h += mix(words[i : k - n + 1 + i] + _STEPS[i]) * _COEF[i]
     return mix(h + np.uint64(n))
 
 

@@ -21,30 +21,46 @@ from pyspark.sql import functions as F
 from .common import BLANKS, HAS_WORD, WORD, materialise
 
 WINDOW = 8
-#: Words in windows of 8 that occur twice or more; w holds the words, h the hashes of the windows.
-_REPEATED = f"""
-CASE WHEN size(h) = size(array_distinct(h)) THEN 0L ELSE
-  transform(array(sort_array(transform(h, (x, i) -> named_struct('x', x, 'i', i)))), s ->
-    transform(array(sort_array(transform(filter(s, (e, i) -> e.x <=> get(s, i - 1).x OR e.x <=> get(s, i + 1).x), e -> e.i))), p ->
-      aggregate(transform(p, (at, i) -> least({WINDOW}, coalesce(get(p, i + 1) - at, {WINDOW}))), 0L, (a, n) -> a + n))[0])[0]
-END
-"""
 
 
-def base_counts(rows: DataFrame, text: str, out: list[str]) -> DataFrame:
-    """rows with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; columns `out` stay."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    words = rows.select(
-        *out, F.regexp_extract_all(t, F.lit(WORD), F.lit(0)).alias("w"),
-        F.filter(F.split(t, "\n"), lambda x: x.rlike(HAS_WORD)).alias("lines"),
-    )
-    joined = words.withColumn("j", F.array_join("w", "")).withColumn("h", F.expr(f"CASE WHEN size(w) < {WINDOW} THEN array() ELSE transform(sequence(1, size(w) - {WINDOW - 1}), i -> xxhash64(slice(w, i, {WINDOW}))) END"))
-    counts = joined.select(
-        *out, F.size("w").cast("long").alias("n_words"), F.char_length("j").cast("long").alias("word_chars"),
-        (F.char_length("j") - F.char_length(F.regexp_replace("j", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.expr(_REPEATED).cast("long").alias("n_repeat_words"),
-    )
-    return counts.withColumn("base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words"))
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once, also where the optimiser moves or repeats the expression."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _repeated(h: Column) -> Column:
+    """Words covered by windows that occur twice or more; h holds the hashes of the windows in order."""
+    at = lambda s, i: F.get(s, i)["x"]
+
+    def covered(p: Column) -> Column:
+        steps = F.transform(p, lambda here, i: F.least(F.lit(WINDOW), F.coalesce(F.get(p, i + 1) - here, F.lit(WINDOW))))
+        return F.aggregate(steps, F.lit(0), lambda a, n: a + n)
+
+    def places(s: Column) -> Column:
+        again = F.filter(s, lambda e, i: e["x"].eqNullSafe(at(s, i - 1)) | e["x"].eqNullSafe(at(s, i + 1)))
+        return _let(F.sort_array(F.transform(again, lambda e: e["i"])), covered)
+
+    ranked = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    return F.when(F.size(h) == F.size(F.array_distinct(h)), F.lit(0)).otherwise(_let(ranked, places))
+
+
+def base_counts(text: Column) -> Column:
+    """A struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    t = F.coalesce(text, F.lit(""))
+
+    def counted(w: Column) -> Column:
+        windows = F.when(F.size(w) < WINDOW, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW))))
+        return F.struct(F.size(w).cast("long").alias("n"), F.array_join(w, "").alias("j"), _let(windows, _repeated).cast("long").alias("r"))
+
+    def named(c: Column) -> Column:
+        return F.struct(
+            c["n"].alias("n_words"), F.char_length(c["j"]).cast("long").alias("word_chars"),
+            (F.char_length(c["j"]) - F.char_length(F.regexp_replace(c["j"], r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
+            _let(F.filter(F.split(t, "\n"), lambda x: x.rlike(HAS_WORD)), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            c["r"].alias("n_repeat_words"), ((c["n"] < 20) | (c["r"] * 100 > c["n"] * 30)).alias("base_failed"),
+        )
+
+    return _let(_let(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), counted), named)
 
 
 def _host(source: Column) -> Column:
@@ -77,16 +93,16 @@ def depleted(docs: DataFrame, line_limit: int = 10, left_percent: int = 30, sour
 
 def judge(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", line_limit: int = 10, left_percent: int = 30) -> DataFrame:
     """The base counts and the verdict of every row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _host(F.col(source_col)).alias("host"), F.col(text_col).cast("string").alias("text"))
-    counts = base_counts(rows.withColumn("text_key", _key(F.col("text"))), "text", ["doc_id", "host", "text_key"])
+    text = F.col(text_col).cast("string")
+    counts = docs.select(F.col(id_col).cast("long").alias("doc_id"), _host(F.col(source_col)).alias("host"), _key(text).alias("text_key"), base_counts(text).alias("c")).select("doc_id", "host", "text_key", "c.*")
     gone = depleted(docs, line_limit, left_percent, source_col, text_col).withColumn("gone", F.lit(True))
     return counts.join(gone, ["host", "text_key"], "left").withColumn("kept", ~F.col("base_failed") & F.col("gone").isNull()).drop("host", "text_key", "gone")
 
 
 def keep_documents(docs: DataFrame, line_limit: int = 10, left_percent: int = 30) -> DataFrame:
     """The rows that pass, with all their columns."""
-    rows = docs.select(F.struct("*").alias("doc"), _host(F.col("source")).alias("host"), _key(F.col("text")).alias("text_key"), F.col("text").cast("string").alias("text"))
-    passed = base_counts(rows, "text", ["doc", "host", "text_key"]).where("NOT base_failed").select("doc", "host", "text_key")
+    text = F.col("text").cast("string")
+    passed = docs.where(~base_counts(text)["base_failed"]).select(F.struct("*").alias("doc"), _host(F.col("source")).alias("host"), _key(text).alias("text_key"))
     return passed.join(depleted(docs, line_limit, left_percent), ["host", "text_key"], "left_anti").select("doc.*")
 
 
