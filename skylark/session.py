@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -29,6 +30,23 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; it goes when the driver ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    path = f"{base.rstrip('/')}/work-{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the gateway may have gone first
+        return
+
+
 def session(name: str = "skylark", **conf: str) -> SparkSession:
     """A session with the settings that the engine expects; those of the cluster stay."""
     b = SparkSession.builder.appName(name)
