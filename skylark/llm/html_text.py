@@ -13,7 +13,7 @@ are joined by one blank; inline tags join what they divide.
 Defined results: a null or empty page, or one without words, gives an empty text; an element that is
 never closed loses its tag only; a raw element (script, style) that is never closed reaches to the end;
 null ids and repeated rows are pages like others; an empty table gives an empty result; other columns
-are ignored. If no page marks an article, uniform weights are used: +1 a word, -3 a tag.
+are ignored. If no page marks an article, the weights of PLAIN are used.
 """
 
 from __future__ import annotations
@@ -45,6 +45,10 @@ _NAMES = re.compile(
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu"}
 
 
+#: Scores where there is nothing to learn from: links and list items cost more than paragraphs.
+PLAIN = {" ": 1.0} | {f"{end}{t}": s for end in ("", "/") for s, names in ((-0.1, _INLINE - {"a"}), (-0.2, {"p", "br", "h1", "h2", "h3", "h4", "blockquote", "pre", "article", "main", "section", "div"}), (-1.5, {"a", "li", "ul", "ol", "td", "tr"})) for t in names} | {f"-{t}": -0.2 for t in ("div", "p", "aside", "form", "section")}
+
+
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)} if raw else {}
 
@@ -158,7 +162,8 @@ def extract(page: str | None, score: dict[str, float]) -> str:
     if not page:
         return ""
     toks = tokens(page)
-    word, unknown = (score[" "], -0.5) if score else (1.0, -3.0)
+    score, unknown = (score, -0.5) if score else (PLAIN, -3.0)
+    word = score[" "]
     best, run, begin, span = 0.0, 0.0, 0, (0, 0)
     for i, (f, text) in enumerate(toks):
         if f is None:

@@ -162,7 +162,9 @@ class MediaReader(DataSourceReader):
             ByteRange(p, at, min(n, at + self.range_bytes)) for p, n in listed(self.path, (".zip",)) for at in range(0, n, self.range_bytes)
         ]
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's one partition where partitions() has none
+            return
         s, _ = store(self.path)
         rows, held = [], 0
         f = s.open_input_file(partition.path)

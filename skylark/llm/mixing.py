@@ -93,7 +93,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0,
     rows = (
         units.join(sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
         .withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-        .select("doc_id", "nth", "source", "size", "source_size", "target", "rows", F.floor(share).cast("int").alias("base"), (share - F.floor(share)).alias("q"))
+        .select("doc_id", "nth", "source", "size", "source_size", "target", "rows", F.when(F.col("size") > 0, F.floor(share)).otherwise(0).cast("int").alias("base"), (share - F.floor(share)).alias("q"))
     )
     attributes = ["source", "source_size", "target", "rows", "base"]
     open_ = (F.col("q") > 0) & (F.col("size") > 0)

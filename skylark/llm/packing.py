@@ -123,7 +123,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
 
 
 def pack_lengths(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
-    """(times, lengths) of the bins that hold counts[n] pieces of each length n."""
+    """(times, lengths) of the bins that hold counts[n] pieces of each length n.
+
+    Best-two-fit can need a bin more than greedy filling alone (first fit decreasing); the better one counts."""
+    return min((_fill(counts, capacity, two) for two in (True, False)), key=lambda bins: sum(t for t, _ in bins))
+
+
+def _fill(counts: dict[int, int], capacity: int, two: bool) -> list[tuple[int, list[int]]]:
     have = np.zeros(capacity + 1, np.int64)
     for n, c in counts.items():
         have[n] = c
@@ -144,7 +150,7 @@ def pack_lengths(counts: dict[int, int], capacity: int) -> list[tuple[int, list[
             items += [n] * k
             used[n] += k
             gap -= n * k
-        if gap and len(items) > 1:
+        if two and gap and len(items) > 1:
             n = items[-1]
             room = gap + n
             left = have - used  # the replaced piece itself is not one of the two

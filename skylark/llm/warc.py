@@ -142,7 +142,9 @@ class WarcReader(DataSourceReader):
     def partitions(self):
         return [WarcFile(p, n) for p, n in listed(self.path, _SUFFIX)]
 
-    def read(self, partition: WarcFile) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: WarcFile | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's one partition where partitions() has none
+            return
         s, _ = store(self.path)
         rows, held = [], 0
         with s.open_input_file(partition.path) as f:
