@@ -163,3 +163,9 @@ def snippet(text: Column, words: int, around: Column, ellipsis: str = "…") ->
     first = F.greatest(F.lit(1), F.when(at == 0, 1).otherwise(at))
     cut = F.array_join(F.slice(all_, first, words), " ")
     return F.concat(F.when(first > 1, ellipsis).otherwise(""), cut, F.when(F.size(all_) >= first + words, ellipsis).otherwise(""))
+
+
+def dictionary_filter(rows: DataFrame, entries: DataFrame, language: str, column: str = "tokens") -> DataFrame:
+    """rows without the enabled stop words of a dictionary table (language, word, state)."""
+    words = entries.where((F.col("language") == language) & (F.col("state") == "enabled")).agg(F.collect_set(F.lower("word")).alias("stop"))
+    return rows.join(F.broadcast(words)).withColumn(column, F.filter(column, lambda t: ~F.array_contains(F.col("stop"), F.lower(t)))).drop("stop")

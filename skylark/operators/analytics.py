@@ -231,3 +231,8 @@ def ingest(batch: DataFrame, now_ms: int, most: int = 1000) -> tuple[DataFrame,
     n = F.count(F.lit(1))
     verdict = checked.agg(n.alias("received"), F.count_if(F.col("error").isNull()).alias("accepted"), ((n <= most) & ((n == 0) | (F.count_if(F.col("error").isNull()) > 0))).alias("ok"))
     return checked.where("error IS NULL").drop("error"), verdict
+
+
+def new_query_id(*parts: Column) -> Column:
+    """A query id of 32 hexadecimal digits that the same request always gets."""
+    return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))

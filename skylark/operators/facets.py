@@ -91,3 +91,8 @@ def order_values(counted: DataFrame, first: Sequence[str], rest: str = "count",
         shown = shown.where(place > 0)
     keys = [F.when(place == 0, 1 << 30).otherwise(place), *([F.desc("count")] if rest == "count" else []), F.col("value")]
     return shown.withColumn("rank", F.row_number().over(Window.partitionBy("facet").orderBy(*keys)))
+
+
+def zero_filled(every: DataFrame, counted: DataFrame) -> DataFrame:
+    """All facet values with their count among the hits, 0 where there is none."""
+    return every.select("facet", "value").join(counted, ["facet", "value"], "left").select("facet", "value", F.coalesce("count", F.lit(0)).alias("count"))

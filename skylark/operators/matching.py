@@ -173,3 +173,48 @@ def cosine_neighbours(vectors: DataFrame, queries: DataFrame, k: int, id_col: st
 
 def weights_table(spark, searchable: Sequence[str], override=None) -> DataFrame:
     return spark.createDataFrame([(a, i, w) for i, (a, w) in enumerate(attribute_weights(searchable, override).items())], "attribute string, attr_rank int, weight double")
+
+
+def text_leaves(schema: T.StructType, skip: Sequence[str] = ()) -> list[tuple[str, Column]]:
+    """(dotted path, text) of all strings of nested documents; the texts of an array are joined by blanks."""
+    out: list[tuple[str, Column]] = []
+
+    def walk(kind: T.DataType, path: str, get) -> None:
+        if isinstance(kind, T.StringType):
+            out.append((path, get))
+        elif isinstance(kind, T.StructType):
+            for f in kind.fields:
+                walk(f.dataType, f"{path}.{f.name}", get[f.name])
+        elif isinstance(kind, T.ArrayType):
+            probe: list[tuple[str, list[str]]] = []
+
+            def names(k: T.DataType, at: list[str]) -> None:
+                if isinstance(k, T.StringType):
+                    probe.append((".".join([path, *at]), at))
+                elif isinstance(k, T.StructType):
+                    for f in k.fields:
+                        names(f.dataType, [*at, f.name])
+
+            names(kind.elementType, [])
+            for p, at in probe:
+                out.append((p, F.array_join(F.transform(get, _member(at)), " ")))
+
+    for f in schema.fields:
+        if f.name not in skip:
+            walk(f.dataType, f.name, F.col(f"`{f.name}`"))
+    return out
+
+
+def _member(at: list[str]):
+    def get(x: Column) -> Column:
+        for name in at:
+            x = x[name]
+        return x
+
+    return get
+
+
+def nested_texts(docs: DataFrame, id_col: str = "object_id") -> DataFrame:
+    """object_id, path and text of every text of nested documents, for postings by path."""
+    leaves = [F.struct(F.lit(p).alias("path"), c.alias("text")) for p, c in text_leaves(docs.schema, [id_col])]
+    return docs.select(F.col(id_col).alias("object_id"), F.explode(F.array(*leaves)).alias("t")).select("object_id", "t.*").where("text IS NOT NULL")

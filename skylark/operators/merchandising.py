@@ -47,3 +47,16 @@ def replace_words(text: Column, edits: list[tuple[str, str | None]]) -> Column:
 
 def search_rules(rules: DataFrame, text: str) -> DataFrame:
     return rules.where(F.contains(F.lower(F.concat_ws(" ", "id", "pattern", "query")), F.lit(text.lower())))
+
+
+def search_synonyms(synonyms: DataFrame, text: str, kind: str | None = None) -> DataFrame:
+    """Synonym rows with a word that has the text in it, of one type if given."""
+    hit = synonyms.where(F.exists("words", lambda w: F.contains(F.lower(w), F.lit(text.lower()))) | F.contains(F.lower("input"), F.lit(text.lower())))
+    return hit.where(F.col("type") == kind) if kind else hit
+
+
+def automatic_filters(queries: DataFrame, counted: DataFrame, allowed: list[str]) -> DataFrame:
+    """query_id, facet, value where a query has a facet's value as a word; counted is of facets.counts."""
+    words = queries.select("query_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w"))
+    values = counted.where(F.col("facet").isin(allowed)).select("facet", "value", F.lower("value").alias("w"))
+    return words.join(values, "w").select("query_id", "facet", "value")

@@ -55,8 +55,10 @@ def pin_slots(pins: Sequence[tuple[object, int]], natural: int) -> list[tuple[ob
     return out
 
 
-def pin(docs: DataFrame, hits: DataFrame, pins: Sequence[tuple[object, int]], hidden: Sequence, keys: Sequence[Column], id_col: str = "object_id") -> DataFrame:
-    """hits in order, with pinned rows (also of docs outside hits) at their positions; slot counts from 0.
+def pin(docs: DataFrame, hits: DataFrame, pins: Sequence[tuple[object, int]], hidden: Sequence, keys: Sequence[Column], id_col: str = "object_id", limit: int = 1000) -> DataFrame:
+    """The first `limit` hits in order, with pinned rows (also of docs outside hits) at their positions; slot
+    counts from 0. Only `limit` rows are numbered, of which a task keeps no more. Pass docs that fit the
+    filters for pins that must fit them.
 
     Pins override hides. Natural rows fill the other slots in order: their slot is their rank plus the
     pins at or before it, a sum over the few pins, not a loop over rows."""
@@ -65,9 +67,11 @@ def pin(docs: DataFrame, hits: DataFrame, pins: Sequence[tuple[object, int]], hi
     rest = hide(hits.where(~F.col(id_col).isin(ids)) if ids else hits, [h for h in hidden if h not in found], id_col)
     slots = pin_slots([(i, t) for i, t in pins if i in found], rest.count())
     slot = (F.row_number().over(Window.orderBy(*keys, F.col(id_col))) - 1).cast("long")
-    natural = rest.select(id_col, slot.alias("slot"))
+    natural = rest.orderBy(*keys, F.col(id_col)).limit(limit).select(id_col, slot.alias("slot"))
     for _, s in sorted(slots, key=lambda x: x[1]):
         natural = natural.withColumn("slot", F.when(F.col("slot") >= s, F.col("slot") + 1).otherwise(F.col("slot")))
+    natural = natural.where(F.col("slot") < limit)
+    slots = [(i, x) for i, x in slots if x < limit]
     if not slots:
         return natural.withColumn("pinned", F.lit(False))
     kind = hits.schema[id_col].dataType.simpleString()
@@ -80,3 +84,10 @@ def ranking_info(hits: DataFrame, custom: Sequence[str] = ()) -> list[Column]:
     have = set(hits.columns)
     order = [("typos", True), ("geo", True), ("words", False), ("filters", False), ("proximity", True), ("attribute", True), ("exact", False)]
     return [F.col(c).asc() if up else F.col(c).desc() for c, up in order if c in have] + order_keys(custom)
+
+
+def stop_if_enough(rows: DataFrame, enough: int) -> DataFrame:
+    """query_id and nb_hits of the queries of a batch, up to the one with which `enough` hits are reached."""
+    n = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("nb_hits"))
+    before = F.coalesce(F.sum("nb_hits").over(Window.orderBy("query_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return n.withColumn("before", before).where(F.col("before") < enough).drop("before")

@@ -327,7 +327,7 @@ PINS = [(5, 0), (17, 3), (23, 3), (40, 999999), (999999999, 1), (5, 7)]
 @query("""WITH n AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS r FROM part WHERE p_type = 'PROMO' AND p_partkey NOT IN (5, 17, 23, 40, 8)),
 c AS (SELECT count(*) AS n FROM n), p(p_partkey, slot) AS (SELECT 5, 0 UNION ALL SELECT 17, 3 UNION ALL SELECT 23, 4 UNION ALL SELECT 40, least(1000, n + 3) FROM c),
 s1 AS (SELECT p_partkey, r + 1 AS r FROM n), s2 AS (SELECT p_partkey, CASE WHEN r >= 3 THEN r + 2 ELSE r END AS r FROM s1), s3 AS (SELECT p_partkey, CASE WHEN r >= (SELECT slot FROM p WHERE p_partkey = 40) THEN r + 1 ELSE r END AS r FROM s2)
-SELECT p_partkey::BIGINT AS p_partkey, r::BIGINT AS slot, false AS pinned FROM s3 UNION ALL SELECT p_partkey, slot, true FROM p""")
+SELECT * FROM (SELECT p_partkey::BIGINT AS p_partkey, r::BIGINT AS slot, false AS pinned FROM s3 UNION ALL SELECT p_partkey, slot, true FROM p) WHERE slot < 1000""")
 def pin_hide(s, d):
     p = part(s, d)
     return ranking.pin(p, p.where("p_type = 'PROMO'"), PINS, [8, 17], [F.desc("p_retailprice")], "p_partkey")
@@ -696,6 +696,65 @@ def composition_inject(s, d):
     return recommend.inject(organic, p.where("p_partkey < 3").select(F.col("p_partkey").alias("object_id"), (F.col("p_partkey") + 1).alias("rank")), 2, 3).select("object_id", F.col("slot").cast("long").alias("slot"), "injected")
 
 
+# --- dictionaries, automatic filters, nested documents ----------------------------------------
+
+
+@query("""SELECT p_partkey, array_to_string(list_filter(string_split(p_name, ' '), lambda x: x NOT IN ('red', 'ring')), ' ') AS kept FROM part""")
+def dictionary_stopwords(s, d):
+    entries = s.createDataFrame([("en", "red", "enabled"), ("en", "ring", "enabled"), ("en", "blue", "disabled"), ("fr", "plate", "enabled")], "language string, word string, state string")
+    return text.dictionary_filter(part(s, d).select("p_partkey", F.split("p_name", " ").alias("tokens")), entries, "en").select("p_partkey", F.array_join("tokens", " ").alias("kept"))
+
+
+@query("""WITH q(query_id, text) AS (VALUES (0, 'promo ring'), (1, 'small plate'), (2, 'nothing')) SELECT query_id, 'p_type' AS facet, upper(split_part(text, ' ', 1)) AS value FROM q WHERE query_id < 2""")
+def automatic_facet_filters(s, d):
+    q = s.createDataFrame([(0, "promo ring"), (1, "small plate"), (2, "nothing")], "query_id int, text string")
+    return merchandising.automatic_filters(q, facets.counts(part(s, d), ["p_type", "p_brand"]), ["p_type"])
+
+
+@query("""SELECT * FROM (VALUES ('synonym', 'red')) t(type, word)""")
+def synonym_search(s, d):
+    return merchandising.search_synonyms(_synonyms(s), "crim", "synonym").select("type", F.get("words", 0).alias("word"))
+
+
+@query("SELECT * FROM (VALUES ('r1'), ('r5'), ('r6')) t(id)")
+def rule_search(s, d):
+    return merchandising.search_rules(s.createDataFrame(_RULES, merchandising.RULE), "red").select("id")
+
+
+@query("""SELECT c_custkey AS object_id, 'name.full' AS path, c_name AS text FROM customer UNION ALL SELECT c_custkey, 'tags', c_mktsegment || ' vip' FROM customer UNION ALL SELECT c_custkey, 'visits.place', 'n' || c_nationkey || ' home' FROM customer""")
+def nested_texts(s, d):
+    docs = table(s, d, "customer").select(F.col("c_custkey").alias("object_id"), F.struct(F.col("c_name").alias("full"), F.lit(1).alias("n")).alias("name"), F.array("c_mktsegment", F.lit("vip")).alias("tags"), F.array(F.struct(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("place")), F.struct(F.lit("home").alias("place"))).alias("visits"))
+    return matching.nested_texts(docs)
+
+
+@query("""SELECT p_partkey AS object_id, to_json({'p_partkey': p_partkey, 'p_name': p_name, 'p_size': p_size})::VARCHAR AS json FROM part""")
+def hit_json(s, d):
+    return part(s, d).select(F.col("p_partkey").alias("object_id"), F.to_json(F.struct("p_partkey", "p_name", "p_size")).alias("json"))
+
+
+@query("""WITH a AS (SELECT 'p_brand' AS facet, p_brand AS value FROM part GROUP BY ALL), h AS (SELECT p_brand AS value, count(*) AS n FROM part WHERE p_size > 48 GROUP BY 1) SELECT facet, value, coalesce(n, 0) AS count FROM a LEFT JOIN h USING (value)""")
+def facet_zero_filled(s, d):
+    return facets.zero_filled(facets.counts(part(s, d), ["p_brand"]), facets.counts(part(s, d).where("p_size > 48"), ["p_brand"]))
+
+
+@query("""SELECT event_id, md5(concat('products', '|', user_id, '|', event_id)) AS query_id FROM events""")
+def query_ids(s, d):
+    return table(s, d, "events").select("event_id", an.new_query_id(F.lit("products"), F.col("user_id"), F.col("event_id")).alias("query_id"))
+
+
+@query(f"WITH v AS ({SQL['validate_insights']}) SELECT count(*) AS received, count_if(error IS NULL)::BIGINT AS accepted, count(*) <= 1000 AND count_if(error IS NULL) > 0 AS ok FROM v")
+def ingest_verdict(s, d):
+    return an.ingest(raw_insights(s, d), NOW_MS)[1]
+
+
+@query("""WITH c AS (SELECT 0 AS query_id, count(*) AS n FROM part WHERE p_type = 'PROMO' AND p_size < 3 UNION ALL SELECT 1, count(*) FROM part WHERE p_type = 'SMALL' UNION ALL SELECT 2, count(*) FROM part), x AS (SELECT *, coalesce(sum(n) OVER (ORDER BY query_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
+SELECT query_id, n AS nb_hits FROM x WHERE before < 20""")
+def multi_query_stop(s, d):
+    p = part(s, d)
+    rows = p.where("p_type = 'PROMO' AND p_size < 3").select(F.lit(0).alias("query_id")).unionByName(p.where("p_type = 'SMALL'").select(F.lit(1).alias("query_id"))).unionByName(p.select(F.lit(2).alias("query_id")))
+    return ranking.stop_if_enough(rows, 20)
+
+
 # --- whole requests ---------------------------------------------------------------------------
 
 

@@ -45,6 +45,8 @@ class SearchRequest:
     sort: Sequence[str] = ()
     pins: Sequence[tuple[object, int]] = ()
     hidden: Sequence = ()
+    filter_promotes: bool = False
+    restrict_attributes: Sequence[str] | None = None
     highlight: Sequence[str] = ()
     response_fields: Sequence[str] = ("*",)
 
@@ -102,7 +104,8 @@ class Index:
             return rows.withColumn("score", F.lit(0.0))
         words = matching.parse_queries(self.docs.sparkSession.createDataFrame([(0, r.query)], "query_id int, text string"), self.settings.get("queryType", "prefixLast"))
         weights = attribute_weights(self.searchable, self.settings.get("attributeWeights"))
-        hit = matching.match(self.post, words, weights).select(F.col("object_id").alias(self.id), "score")
+        post = self.post.where(F.col("path").isin(list(r.restrict_attributes))) if r.restrict_attributes else self.post
+        hit = matching.match(post, words, weights).select(F.col("object_id").alias(self.id), "score")
         return rows.join(hit, self.id)
 
     def search(self, r: SearchRequest) -> SearchResult:
@@ -123,8 +126,9 @@ class Index:
 
     def _page(self, found: DataFrame, r: SearchRequest) -> DataFrame:
         if r.pins or r.hidden:
-            placed = ranking.pin(self.docs, found, r.pins, r.hidden, self._keys(r), self.id)
             first = r.page * r.hits_per_page
+            pinnable = self.docs.where(self.condition(r)) if r.filter_promotes else self.docs
+            placed = ranking.pin(pinnable, found, r.pins, r.hidden, self._keys(r), self.id, first + r.hits_per_page)
             hits = placed.where((F.col("slot") >= first) & (F.col("slot") < first + r.hits_per_page)).join(self.docs, self.id).withColumn("pos", F.col("slot") + 1).drop("slot", "pinned")
         else:
             hits = ranking.top(found, self._keys(r), r.hits_per_page, r.page * r.hits_per_page, self.id).drop("score")
