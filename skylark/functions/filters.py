@@ -212,7 +212,7 @@ def optional_score(items: Sequence | str | None, settings: Settings | None = Non
     return total
 
 
-# --- secured keys -----------------------------------------------------------------------------
+# --- secured keys
 
 
 def secured_key(parent: str, restrictions: Mapping[str, object]) -> str:

@@ -1,7 +1,7 @@
 """Text analysis: tokens, edge n-grams, attribute weights, query alternatives, plurals, stop words.
 
-All of it is native expressions but tokenize(), whose joined tokens need state that a regular expression
-lacks; it is an Arrow UDF that runs once, when an index is built.
+All of it is native expressions. Only tokenize_offsets(), which also gives places in the text, is an Arrow
+UDF; tokens_of() is the plain form of both, which tests hold them against.
 """
 
 from __future__ import annotations
@@ -72,11 +72,33 @@ def _tokenize(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield texts.map(lambda t: [{"token": w.lower(), "pos": p, "start": s, "end": e} for w, p, s, e in tokens_of(t or "")])
 
 
-def tokenize(text: Column) -> Column:
+def tokenize_offsets(text: Column) -> Column:
     """Lower-cased tokens with positions and offsets."""
     return _tokenize(text)
 
 
+_IDEOGRAPH = "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in _CJK)
+_BLANK = r"[\s\x00\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F]+"
+_PART = rf"[{_IDEOGRAPH}]|[\p{{IsAlphabetic}}\p{{N}}&&[^{_IDEOGRAPH}]]+"
+
+
+def tokenize(text: Column) -> Column:
+    """Lower-cased tokens (token, pos) as native expressions.
+
+    Blanks around every ideograph make it a chunk of its own; the runs of any other chunk are joined unless
+    punctuation begins it."""
+    chunks = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), f"([{_IDEOGRAPH}])", " $1 "), _BLANK)
+
+    def tokens(chunk: Column) -> Column:
+        parts = F.regexp_extract_all(chunk, F.lit(_PART), F.lit(0))
+        joined = F.array_join(parts, "")
+        chained = (F.size(parts) > 1) & (F.octet_length(joined) >= 3) & chunk.rlike(rf"^[\p{{IsAlphabetic}}\p{{N}}]")
+        return F.when(chained, F.array_append(parts, joined)).otherwise(parts)
+
+    flat = F.flatten(F.transform(chunks, tokens))
+    return F.transform(flat, lambda t, i: F.struct(F.lower(t).alias("token"), i.alias("pos")))
+
+
 def ascii_tokens(text: Column) -> Column:
     """Lower-cased runs of ASCII letters and digits, without the joined ones."""
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))

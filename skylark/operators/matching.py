@@ -71,7 +71,7 @@ def osa_distance(a: str, b: str, most: int) -> int:
         if min(row) > most:
             return most + 1
         before, last = last, row
-    return last[-1]
+    return min(last[-1], most + 1)
 
 
 @F.pandas_udf(T.IntegerType())

@@ -36,7 +36,7 @@ def part(s, d):
     return table(s, d, "part")
 
 
-# --- text analysis ----------------------------------------------------------------------------
+# --- text analysis
 
 
 @query("""SELECT doc_id, len(t)::BIGINT AS n_tokens, t[1] AS first_token, md5(array_to_string(t, ' ')) AS tokens_md5
@@ -91,7 +91,7 @@ def plural_fold(s, d):
     return w.select("word", text.singular(F.col("word"), {"children": "child"}).alias("single"))
 
 
-# --- matching ---------------------------------------------------------------------------------
+# --- matching
 
 ASKED = ["red", "red pl", "smal", "blue ring ", "wid", "ri ", "large g", "zz"]
 _ASKED_SQL = "q(query_id, text) AS (VALUES (0, 'red'), (1, 'red pl'), (2, 'smal'), (3, 'blue ring '), (4, 'wid'), (5, 'ri '), (6, 'large g'), (7, 'zz'))"
@@ -107,7 +107,7 @@ SELECT query_id, p_partkey AS object_id FROM h GROUP BY query_id, n, p_partkey H
 
 def _matched(s, d, mode):
     q = s.createDataFrame(list(enumerate(ASKED)), "query_id int, text string")
-    post = matching.postings(part(s, d), "p_partkey", ["p_name"], text.ascii_tokens)
+    post = matching.postings(part(s, d), "p_partkey", ["p_name"])
     return matching.match(post, matching.parse_queries(q, mode)).select("query_id", "object_id")
 
 
@@ -118,7 +118,7 @@ for _name, _mode, _prefix in (("match_all_terms", "prefixNone", "false"), ("pref
 @query("""SELECT p_partkey AS object_id FROM part WHERE list_contains(string_split(p_name, ' '), 'ri')""")
 def trailing_space_exact(s, d):
     q = s.createDataFrame([(0, "ri ")], "query_id int, text string")
-    post = matching.postings(part(s, d), "p_partkey", ["p_name"], text.ascii_tokens)
+    post = matching.postings(part(s, d), "p_partkey", ["p_name"])
     return matching.match(post, matching.parse_queries(q)).select("object_id")
 
 
@@ -183,13 +183,13 @@ def synonym_expand(s, d):
 def oneway_synonym(s, d):
     q = s.createDataFrame([(0, 0, "gadget")], "query_id int, qpos int, token string")
     w = matching.expand_synonyms(q, _synonyms(s)).withColumn("n", F.lit(1)).withColumn("prefix", F.lit(False))
-    post = matching.postings(part(s, d), "p_partkey", ["p_name"], text.ascii_tokens)
+    post = matching.postings(part(s, d), "p_partkey", ["p_name"])
     return matching.match(post, w).select("object_id")
 
 
 @query("""SELECT p_partkey AS object_id FROM part WHERE list_contains(string_split(p_name, ' '), 'red') OR p_name = 'blue ring'""")
 def placeholder_synonym(s, d):
-    post = matching.postings(part(s, d), "p_partkey", ["p_name"], text.ascii_tokens)
+    post = matching.postings(part(s, d), "p_partkey", ["p_name"])
     ph = s.createDataFrame([("red", ["colour"])], "placeholder string, replacements array<string>")
     more = matching.place_placeholders(post, ph).where("token = 'colour'").select("object_id")
     return more.unionByName(matching.exact_phrase(post, ["blue", "ring"])).distinct()
@@ -197,7 +197,7 @@ def placeholder_synonym(s, d):
 
 @query("""SELECT p_partkey AS object_id FROM part WHERE p_name LIKE 'red %' AND NOT list_contains(string_split(p_name, ' '), 'ring')""")
 def exclude_words(s, d):
-    post = matching.postings(part(s, d), "p_partkey", ["p_name"], text.ascii_tokens)
+    post = matching.postings(part(s, d), "p_partkey", ["p_name"])
     return matching.exclude_words(post.where("token = 'red' AND pos = 0").select("object_id").distinct(), post, ["ring"])
 
 
@@ -206,7 +206,7 @@ SELECT round, p_partkey AS object_id FROM r, p WHERE list_contains(w, a) AND (b
 def remove_words_if_no_results(s, d):
     q = s.createDataFrame([(0, "red nothing")], "query_id int, text string")
     w = matching.relax(matching.parse_queries(q, "prefixNone"), "lastWords").withColumn("query_id", F.col("round"))
-    post = matching.postings(part(s, d), "p_partkey", ["p_name"], text.ascii_tokens)
+    post = matching.postings(part(s, d), "p_partkey", ["p_name"])
     return matching.match(post, w).select(F.col("query_id").alias("round"), "object_id")
 
 
@@ -217,7 +217,7 @@ def vector_knn(s, d):
     return matching.cosine_neighbours(v, v.where("vec_id % 100 = 0"), 10)
 
 
-# --- filters ----------------------------------------------------------------------------------
+# --- filters
 
 FILTERS = {
     "filter_nested": ("(p_type:PROMO OR p_type:LARGE) AND p_retailprice >= 905", "(p_type = 'PROMO' OR p_type = 'LARGE') AND p_retailprice >= 905"),
@@ -261,7 +261,7 @@ def secured_filter(s, d):
     return table(s, d, "customer").where(ff.secured_filter(got, "c_mktsegment:BUILDING OR c_acctbal > 5000")).select("c_custkey", "c_mktsegment")
 
 
-# --- geo --------------------------------------------------------------------------------------
+# --- geo
 
 _DIST = "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin((radians(lat) - radians(48.85)) / 2), 2) + cos(radians(lat)) * cos(radians(48.85)) * pow(sin(radians(lng - 2.35) / 2), 2))))"
 PARIS = (48.85, 2.35)
@@ -294,7 +294,7 @@ def geo_auto_radius(s, d):
     return stores(s, d).agg(F.round(geo.auto_radius(geo.distance_m(F.col("lat"), F.col("lng"), PARIS), 0.1, 1000.0), 0).alias("radius"))
 
 
-# --- ranking ----------------------------------------------------------------------------------
+# --- ranking
 
 
 @query("""SELECT p_partkey, size_or_null, row_number() OVER (ORDER BY size_or_null ASC NULLS FIRST, p_partkey)::INT AS pos FROM (SELECT p_partkey, nullif(p_size, 7) AS size_or_null FROM part) QUALIFY pos <= 100""")
@@ -339,7 +339,7 @@ def ranking_criteria(s, d):
     return ranking.top(rows, ranking.ranking_info(rows, ["desc(p_retailprice)"]), 50, id_col="p_partkey").select("p_partkey", "pos")
 
 
-# --- rules ------------------------------------------------------------------------------------
+# --- rules
 
 _RULES = [
     ("r1", "red", "contains", None, True, None, None, None, None, "p_type:PROMO", '{"banner":1}'), ("r2", "cheap", "startsWith", None, True, None, None, None, ["cheap"], "p_retailprice < 950", None),
@@ -366,7 +366,7 @@ def rule_edits(s, d):
     return part(s, d).select(F.col("p_name").alias("text"), merchandising.replace_words(F.col("p_name"), [("red", None), ("ring", "band")]).alias("edited")).distinct()
 
 
-# --- result shape -----------------------------------------------------------------------------
+# --- result shape
 
 
 @query("""SELECT p_partkey, regexp_replace(p_name, '\\b(re|ring)', '<em>\\1</em>', 'g') AS marked FROM part""")
@@ -392,7 +392,7 @@ def project_hits(s, d):
     return i.search(SearchRequest("red", hits_per_page=10)).hits.select("p_partkey", "pos", "p_name", "p_type")
 
 
-# --- facets -----------------------------------------------------------------------------------
+# --- facets
 
 
 @query("""SELECT 'p_brand' AS facet, p_brand AS value, count(*) AS count FROM part WHERE p_size > 10 GROUP BY ALL UNION ALL SELECT 'p_type', p_type, count(*) FROM part WHERE p_size > 10 GROUP BY ALL""")
@@ -464,7 +464,7 @@ def facet_after_distinct(s, d):
     return facets.counts(ranking.distinct(part(s, d), "p_name", 1, [], "p_partkey"), ["p_type"])
 
 
-# --- analytics --------------------------------------------------------------------------------
+# --- analytics
 
 
 def _daily_sql(table_: str, cte: str, measures: str) -> str:
@@ -552,7 +552,7 @@ def object_ids_alias(s, d):
     return raw_insights(s, d).where("event_id % 26 = 0").select("event_id", F.element_at(an.effective_ids(), -1).alias("last_id"))
 
 
-# --- sources and lifecycle --------------------------------------------------------------------
+# --- sources and lifecycle
 
 
 @query(f"SELECT strftime(ts::DATE, '%Y-%m-%d') AS day, count(*) AS events, ts::DATE < DATE '{TODAY}' - 20 AS expired FROM events GROUP BY ALL")
@@ -634,7 +634,7 @@ def seed_searches(s, d):
     return store.seed_searches(s, "demo", 30, 100, TODAY)
 
 
-# --- recommendations, suggestions, experiments ------------------------------------------------
+# --- recommendations, suggestions, experiments
 
 
 @query("""WITH b AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), s AS (SELECT l_orderkey, l_suppkey FROM b WHERE l_orderkey IN (SELECT l_orderkey FROM b GROUP BY 1 HAVING count(*) BETWEEN 2 AND 100)), a AS (SELECT l_suppkey, count(*) AS n FROM s GROUP BY 1),
@@ -696,7 +696,7 @@ def composition_inject(s, d):
     return recommend.inject(organic, p.where("p_partkey < 3").select(F.col("p_partkey").alias("object_id"), (F.col("p_partkey") + 1).alias("rank")), 2, 3).select("object_id", F.col("slot").cast("long").alias("slot"), "injected")
 
 
-# --- dictionaries, automatic filters, nested documents ----------------------------------------
+# --- dictionaries, automatic filters, nested documents
 
 
 @query("""SELECT p_partkey, array_to_string(list_filter(string_split(p_name, ' '), lambda x: x NOT IN ('red', 'ring')), ' ') AS kept FROM part""")
@@ -755,7 +755,7 @@ def multi_query_stop(s, d):
     return ranking.stop_if_enough(rows, 20)
 
 
-# --- whole requests ---------------------------------------------------------------------------
+# --- whole requests
 
 
 def flagship(s: SparkSession, d: str) -> DataFrame:
@@ -780,5 +780,5 @@ def search_facets(s, d):
 SELECT query_id::INT AS query_id, count(*) AS nb_hits FROM q JOIN p ON list_contains(w, split_part(text, ' ', 1)) AND len(list_filter(w, lambda x: starts_with(x, split_part(text, ' ', 2)))) > 0 GROUP BY 1""")
 def multi_query(s, d):
     q = part(s, d).select(F.col("p_name").alias("text")).distinct().withColumn("query_id", F.row_number().over(Window.orderBy("text")))
-    post = matching.postings(part(s, d), "p_partkey", ["p_name"], text.ascii_tokens)
+    post = matching.postings(part(s, d), "p_partkey", ["p_name"])
     return matching.match(post, matching.parse_queries(q)).groupBy("query_id").agg(F.count(F.lit(1)).alias("nb_hits"))

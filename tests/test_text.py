@@ -30,11 +30,15 @@ def test_token_positions_and_offsets():
     assert got[3][2:] == (8, 9)
 
 
-def test_tokenize_column(spark):
-    df = spark.createDataFrame([(1, "Abdel-Rahman"), (2, None)], "id int, t string").select("id", text.tokenize(F.col("t")).alias("k")).orderBy("id")
-    a, b = df.collect()
-    assert [x.token for x in a.k] == ["abdel", "rahman", "abdelrahman"]
-    assert b.k == []
+def test_tokenize_columns(spark):
+    rng = random.Random(11)
+    chars = ["a", "B", "é", "1", "²", "-", "'", ".", "_", " ", "\t", "\0", "\xa0", "\u2003", "\u3000", "、", "日", "か", "한", "𠀀", "ß", "٣", "\n", "&"]
+    texts = ["Abdel-Rahman", None, "", "O'Kelly", "-foo-bar x", "foo--bar"] + ["".join(rng.choices(chars, k=rng.randint(0, 14))) for _ in range(800)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", text.tokenize(F.col("t")).alias("k"), text.tokenize_offsets(F.col("t")).alias("o"))
+    for r in df.collect():
+        want = [(w.lower(), p) for w, p, *_ in text.tokens_of(texts[r.id] or "")]
+        assert [(x.token, x.pos) for x in r.k] == want, texts[r.id]
+        assert [(x.token, x.pos, x.start, x.end) for x in r.o] == [(w.lower(), p, a, b) for w, p, a, b in text.tokens_of(texts[r.id] or "")]
 
 
 def test_edge_ngrams(spark):
