@@ -72,7 +72,7 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-# --- vectorised word hashes -------------------------------------------------------------------
+# --- vectorised word hashes
 
 _RNG = np.random.default_rng(20240229)
 _COEF = _RNG.integers(1, 2**63, size=256, dtype=np.uint64) | np.uint64(1)
