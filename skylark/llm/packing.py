@@ -217,7 +217,7 @@ class Places:
         return sequence, offset
 
 
-def pack(parts: DataFrame, capacity: int = 2048, block_rows: int = 20_000) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = 2048, block_rows: int = 500) -> DataFrame:
     """parts (doc_id, piece, start, length, ...) with sequence_id and offset. parts is read twice."""
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = Places(pack_lengths(counts, capacity))
