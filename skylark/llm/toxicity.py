@@ -9,8 +9,9 @@ is exact. The k nearest vote with their similarity, classes weighted to their tr
 that stands for `pull` votes; texts without any term get the toxic share of such examples. Evidence: the
 nearest examples with similarity and label.
 
-The examples are a sample of about 2 x `per_class` labelled rows; the index is bounded by it and goes to
-every executor. Each text is read whole by an Aho-Corasick automaton of the terms.
+The examples are a sample of about 2 x `per_class` labelled rows, of whose near copies (equal minima of
+shingle hashes) one stays, as copies would tie the words of one text to its label; the index is bounded by
+the sample and goes to every executor. Each text is read whole by an Aho-Corasick automaton of the terms.
 
 Defined results: a null or empty text has no terms; null ids are scored like others; repeated rows get
 equal scores; without both labels, or without any term, all texts get the toxic share; an empty table
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, mix, shingle_hashes, word_hashes
 from .labelled import held_out, sample, training_rows
 
 _WORD = re.compile(r"\w+")
@@ -155,13 +156,32 @@ class Model:
         return self._seen[key]
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The minima of a text's 5-word shingles under three functions."""
+    for b in batches:
+        low = [[], [], []]
+        for t in b.column(2):
+            s = shingle_hashes(word_hashes(t.as_py()), 5)
+            for k, column in enumerate(low):
+                column.append(int(mix(s ^ mix(np.array([k + 1], np.uint64))).min().view(np.int64)) if s.size else 0)
+        yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c, pa.int64()) for c in low]], names=["doc_id", "label", "text", "s0", "s1", "s2"])
+
+
+def _without_copies(texts: DataFrame) -> DataFrame:
+    """One text, that of the smallest id, for each label and sketch; one sketch after the other."""
+    rows = texts.select("doc_id", "label", "text").mapInArrow(_sketches, "doc_id long, label int, text string, s0 long, s1 long, s2 long")
+    for k in ("s0", "s1", "s2"):
+        rows = rows.groupBy("label", k).agg(F.min_by(F.struct("doc_id", "text", "s0", "s1", "s2"), "doc_id").alias("r")).select("label", "r.*")
+    return rows.select("doc_id", "label", "text")
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 5, fold: int = 0, per_class: int = 2048, strength: float = 24.0, k: int = 15, pull: float = 0.05) -> Model:
     """The terms, their idf over all docs, and the index of the labels outside the fold."""
     texts, total = sample(docs, training_rows(labels, label_col, folds, fold), per_class)
     n, share = sum(total.values()), (total.get(1, 0) / sum(total.values()) if total else 0.0)
     if len(total) < 2:
         return Model(Finder([]), None, share, share, k, pull)
-    rows = materialise(texts, "toxicity-sample")
+    rows = materialise(_without_copies(texts), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[int, Counter] = {0: Counter(), 1: Counter()}
