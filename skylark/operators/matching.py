@@ -52,7 +52,9 @@ def match(post: DataFrame, words: DataFrame, weights: dict[str, float] | None =
     weight = F.lit(1.0)
     for path, w in (weights or {}).items():
         weight = F.when(F.col("path") == path, w).otherwise(weight)
-    hits = post.join(needed, post["token"] == needed["term"]).groupBy("query_id", "object_id", "n", "qpos").agg(F.max(weight).alias("w"))
+    # dealt once by query and object, which serves both aggregations
+    found = post.join(needed, post["token"] == needed["term"]).repartition("query_id", "object_id")
+    hits = found.groupBy("query_id", "object_id", "n", "qpos").agg(F.max(weight).alias("w"))
     return hits.groupBy("query_id", "object_id", "n").agg(F.count(F.lit(1)).alias("found"), F.sum("w").alias("score")).where("found = n").select("query_id", "object_id", "score")
 
 
