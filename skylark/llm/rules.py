@@ -1,12 +1,15 @@
 """Quality rules: counts within a text, and how often its lines occur in other documents of its host.
 
 Lines are normalised (lower case, blanks as one space) and hashed. A line is removed on a host where
-more than `line_limit` different texts have it, unless half of those texts or more share their smallest
-other line: such lines are frequent because one document has many near copies, which is for near-duplicate
-removal to settle, not because they are boilerplate. A document of which less than `left_percent` % of the
-words of its different lines is left is rejected. Exact copies count once. All of it is DataFrame and SQL
-functions; windows and lines within a text are handled in its own row, only line hashes are shuffled, and
-a hot line is counted in two steps, first with its text.
+more than `line_limit` different texts have it; of a class of near copies only one text counts, since their
+lines are frequent because one document has many near copies, which is for near-duplicate removal to settle,
+not because they are boilerplate. Near copies are texts of one host linked by 5-word shingles of normalised
+lines at a similarity of 80 % or more, read from the 128 smallest shingle hashes: exact for texts of up to 128
+shingles, else an estimate with a standard error of 0.035. A document of which less than `left_percent` % of
+the words of its different lines is left is rejected. Exact copies count once. All of it is DataFrame and SQL
+functions; windows and lines within a text are handled in its own row, only line and shingle hashes are
+shuffled, and a hot line is counted in two steps, first with its class. Near copies are only looked for among
+texts with a line of a document that would be rejected if all texts counted.
 
 Defined results: a null text has no words and fails the base rules; a null source is a host of its own;
 null ids and repeated rows are judged as others; an empty table gives an empty result; other columns are
@@ -19,8 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLANKS, HAS_WORD, WORD, materialise
+from .components import components
 
 WINDOW = 8
+#: Near copies: words of a shingle, kept hashes of a text, and bands of two minima each.
+SHINGLE, SKETCH, BANDS = 5, 128, 12
 
 
 def _let(value: Column, body) -> Column:
@@ -71,24 +77,70 @@ def _key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def _normal(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.lower(F.regexp_replace(x, BLANKS, " ")))), lambda x: x != "")
+
+
+def _sketch(norm: Column) -> Column:
+    """The smallest hashes of a text's different shingles, ascending."""
+
+    def hashed(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1))), lambda i: F.hash(F.slice(w, i, SHINGLE)))
+        return F.slice(F.sort_array(F.array_distinct(runs)), 1, SKETCH)
+
+    return _let(F.split(F.array_join(norm, " "), " "), hashed)
+
+
+def _bands(sketch: Column) -> Column:
+    """Keys of two minima each; sketches of similarity 0.8 share none with a probability of about 5e-6."""
+
+    def keys(y: Column) -> Column:
+        least = lambda i: F.array_min(F.transform(y, lambda v: v.bitwiseXOR(F.xxhash64(F.lit(i)))))
+        return F.array(*[F.xxhash64(F.lit(i), least(2 * i), least(2 * i + 1)) for i in range(BANDS)])
+
+    return _let(F.transform(sketch, lambda x: F.xxhash64(x)), keys)
+
+
+def near_copies(sketches: DataFrame, percent: int = 80) -> DataFrame:
+    """node and root of the texts (host, node, sketch) that have near copies on their host, but for the roots.
+
+    A text is compared with the first one of each of its bands, so two near copies are missed where all the
+    bands they share begin with texts that are unlike them and no third text links them."""
+    keys = sketches.select("host", "node", F.explode(_bands(F.col("sketch"))).alias("band"))
+    first = keys.groupBy("host", "band").agg(F.min("node").alias("v"))
+    pairs = keys.join(first, ["host", "band"]).where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    # the first one of a large group has many partners, which are dealt over 16 copies of it
+    heads = pairs.select("v").distinct().join(sketches.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    met = pairs.join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u").withColumn("salt", F.pmod("u", F.lit(16)).cast("int")).join(heads, ["v", "salt"])
+    x = F.slice(F.sort_array(F.array_union("a", "b")), 1, SKETCH)
+    alike = _let(x, lambda x: F.size(F.array_intersect(F.array_intersect(F.col("a"), F.col("b")), x)) * 100 >= F.size(x) * percent)
+    return components(met.where(alike).select("u", "v"))
+
+
 def depleted(docs: DataFrame, line_limit: int = 10, left_percent: int = 30, source_col: str = "source", text_col: str = "text") -> DataFrame:
     """host and text_key of the texts that lose too many words with their host's frequent lines."""
-    norm = F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda x: F.trim(F.lower(F.regexp_replace(x, BLANKS, " ")))), lambda x: x != "")
+    texts = docs.select(_host(F.col(source_col)).alias("host"), _key(F.col(text_col)).alias("text_key"), _normal(F.col(text_col)).alias("norm"))
     lines = (
-        docs.select(_host(F.col(source_col)).alias("host"), _key(F.col(text_col)).alias("text_key"), norm.alias("norm"))
-        .select("host", "text_key", F.array_distinct(F.transform("norm", lambda x: F.struct(F.substring(F.md5(x), 1, 16).alias("line"), (F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words")))).alias("lines"))
-        .withColumn("least", F.slice(F.array_sort(F.transform("lines", lambda x: x.line)), 1, 2))
+        texts.select("host", "text_key", F.array_distinct(F.transform("norm", lambda x: F.struct(F.substring(F.md5(x), 1, 16).alias("line"), (F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words")))).alias("lines"))
         .withColumn("total", F.aggregate("lines", F.lit(0), lambda a, x: a + x.words))
-        .select("host", "text_key", "total", "least", F.explode("lines").alias("l"))
-        .select("host", "text_key", "l.line", "l.words", "total", F.expr("CASE WHEN l.line = least[0] THEN coalesce(get(least, 1), '') ELSE least[0] END").alias("other"))
-    )
-    lines = materialise(lines.groupBy("host", "line", "text_key").agg(F.first("words").alias("words"), F.first("total").alias("total"), F.first("other").alias("other")), "rules-lines")
-    frequent = (
-        lines.groupBy("host", "line", "other").agg(F.count(F.lit(1)).alias("n")).groupBy("host", "line").agg(F.sum("n").alias("n"), F.max("n").alias("near")).where((F.col("n") > line_limit) & (F.col("near") * 2 < F.col("n"))).select("host", "line")
-    )
-    return (
-        lines.join(frequent, ["host", "line"]).groupBy("host", "text_key").agg(F.sum("words").alias("removed"), F.max("total").alias("total")).where((F.col("total") - F.col("removed")) * 100 < F.col("total") * left_percent).select("host", "text_key")
+        .select("host", "text_key", "total", F.explode("lines").alias("l"))
+        .select("host", "text_key", "l.line", "l.words", "total")
     )
+    lines = materialise(lines.groupBy("host", "line", "text_key").agg(F.first("words").alias("words"), F.first("total").alias("total")), "rules-lines")
+
+    def poor(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("host", "text_key").agg(F.sum("words").alias("removed"), F.max("total").alias("total")).where((F.col("total") - F.col("removed")) * 100 < F.col("total") * left_percent).select("host", "text_key")
+
+    many = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > line_limit).select("host", "line")
+    rows = materialise(lines.join(many, ["host", "line"]), "rules-many")
+    # no text is rejected that would not be if all texts counted, so only the lines of those matter
+    at_stake = rows.join(poor(rows), ["host", "text_key"], "left_semi").select("host", "line").distinct()
+    rows = materialise(rows.join(at_stake, ["host", "line"], "left_semi").withColumn("node", F.xxhash64("host", "text_key")), "rules-at-stake")
+    sketches = texts.select("host", F.xxhash64("host", "text_key").alias("node"), _sketch(F.col("norm")).alias("sketch")).join(rows.select("node").distinct(), "node", "left_semi")
+    sketches = materialise(sketches.groupBy("host", "node").agg(F.first("sketch").alias("sketch")), "rules-sketches")
+    counted = rows.join(near_copies(sketches), "node", "left").groupBy("host", "line", F.coalesce("root", "node").alias("root")).agg(F.count(F.lit(1)))
+    frequent = counted.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > line_limit).select("host", "line")
+    return poor(rows.join(frequent, ["host", "line"]))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", line_limit: int = 10, left_percent: int = 30) -> DataFrame:

@@ -86,6 +86,22 @@ def test_rules_reject_depleted_documents_and_spare_copies(spark):
     assert all(kept[i] for i in range(100, 105)) and all(kept[i] for i in range(200, 240)) and all(kept[i] for i in range(300, 340))
 
 
+def test_rules_count_near_copies_once_but_no_block_of_boilerplate(spark):
+    rng = random.Random(7)
+    rows = []
+    for b in (2, 3, 5, 8):
+        block = [prose(rng, 10, 5000) for _ in range(b)]
+        rows += [(1000 * b + i, "\n".join([*block, prose(rng, 4 * b, 5000)]), f"host {b}") for i in range(40)]
+    head = [prose(rng, 10, 5000) for _ in range(2)]
+    copy = [prose(rng, 30, 5000) for _ in range(3)]
+    rows += [(i, "\n".join([*head, *copy, f"edit {i}"]), "hot") for i in range(40)] + [(100 + i, "\n".join([*head, prose(rng, 5, 5000)]), "hot") for i in range(12)]
+    rows += [(i, "\n".join([*head, *copy, f"edit {i}"]), "few") for i in range(200, 240)] + [(300 + i, "\n".join([*head, prose(rng, 5, 5000)]), "few") for i in range(9)]
+    kept = {r.doc_id: r.kept for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)).collect()}
+    assert not any(v for i, v in kept.items() if i >= 1000)
+    assert not any(kept[100 + i] for i in range(12)) and all(kept[i] for i in range(40))
+    assert all(kept[i] for i in range(200, 240)) and all(kept[300 + i] for i in range(9))
+
+
 @pytest.mark.parametrize("name", ["op6_minhash", "op10_rules"])
 def test_sql(spark, sf_dir, name):
     c = duckdb.connect()
