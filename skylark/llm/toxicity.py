@@ -9,9 +9,9 @@ is exact. The k nearest vote with their similarity, classes weighted to their tr
 that stands for `pull` votes; texts without any term get the toxic share of such examples. Evidence: the
 nearest examples with similarity and label.
 
-The examples are a sample of about 2 x `per_class` labelled rows, of whose near copies (equal minima of
-shingle hashes) one stays, as copies would tie the words of one text to its label; the index is bounded by
-the sample and goes to every executor. Each text is read whole by an Aho-Corasick automaton of the terms.
+The examples are a sample of about 2 x `per_class` labelled rows, of whose near copies (5-word shingles,
+similarity 0.8 or more by the 128 smallest hashes) one stays, as copies would tie the words of one text to
+its label; the index is bounded by the sample and goes to every executor. Each text is read whole by an Aho-Corasick automaton of the terms.
 
 Defined results: a null or empty text has no terms; null ids are scored like others; repeated rows get
 equal scores; without both labels, or without any term, all texts get the toxic share; an empty table
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,6 +38,7 @@ from .labelled import held_out, sample, training_rows
 
 _WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
+SKETCH = 128
 
 
 def terms_of(text: str) -> set[str]:
@@ -156,23 +158,62 @@ class Model:
         return self._seen[key]
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The minima of a text's 5-word shingles under three functions."""
-    for b in batches:
-        low = [[], [], []]
-        for t in b.column(2):
-            s = shingle_hashes(word_hashes(t.as_py()), 5)
-            for k, column in enumerate(low):
-                column.append(int(mix(s ^ mix(np.array([k + 1], np.uint64))).min().view(np.int64)) if s.size else 0)
-        yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c, pa.int64()) for c in low]], names=["doc_id", "label", "text", "s0", "s1", "s2"])
+def _sketch(text: str | None) -> np.ndarray:
+    """The 128 smallest hashes of a text's different 5-word shingles, ascending; wordless texts are equal."""
+    got = np.unique(mix(shingle_hashes(word_hashes(text), 5)))[:SKETCH]
+    return got if got.size else np.zeros(1, np.uint64)
 
 
-def _without_copies(texts: DataFrame) -> DataFrame:
-    """One text, that of the smallest id, for each label and sketch; one sketch after the other."""
-    rows = texts.select("doc_id", "label", "text").mapInArrow(_sketches, "doc_id long, label int, text string, s0 long, s1 long, s2 long")
-    for k in ("s0", "s1", "s2"):
-        rows = rows.groupBy("label", k).agg(F.min_by(F.struct("doc_id", "text", "s0", "s1", "s2"), "doc_id").alias("r")).select("label", "r.*")
-    return rows.select("doc_id", "label", "text")
+class Copies:
+    """Sketches by their hashes, to find near copies: exact for texts of up to 128 shingles, else estimated."""
+
+    def __init__(self, sketches: list[np.ndarray]):
+        self.sketches = sketches
+        self.sizes = np.array([x.size for x in sketches], np.int64)
+        at = np.repeat(np.arange(len(sketches)), self.sizes)
+        every = np.concatenate([*sketches, np.empty(0, np.uint64)])
+        order = np.argsort(every, kind="stable")
+        self.hashes, self.owner = every[order], at[order]
+
+    def near(self, sketch: np.ndarray, least: float = 0.8) -> list[tuple[int, float]]:
+        """Places and similarities of all sketches at least so similar, most similar first."""
+        low, high = np.searchsorted(self.hashes, sketch, "left"), np.searchsorted(self.hashes, sketch, "right")
+        hit = [self.owner[a:b] for a, b in zip(low, high, strict=True) if b > a]
+        if not hit:
+            return []
+        common = np.bincount(np.concatenate(hit), minlength=self.sizes.size)
+        found = []
+        for i in np.flatnonzero(common >= least * np.maximum(self.sizes, sketch.size)):
+            x = np.union1d(sketch, self.sketches[i])[:SKETCH]
+            both = np.intersect1d(np.intersect1d(sketch, self.sketches[i], True), x, True).size
+            if both >= least * x.size:
+                found.append((int(i), both / x.size))
+        return sorted(found, key=lambda f: (-f[1], f[0]))
+
+
+def _crc(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
+
+
+def _different(texts: DataFrame) -> dict[tuple[int, int], np.ndarray]:
+    """Id and crc32 of the texts, in the order of ids, that are no near copy of an earlier one of their label, with their sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = b.column(2).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(_crc, got), pa.int64()), pa.array([_sketch(t).tobytes() for t in got], pa.binary())], names=["doc_id", "label", "crc", "sketch"])
+
+    rows = sorted(texts.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, crc long, sketch binary").collect())
+    sketches = [np.frombuffer(r["sketch"], np.uint64) for r in rows]
+    stay: dict[tuple[int, int], np.ndarray] = {}
+    for y in (0, 1):
+        of = [i for i, r in enumerate(rows) if r["label"] == y]
+        copies, gone = Copies([sketches[i] for i in of]), set()
+        for k, i in enumerate(of):
+            if k not in gone:
+                stay[rows[i]["doc_id"], rows[i]["crc"]] = sketches[i]
+                gone.update(j for j, _ in copies.near(sketches[i]) if j > k)
+    return stay
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 5, fold: int = 0, per_class: int = 2048, strength: float = 24.0, k: int = 15, pull: float = 0.05) -> Model:
@@ -181,18 +222,22 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int
     n, share = sum(total.values()), (total.get(1, 0) / sum(total.values()) if total else 0.0)
     if len(total) < 2:
         return Model(Finder([]), None, share, share, k, pull)
-    rows = materialise(_without_copies(texts), "toxicity-sample")
+    rows = materialise(texts.select("doc_id", "label", "text").dropDuplicates(), "toxicity-sample")
+    stay = _different(rows)
+    keys = set(stay)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for b in batches:
-            for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for key, y, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if (key, _crc(text)) not in keys:
+                    continue
                 got[y].update(terms_of(text))
                 got[y][""] += 1
         for y, c in got.items():
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([y] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], names=["term", "label", "n"])
 
-    counted = rows.select("label", "text").mapInArrow(count, "term string, label int, n long").groupBy("term").agg(F.sum(F.expr("if(label = 1, n, 0)")).alias("a"), F.sum(F.expr("if(label = 0, n, 0)")).alias("b"))
+    counted = rows.select("doc_id", "label", "text").mapInArrow(count, "term string, label int, n long").groupBy("term").agg(F.sum(F.expr("if(label = 1, n, 0)")).alias("a"), F.sum(F.expr("if(label = 0, n, 0)")).alias("b"))
     # at least 8 toxic texts of the sample: a bounded list
     found = counted.where("a >= 8 OR term = ''").collect()
     taken = next(((r["a"], r["b"]) for r in found if r["term"] == ""), (0, 0))
@@ -219,6 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.filter(pa.array([(key, _crc(t)) in keys for key, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)], pa.bool_()))
             found = [finder(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sorted(f.items()) for f in found], pa.map_(pa.int32(), pa.int32()))], names=["doc_id", "label", "counts"])
 

@@ -191,6 +191,16 @@ def test_nearest_is_exact():
         assert np.allclose(s, every[want]) and np.allclose(every[at], every[want])
 
 
+def test_texts_that_share_a_passage_are_no_copies(spark):
+    rng = random.Random(12)
+    passage = prose(rng, 100, 5000)
+    texts = [f"{prose(rng, 40, 5000)} {passage} {prose(rng, 60, 5000)}" for _ in range(120)]
+    copies = [f"{texts[0]} edit{i}" for i in range(30)]
+    rows = [(i, i % 2, t) for i, t in enumerate(texts)] + [(1000 + i, 0, t) for i, t in enumerate(copies)] + [(2000, 1, "")]
+    stay = toxicity._different(spark.createDataFrame(rows, "doc_id long, label int, text string").repartition(3))
+    assert {i for i, _ in stay} == {*range(120), 2000}
+
+
 def test_finder_respects_word_borders():
     f = toxicity.Finder(["moron", "vequ*", "moro"])
     assert f("Moron, oxymoron moronic vequta VEQU vequ_ moro") == {0: 1, 1: 2, 2: 1}
