@@ -6,15 +6,16 @@ classes have their true shares. A term's idf counts all documents. Examples are
 term and indexed in blocks; each term keeps its postings and its largest weight in each block. A search
 visits blocks by falling upper bound and stops when the next bound is below the k-th similarity, so it
 is exact. The k nearest vote with their similarity, classes weighted to their true shares, and a prior
-that stands for `pull` votes; texts without any term get the toxic share of such examples. Evidence: the
-nearest examples with similarity and label.
+that stands for `pull` votes. A text without any term is compared as a whole with the examples without any
+term: its near copies among them vote likewise, with their similarity; without one it gets the toxic share
+of such examples. Evidence: the nearest examples with similarity and label.
 
 The examples are a sample of about 2 x `per_class` labelled rows, of whose near copies (5-word shingles,
 similarity 0.8 or more by the 128 smallest hashes) one stays, as copies would tie the words of one text to
 its label; the index is bounded by the sample and goes to every executor. Each text is read whole by an Aho-Corasick automaton of the terms.
 
 Defined results: a null or empty text has no terms; null ids are scored like others; repeated rows get
-equal scores; without both labels, or without any term, all texts get the toxic share; an empty table
+equal scores; without both labels all texts get the toxic share; an empty table
 gives an empty result; other columns are kept by keep_documents() and ignored by score(). Labels, lang,
 source and doc_id are no inputs of a score.
 """
@@ -77,6 +78,8 @@ class Finder:
                 self.automaton.add_word(key, [*self.automaton.get(key, []), (i, len(key), t.endswith("*"))])
             self.automaton.make_automaton()
         low, got = (text or "").lower(), Counter()
+        if not self.terms:
+            return got
         for end, found in self.automaton.iter(low):
             for i, n, begins in found:
                 at = end - n
@@ -133,31 +136,6 @@ class BlockMax:
         return np.array([i for _, i in found], np.int64), np.array([-s for s, _ in found])
 
 
-@dataclass
-class Model:
-    finder: Finder
-    index: BlockMax | None
-    base: float
-    bare: float
-    k: int
-    pull: float
-    _seen: dict = field(default_factory=dict, repr=False)
-
-    def __call__(self, text: str | None) -> tuple[float, list]:
-        counts = self.finder(text) if self.index is not None else {}
-        if not counts:
-            return self.bare, []
-        key = tuple(sorted(counts.items()))
-        if key not in self._seen:
-            if len(self._seen) > 20_000:
-                self._seen.clear()
-            at, s = self.index.nearest(counts, self.k)
-            vote = s * self.index.votes[at]
-            p = (float(vote @ self.index.labels[at]) + self.pull * self.base) / (float(vote.sum()) + self.pull)
-            self._seen[key] = p, [{"doc_id": int(self.index.ids[i]), "similarity": float(x), "label": int(self.index.labels[i])} for i, x in zip(at[:3], s[:3], strict=True)]
-        return self._seen[key]
-
-
 def _sketch(text: str | None) -> np.ndarray:
     """The 128 smallest hashes of a text's different 5-word shingles, ascending; wordless texts are equal."""
     got = np.unique(mix(shingle_hashes(word_hashes(text), 5)))[:SKETCH]
@@ -191,6 +169,45 @@ class Copies:
         return sorted(found, key=lambda f: (-f[1], f[0]))
 
 
+@dataclass
+class Model:
+    finder: Finder
+    index: BlockMax | None
+    base: float
+    bare: float
+    k: int
+    pull: float
+    #: examples without any term, their ids, labels and votes
+    copies: Copies | None = None
+    about: tuple[list[int], np.ndarray, np.ndarray] | None = None
+    _seen: dict = field(default_factory=dict, repr=False)
+
+    def __call__(self, text: str | None) -> tuple[float, list]:
+        counts = self.finder(text) if self.index is not None else {}
+        if not counts:
+            return self._alike(text)
+        key = tuple(sorted(counts.items()))
+        if key not in self._seen:
+            if len(self._seen) > 20_000:
+                self._seen.clear()
+            at, s = self.index.nearest(counts, self.k)
+            vote = s * self.index.votes[at]
+            p = (float(vote @ self.index.labels[at]) + self.pull * self.base) / (float(vote.sum()) + self.pull)
+            self._seen[key] = p, [{"doc_id": int(self.index.ids[i]), "similarity": float(x), "label": int(self.index.labels[i])} for i, x in zip(at[:3], s[:3], strict=True)]
+        return self._seen[key]
+
+    def _alike(self, text: str | None) -> tuple[float, list]:
+        """The vote of the near copies of a text without terms."""
+        found = self.copies.near(_sketch(text))[: self.k] if self.copies is not None else []
+        if not found:
+            return self.bare, []
+        ids, labels, votes = self.about
+        at = [i for i, _ in found]
+        vote = np.array([s for _, s in found]) * votes[at]
+        p = (float(vote @ labels[at]) + self.pull * self.base) / (float(vote.sum()) + self.pull)
+        return p, [{"doc_id": ids[i], "similarity": s, "label": int(labels[i])} for i, s in found[:3]]
+
+
 def _crc(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
@@ -246,8 +263,6 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int
     votes = {1: total[1] / taken[0], 0: total[0] / taken[1]}
     terms = sorted(r["term"] for r in found if r["term"] and r["a"] * votes[1] >= r["b"] * votes[0] and r["a"] / taken[0] > r["b"] / taken[1] and _g2(r["a"], r["b"], *taken) >= strength)
     finder = Finder(terms)
-    if not terms:
-        return Model(finder, None, share, share, k, pull)
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(len(terms) + 1, np.int64)
@@ -259,22 +274,25 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(df), pa.int32()), pa.array(df[df > 0])], names=["term", "n"])
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    df = {r["term"]: r["n"] for r in docs.select(F.col("text").cast("string")).mapInArrow(frequency, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    df = {r["term"]: r["n"] for r in docs.select(F.col("text").cast("string")).mapInArrow(frequency, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()} if terms else {}
     idf = np.array([math.log((1 + df.get(len(terms), 0)) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(pa.array([(key, _crc(t)) in keys for key, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)], pa.bool_()))
             found = [finder(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sorted(f.items()) for f in found], pa.map_(pa.int32(), pa.int32()))], names=["doc_id", "label", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(_crc, b.column(2).to_pylist()), pa.int64()), pa.array([sorted(f.items()) for f in found], pa.map_(pa.int32(), pa.int32()))], names=["doc_id", "label", "crc", "counts"])
 
-    examples = rows.select("doc_id", "label", "text").mapInArrow(vectors, "doc_id long, label int, counts map<int,int>").collect()
-    examples.sort(key=lambda r: r["doc_id"])
+    examples = rows.select("doc_id", "label", "text").mapInArrow(vectors, "doc_id long, label int, crc long, counts map<int,int>").collect()
+    examples.sort(key=lambda r: (r["doc_id"], r["crc"]))
     bare = [sum(votes[y] for r in examples if not r["counts"] and r["label"] == y) for y in (0, 1)]
     kept = [r for r in examples if r["counts"]]
-    index = BlockMax([r["counts"] for r in kept], [r["label"] for r in kept], [r["doc_id"] for r in kept], idf, votes)
+    rest = [r for r in examples if not r["counts"]]
+    copies = Copies([stay[r["doc_id"], r["crc"]] for r in rest])
+    about = [r["doc_id"] for r in rest], np.array([r["label"] for r in rest], np.int32), np.array([votes[r["label"]] for r in rest], np.float64)
+    index = None if not kept else BlockMax([r["counts"] for r in kept], [r["label"] for r in kept], [r["doc_id"] for r in kept], idf, votes)
     base = share
-    return Model(finder, index, base, (bare[1] + share) / (sum(bare) + 1), k, pull)
+    return Model(finder, index, base, (bare[1] + share) / (sum(bare) + 1), k, pull, copies, about)
 
 
 _EVIDENCE = "array<struct<doc_id:bigint,similarity:double,label:int>>"

@@ -201,6 +201,20 @@ def test_texts_that_share_a_passage_are_no_copies(spark):
     assert {i for i, _ in stay} == {*range(120), 2000}
 
 
+@pytest.mark.parametrize("others", [0, 40])
+def test_copies_of_a_labelled_toxic_text_are_toxic(spark, others):
+    rng = random.Random(13)
+    bad = prose(rng, 60, 5000)
+    rows = [(i, bad, 1) for i in range(50)] + [(100 + i, prose(rng, 60, 5000), 0) for i in range(150)]
+    rows += [(300 + i, prose(rng, 60, 5000) + " idiot", 1) for i in range(others)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(400, f"{bad} more")], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert any(got[i].held_out for i in range(50))
+    assert all(got[i].score >= 0.5 and got[i].evidence[0].label == 1 for i in [*range(50), 400])
+    assert not any(got[100 + i].predicted for i in range(150))
+
+
 def test_finder_respects_word_borders():
     f = toxicity.Finder(["moron", "vequ*", "moro"])
     assert f("Moron, oxymoron moronic vequta VEQU vequ_ moro") == {0: 1, 1: 2, 2: 1}
