@@ -10,17 +10,20 @@ def _best(rows: DataFrame, group: str, n: int, *keys: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*keys))).where(F.col("rank") <= n)
 
 
-def bought_together(baskets: DataFrame, basket: str, item: str, n: int = 3, least: int = 2, most: int = 100) -> DataFrame:
+def bought_together(baskets: DataFrame, basket: str, item: str, n: int = 3, least: int = 2, block: int = 512) -> DataFrame:
     """item, other, together, lift, rank of items in common baskets.
 
-    A basket pairs its own items by equality of its id; those of more than `most` items, which tell
-    nothing on pairs, are left out, which bounds what one basket emits."""
+    A basket pairs its own items by equality of its id. The items of a large one are dealt over blocks of
+    about `block`, every two of which meet by themselves, so no task pairs a whole basket."""
     b = baskets.select(basket, item).distinct()
-    sized = b.join(b.groupBy(basket).agg(F.count(F.lit(1)).alias("size")).where(f"size BETWEEN 2 AND {most}").select(basket), basket)
+    sized = b.join(b.groupBy(basket).agg(F.count(F.lit(1)).alias("size")).where("size >= 2"), basket).withColumn("blocks", F.ceil(F.col("size") / block))
     alone = sized.groupBy(item).agg(F.count(F.lit(1)).alias("n"))
     total = sized.agg(F.count_distinct(basket).alias("baskets"))
-    pairs = sized.alias("a").join(sized.alias("b"), F.col(f"a.{basket}") == F.col(f"b.{basket}")).where(F.col(f"a.{item}") != F.col(f"b.{item}"))
-    joint = pairs.groupBy(F.col(f"a.{item}").alias("item"), F.col(f"b.{item}").alias("other")).agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= least)
+    own, each = F.pmod(F.xxhash64(item), "blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    left = sized.select(F.col(basket).alias("basket"), F.col(item).alias("item"), own.alias("x"), each.alias("y"))
+    right = sized.select(F.col(basket).alias("basket"), F.col(item).alias("other"), each.alias("x"), own.alias("y"))
+    pairs = left.join(right, ["basket", "x", "y"]).where("item <> other")
+    joint = pairs.groupBy("item", "other").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= least)
     scored = joint.join(alone.select(F.col(item).alias("item"), F.col("n").alias("n_item")), "item").join(alone.select(F.col(item).alias("other"), F.col("n").alias("n_other")), "other").join(F.broadcast(total))
     lift = F.round(F.col("together") * F.col("baskets") / (F.col("n_item") * F.col("n_other")), 6)
     return _best(scored.select("item", "other", "together", lift.alias("lift")), "item", n, F.desc("together"), F.desc("lift"), F.col("other"))

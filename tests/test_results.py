@@ -113,3 +113,16 @@ def test_experiments(spark):
     for how in ("bonferroni", "benjamini-hochberg"):
         assert {r.metric: r.significant for r in recommend.corrected(recommend.compare_rates(counts, "c"), how).collect()} == {"ctr": True, "cvr": False}
     assert recommend.sample_size(0.1, 0.1) == pytest.approx(14749, rel=0.01)
+
+
+def test_pairs_of_large_baskets_count(spark):
+    rng = random.Random(21)
+    baskets = {0: range(150), 1: range(100, 260), **{k: rng.sample(range(260), 5) for k in range(2, 40)}, 99: [7]}
+    rows = [(k, i) for k, items in baskets.items() for i in items]
+    sets = [set(v) for v in baskets.values() if len(v) > 1]
+    size = {i: sum(i in s for s in sets) for i in range(260)}
+    want = {(i, j, t, round(t * len(sets) / (size[i] * size[j]), 6)) for i in range(260) for j in range(260) if i != j and (t := sum(i in s and j in s for s in sets)) >= 2}
+    df = spark.createDataFrame([*rows, *rows[:5]], "basket long, item long")
+    for more in ({}, {"block": 40}):
+        got = recommend.bought_together(df, "basket", "item", n=1000, **more).collect()
+        assert len(got) == len(want) and {(r.item, r.other, r.together, r.lift) for r in got} == want
