@@ -132,7 +132,7 @@ def counts(page: str) -> Counter:
 def weights(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sample: int = 512) -> dict[str, float]:
     """Scores of features, counted on about `sample` of the pages that mark their article."""
     marked = pages.where(F.col(html_col).contains("<article")).select(F.col(html_col).alias("html"), F.pmod(F.xxhash64(F.col(id_col), F.octet_length(html_col)), F.lit(1 << 30)).alias("h"))
-    n = pages.count()
+    n = marked.count()
     if not n:
         return {}
     few = marked.where(F.col("h") < F.lit(int((1 << 30) * min(1.0, sample / n)))).select("html")

@@ -42,6 +42,14 @@ def test_extraction_of_pages(spark, sf_dir, empty_dir):
     assert html_text.op3_html(spark, empty_dir).count() == 0
 
 
+def test_weights_where_few_pages_mark_their_article(spark):
+    page = lambda i: f"<div class=x>menu a b</div><article><p>text {i} of it</p></article>" if i % 400 == 0 else f"<p>page {i}</p>"
+    for first in (0, 10**6, 2 * 10**6):
+        pages = spark.createDataFrame([(first + i, page(i)) for i in range(8000)], "page_id long, html string")
+        got = html_text.weights(pages, sample=20)
+        assert got and got["p"] > got["div.x"]
+
+
 def test_best_region_is_the_maximum_subsequence():
     rng = random.Random(4)
     score = {" ": 1.0, "p": -0.2, "/p": -0.2, "li": -4.0, "/li": -1.0, "span": -1.5, "/span": -1.5}
