@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than these six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
-BLANKS = r"[\x20\x09-\x0D]+"
 #: Removes the blanks around a word character as Java's regular expressions see them.
 HAS_WORD = r"[^\x20\x09-\x0D]"
 

@@ -1,15 +1,18 @@
 """Quality rules: counts within a text, and how often its lines occur in other documents of its host.
 
-Lines are normalised (lower case, blanks as one space) and hashed. A line is removed on a host where
-more than `line_limit` different texts have it; of a class of near copies only one text counts, since their
-lines are frequent because one document has many near copies, which is for near-duplicate removal to settle,
-not because they are boilerplate. Near copies are texts of one host linked by 5-word shingles of normalised
-lines at a similarity of 80 % or more, read from the 128 smallest shingle hashes: exact for texts of up to 128
-shingles, else an estimate with a standard error of 0.035. A document of which less than `left_percent` % of
-the words of its different lines is left is rejected. Exact copies count once. All of it is DataFrame and SQL
-functions; windows and lines within a text are handled in its own row, only line and shingle hashes are
-shuffled, and a hot line is counted in two steps, first with its class. Near copies are only looked for among
-texts with a line of a document that would be rejected if all texts counted.
+Lines are normalised (lower case, blanks as one space) and hashed. A line is removed on a host where more
+than `line_limit` different documents have it; a document of which less than `left_percent` % of the words
+of its different lines is left is rejected. Documents with equal texts are one document.
+
+Copies are no evidence that a line is boilerplate: of the documents with a line of one that would be rejected
+if each counted, those without content of their own count as one. Content of its own is `own_words` words or more in lines
+that are not frequent and neither begin nor end like a frequent line (in their first or last three words), as
+an edited copy of a frequent line does. So pages made of one template, however long, are rejected, while a
+group of near copies of one article stays for near-duplicate removal to settle.
+
+All of it is DataFrame and SQL functions: windows and lines within a text are handled in its own row, only
+line hashes are shuffled, once a text and summed before the shuffle, and a verdict table within Spark's
+broadcast threshold is broadcast, a larger one joined by key.
 
 Defined results: a null text has no words and fails the base rules; a null source is a host of its own;
 null ids and repeated rows are judged as others; an empty table gives an empty result; other columns are
@@ -21,12 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, HAS_WORD, WORD, materialise
-from .components import components
+from .common import HAS_WORD, WORD, materialise
 
 WINDOW = 8
-#: Near copies: words of a shingle, kept hashes of a text, and bands of two minima each.
-SHINGLE, SKETCH, BANDS = 5, 128, 12
+#: Words at either end of a line by which an edited copy of it is known.
+ENDS = 3
 
 
 def _let(value: Column, body) -> Column:
@@ -55,8 +57,13 @@ def base_counts(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
 
     def counted(w: Column) -> Column:
-        windows = F.when(F.size(w) < WINDOW, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW))))
-        return F.struct(F.size(w).cast("long").alias("n"), F.array_join(w, "").alias("j"), _let(windows, _repeated).cast("long").alias("r"))
+        none = F.array().cast("array<bigint>")
+        places = F.sequence(F.lit(0), F.size(w) - WINDOW)
+        windows = lambda h: F.transform(places, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
+        repeated = F.when(F.size(w) < WINDOW, none).otherwise(_let(F.transform(w, lambda x: F.xxhash64(x)), windows))
+        return F.struct(
+            F.size(w).cast("long").alias("n"), F.array_join(w, "").alias("j"), _let(repeated, _repeated).cast("long").alias("r")
+        )
 
     def named(c: Column) -> Column:
         return F.struct(
@@ -77,85 +84,84 @@ def _key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _normal(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.lower(F.regexp_replace(x, BLANKS, " ")))), lambda x: x != "")
-
-
-def _sketch(norm: Column) -> Column:
-    """The smallest hashes of a text's different shingles, ascending."""
-
-    def hashed(w: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1))), lambda i: F.hash(F.slice(w, i, SHINGLE)))
-        return F.slice(F.sort_array(F.array_distinct(runs)), 1, SKETCH)
-
-    return _let(F.split(F.array_join(norm, " "), " "), hashed)
-
-
-def _bands(sketch: Column) -> Column:
-    """Keys of two minima each; sketches of similarity 0.8 share none with a probability of about 5e-6."""
-
-    def keys(y: Column) -> Column:
-        least = lambda i: F.array_min(F.transform(y, lambda v: v.bitwiseXOR(F.xxhash64(F.lit(i)))))
-        return F.array(*[F.xxhash64(F.lit(i), least(2 * i), least(2 * i + 1)) for i in range(BANDS)])
+def _lines(text: Column) -> Column:
+    """The different normalised lines of a text: hash, words, and hashes of the first and last words."""
+    flat = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
+    rows = F.array_distinct(F.filter(F.transform(F.split(flat, "\n"), lambda x: F.trim(x)), lambda x: x != ""))
+    return F.transform(
+        rows,
+        lambda x: F.struct(
+            F.xxhash64(x).alias("line"),
+            (F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words"),
+            F.xxhash64(F.substring_index(x, " ", ENDS)).alias("head"),
+            F.xxhash64(F.substring_index(x, " ", -ENDS)).alias("tail"),
+        ),
+    )
 
-    return _let(F.transform(sketch, lambda x: F.xxhash64(x)), keys)
 
+def _poor(rows: DataFrame, left_percent: int) -> DataFrame:
+    """host and text_key where too few words are left; rows are the frequent lines of the texts."""
+    lost = rows.groupBy("host", "text_key").agg(F.sum("words").alias("removed"), F.max("total").alias("total"))
+    return lost.where((F.col("total") - F.col("removed")) * 100 < F.col("total") * left_percent).select("host", "text_key")
 
-def near_copies(sketches: DataFrame, percent: int = 80) -> DataFrame:
-    """node and root of the texts (host, node, sketch) that have near copies on their host, but for the roots.
 
-    A text is compared with the first one of each of its bands, so two near copies are missed where all the
-    bands they share begin with texts that are unlike them and no third text links them."""
-    keys = sketches.select("host", "node", F.explode(_bands(F.col("sketch"))).alias("band"))
-    first = keys.groupBy("host", "band").agg(F.min("node").alias("v"))
-    pairs = keys.join(first, ["host", "band"]).where("node <> v").select(F.col("node").alias("u"), "v").distinct()
-    # the first one of a large group has many partners, which are dealt over 16 copies of it
-    heads = pairs.select("v").distinct().join(sketches.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    met = pairs.join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u").withColumn("salt", F.pmod("u", F.lit(16)).cast("int")).join(heads, ["v", "salt"])
-    x = F.slice(F.sort_array(F.array_union("a", "b")), 1, SKETCH)
-    alike = _let(x, lambda x: F.size(F.array_intersect(F.array_intersect(F.col("a"), F.col("b")), x)) * 100 >= F.size(x) * percent)
-    return components(met.where(alike).select("u", "v"))
+def _copies(texts: DataFrame, many: DataFrame, asked: DataFrame, own_words: int) -> DataFrame:
+    """host and text_key of those of the asked texts that have no content of their own."""
+    rest = (
+        texts.join(asked, ["host", "text_key"], "left_semi").select("host", "text_key", F.explode("lines").alias("l"))
+        .select("host", "text_key", "l.*").join(many.select("host", "line"), ["host", "line"], "left_anti")
+        .join(many.select("host", "head").distinct(), ["host", "head"], "left_anti")
+        .join(many.select("host", "tail").distinct(), ["host", "tail"], "left_anti")
+    )
+    own = rest.groupBy("host", "text_key").agg(F.sum("words").alias("own")).where(F.col("own") >= own_words)
+    return asked.join(own, ["host", "text_key"], "left_anti")
 
 
-def depleted(docs: DataFrame, line_limit: int = 10, left_percent: int = 30, source_col: str = "source", text_col: str = "text") -> DataFrame:
+def depleted(
+    docs: DataFrame, line_limit: int = 10, left_percent: int = 30, own_words: int = 5, source_col: str = "source", text_col: str = "text"
+) -> DataFrame:
     """host and text_key of the texts that lose too many words with their host's frequent lines."""
-    texts = docs.select(_host(F.col(source_col)).alias("host"), _key(F.col(text_col)).alias("text_key"), _normal(F.col(text_col)).alias("norm"))
-    lines = (
-        texts.select("host", "text_key", F.array_distinct(F.transform("norm", lambda x: F.struct(F.substring(F.md5(x), 1, 16).alias("line"), (F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words")))).alias("lines"))
-        .withColumn("total", F.aggregate("lines", F.lit(0), lambda a, x: a + x.words))
-        .select("host", "text_key", "total", F.explode("lines").alias("l"))
-        .select("host", "text_key", "l.line", "l.words", "total")
-    )
-    lines = materialise(lines.groupBy("host", "line", "text_key").agg(F.first("words").alias("words"), F.first("total").alias("total")), "rules-lines")
-
-    def poor(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("host", "text_key").agg(F.sum("words").alias("removed"), F.max("total").alias("total")).where((F.col("total") - F.col("removed")) * 100 < F.col("total") * left_percent).select("host", "text_key")
-
-    many = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > line_limit).select("host", "line")
-    rows = materialise(lines.join(many, ["host", "line"]), "rules-many")
-    # no text is rejected that would not be if all texts counted, so only the lines of those matter
-    at_stake = rows.join(poor(rows), ["host", "text_key"], "left_semi").select("host", "line").distinct()
-    rows = materialise(rows.join(at_stake, ["host", "line"], "left_semi").withColumn("node", F.xxhash64("host", "text_key")), "rules-at-stake")
-    sketches = texts.select("host", F.xxhash64("host", "text_key").alias("node"), _sketch(F.col("norm")).alias("sketch")).join(rows.select("node").distinct(), "node", "left_semi")
-    sketches = materialise(sketches.groupBy("host", "node").agg(F.first("sketch").alias("sketch")), "rules-sketches")
-    counted = rows.join(near_copies(sketches), "node", "left").groupBy("host", "line", F.coalesce("root", "node").alias("root")).agg(F.count(F.lit(1)))
-    frequent = counted.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > line_limit).select("host", "line")
-    return poor(rows.join(frequent, ["host", "line"]))
-
-
-def judge(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", line_limit: int = 10, left_percent: int = 30) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    every = docs.select(_host(F.col(source_col)).alias("host"), _key(text).alias("text_key"), _lines(text).alias("lines"))
+    every = every.groupBy("host", "text_key").agg(F.first("lines").alias("lines"))
+    total = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x.words)
+    texts = materialise(every.withColumn("total", total), "rules-texts")
+    lines = texts.select("host", "text_key", "total", F.explode("lines").alias("l")).select("host", "text_key", "total", "l.*")
+    counted = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"), F.min("head").alias("head"), F.min("tail").alias("tail"))
+    many = materialise(counted.where(F.col("n") > line_limit).drop("n"), "rules-many")
+    rows = lines.drop("head", "tail").join(many.select("host", "line"), ["host", "line"])
+    poor = materialise(_poor(rows, left_percent), "rules-poor")
+    if poor.isEmpty():
+        return poor
+    # a text is rejected only if it would be when every text counts, so only the lines of those are counted again
+    at_stake = rows.join(poor, ["host", "text_key"], "left_semi").select("host", "line").distinct()
+    rows = materialise(rows.join(at_stake, ["host", "line"], "left_semi"), "rules-at-stake")
+    copies = _copies(texts, many, rows.select("host", "text_key").distinct(), own_words).withColumn("copy", F.lit(1))
+    votes = rows.join(copies, ["host", "text_key"], "left").groupBy("host", "line")
+    frequent = votes.agg(F.sum(F.when(F.col("copy").isNull(), 1).otherwise(0)).alias("n"), F.max(F.coalesce("copy", F.lit(0))).alias("copy"))
+    frequent = frequent.where(F.col("n") + F.col("copy") > line_limit).select("host", "line")
+    return materialise(_poor(rows.join(poor, ["host", "text_key"], "left_semi").join(frequent, ["host", "line"]), left_percent), "rules-gone")
+
+
+def judge(
+    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", line_limit: int = 10, left_percent: int = 30
+) -> DataFrame:
     """The base counts and the verdict of every row."""
     text = F.col(text_col).cast("string")
-    counts = docs.select(F.col(id_col).cast("long").alias("doc_id"), _host(F.col(source_col)).alias("host"), _key(text).alias("text_key"), base_counts(text).alias("c")).select("doc_id", "host", "text_key", "c.*")
-    gone = depleted(docs, line_limit, left_percent, source_col, text_col).withColumn("gone", F.lit(True))
-    return counts.join(gone, ["host", "text_key"], "left").withColumn("kept", ~F.col("base_failed") & F.col("gone").isNull()).drop("host", "text_key", "gone")
+    keys = F.col(id_col).cast("long").alias("doc_id"), _host(F.col(source_col)).alias("host"), _key(text).alias("text_key")
+    counts = docs.select(*keys, base_counts(text).alias("c")).select("doc_id", "host", "text_key", "c.*")
+    gone = depleted(docs, line_limit, left_percent, source_col=source_col, text_col=text_col).withColumn("gone", F.lit(True))
+    kept = ~F.col("base_failed") & F.col("gone").isNull()
+    return counts.join(gone, ["host", "text_key"], "left").withColumn("kept", kept).drop("host", "text_key", "gone")
 
 
 def keep_documents(docs: DataFrame, line_limit: int = 10, left_percent: int = 30) -> DataFrame:
     """The rows that pass, with all their columns."""
     text = F.col("text").cast("string")
-    passed = docs.where(~base_counts(text)["base_failed"]).select(F.struct("*").alias("doc"), _host(F.col("source")).alias("host"), _key(text).alias("text_key"))
-    return passed.join(depleted(docs, line_limit, left_percent), ["host", "text_key"], "left_anti").select("doc.*")
+    gone = depleted(docs, line_limit, left_percent)
+    passed = docs.where(~base_counts(text)["base_failed"])
+    passed = passed.select(F.struct("*").alias("doc"), _host(F.col("source")).alias("host"), _key(text).alias("text_key"))
+    return passed.join(gone, ["host", "text_key"], "left_anti").select("doc.*")
 
 
 def op10_rules(spark, sf_dir: str) -> DataFrame:
@@ -185,15 +191,28 @@ WITH d AS (
   SELECT DISTINCT host, text, line FROM (
     SELECT host, text, trim(lower(regexp_replace(unnest(string_split(text, chr(10))), '[\x20\x09-\x0D]+', ' ', 'g'))) AS line FROM texts) WHERE line <> ''
 ), marked AS (
-  SELECT host, text, substr(md5(line), 1, 16) AS line, length(line) - length(replace(line, ' ', '')) + 1 AS words FROM lines
-), ranked AS (
-  SELECT *, sum(words) OVER (PARTITION BY host, text) AS total, row_number() OVER (PARTITION BY host, text ORDER BY line) AS nth,
-         first_value(line) OVER (PARTITION BY host, text ORDER BY line) AS l1, nth_value(line, 2) OVER (PARTITION BY host, text ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l2 FROM marked
-), near AS (
-  SELECT host, line, CASE WHEN nth = 1 THEN coalesce(l2, '') ELSE l1 END AS other, count(*) AS n FROM ranked GROUP BY ALL
-), frequent AS (SELECT host, line FROM near GROUP BY ALL HAVING sum(n) > 10 AND max(n) * 2 < sum(n)
+  SELECT host, text, line, string_split(line, ' ') AS w FROM lines
+), sized AS (
+  SELECT host, text, line, len(w) AS words, array_to_string(w[:3], ' ') AS head, array_to_string(w[-3:], ' ') AS tail FROM marked
+), many AS (SELECT host, line, any_value(head) AS head, any_value(tail) AS tail FROM sized GROUP BY host, line HAVING count(*) > 10
+), totals AS (SELECT host, text, sum(words) AS total FROM sized GROUP BY host, text
+), lost AS (
+  SELECT host, text, sum(words) AS removed FROM sized SEMI JOIN many USING (host, line) GROUP BY host, text
+), poor AS (
+  SELECT host, text FROM lost JOIN totals USING (host, text) WHERE (total - removed) * 100 < total * 30
+), stake AS (SELECT DISTINCT host, line FROM sized SEMI JOIN poor USING (host, text) SEMI JOIN many USING (host, line)
+), asked AS (SELECT DISTINCT host, text FROM sized SEMI JOIN stake USING (host, line)
+), own AS (
+  SELECT host, text FROM sized SEMI JOIN asked USING (host, text) ANTI JOIN many USING (host, line)
+  ANTI JOIN many AS heads USING (host, head) ANTI JOIN many AS tails USING (host, tail) GROUP BY host, text HAVING sum(words) >= 5
+), copies AS (SELECT host, text FROM asked ANTI JOIN own USING (host, text)
+), votes AS (
+  SELECT s.host, s.line, count(*) FILTER (c.text IS NULL) AS n, max((c.text IS NOT NULL)::INT) AS copy
+  FROM (SELECT * FROM sized SEMI JOIN stake USING (host, line)) AS s LEFT JOIN copies AS c USING (host, text) GROUP BY s.host, s.line
+), frequent AS (SELECT host, line FROM votes WHERE n + copy > 10
 ), gone AS (
-  SELECT host, text FROM ranked JOIN frequent USING (host, line) GROUP BY host, text HAVING (max(total) - sum(words)) * 100 < max(total) * 30
+  SELECT host, text FROM (SELECT host, text, sum(words) AS removed FROM sized SEMI JOIN frequent USING (host, line) GROUP BY host, text)
+  JOIN totals USING (host, text) WHERE (total - removed) * 100 < total * 30
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,

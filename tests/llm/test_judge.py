@@ -110,6 +110,27 @@ def test_rules_count_near_copies_once_but_no_block_of_boilerplate(spark):
     assert all(kept[i] for i in range(200, 240)) and all(kept[300 + i] for i in range(9))
 
 
+def test_rules_reject_pages_of_one_template(spark):
+    """The same lines on 200 pages of a host, however many, with three lines of each page's own."""
+    rng, rows = random.Random(3), []
+    for shared in (2, 5, 10, 20, 40):
+        block = [prose(rng, 12, 9000) for _ in range(shared)]
+        rows += [(1000 * shared + i, "\n".join([*block, *(prose(rng, shared, 9000) for _ in range(3))]), f"h{shared}") for i in range(200)]
+        article = [prose(rng, 15, 9000).split() for _ in range(6)]
+        for i in range(30):  # near copies: two words of one article are changed
+            copy = [list(x) for x in article]
+            for _ in range(2):
+                copy[rng.randrange(6)][rng.randrange(15)] = f"edit{i}"
+            rows.append((1000 * shared + 500 + i, "\n".join(map(" ".join, copy)), f"h{shared}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    kept = {r.doc_id: r.kept for r in rules.judge(docs).collect()}
+    assert all(v == (i % 1000 >= 500) for i, v in kept.items())
+    assert {r.doc_id for r in rules.keep_documents(docs).collect()} == {i for i in kept if kept[i]}
+    c = duckdb.connect()
+    documents = docs.toPandas()  # noqa: F841
+    assert dict(c.sql(f"SELECT doc_id, kept FROM ({rules.OP10_SQL})").fetchall()) == kept
+
+
 @pytest.mark.parametrize("name", ["op6_minhash", "op10_rules"])
 def test_sql(spark, sf_dir, name):
     c = duckdb.connect()
