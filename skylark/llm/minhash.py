@@ -5,12 +5,15 @@ one evaluation. A band is `rows` such values; documents that share a band's valu
 bands of 8 values a pair at a similarity of 0.85 is missed with probability 1.2e-7, with bands of 6 a pair
 at 0.80 with 2.5e-7.
 
-Copies are one node: documents with equal shingle sets. A bucket links its nodes to its smallest one, so
-no group is expanded into pairs; the components of these links are clusters of candidates. A cluster's
-texts are compared on their full sets: at most `block` nodes in one task by counting common shingles as a
-matrix product; a larger cluster is divided into blocks, of which every two meet in one task, so that no
-link is lost and no task holds more than two blocks. A task returns a spanning forest of the links it
-confirms, and the components of these are the result.
+Copies are one node: documents with equal shingle sets (two 64-bit keys). A bucket links its nodes to its
+smallest one, so no group is expanded into pairs; the components of these links are clusters of candidates.
+A cluster of at most `block` nodes is compared at once. A larger one may be a chain of candidates unlike each
+other, so there each bucket is compared on its own, buckets with the same nodes once: every two linked
+documents share a bucket, and the work follows the size of buckets, not that of chains. A bucket of more than
+`block` nodes or `block_bytes` bytes of text is divided into blocks, of which every two meet in one task, so
+that no link is lost and no task holds more than two blocks. Texts are compared on their full sets, common
+shingles counted as a matrix product. A task returns a spanning forest of the links it confirms, and the
+components of these are the result.
 
 Defined results: without words a set is empty and the document is alone; a null text has no words; null
 ids come last in a component (its id is null only if all are); repeated rows and equal texts are one
@@ -92,14 +95,16 @@ def _same(a: str, b: str):
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def confirm(texts: DataFrame, words: int, percent: int, block: int) -> DataFrame:
-    """Links (u, v) between nodes of texts (k1, cluster, m, text), m nodes in the cluster."""
-    parts = F.ceil(F.col("m") / block).cast("int")
-    part = F.pmod(F.xxhash64("k1"), F.col("parts")).cast("int")
+def confirm(texts: DataFrame, words: int, percent: int, block: int, block_bytes: int) -> DataFrame:
+    """Links (u, v) between nodes of the groups of texts (node, grp, text)."""
+    sizes = texts.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.sum(F.octet_length("text")).alias("bytes"))
+    parts = F.ceil(F.greatest(F.col("m") / block, F.col("bytes") / block_bytes)).cast("int")
+    large = sizes.select("grp", parts.alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("i"), F.greatest("part", q).alias("j")))
-    groups = (
-        texts.withColumn("parts", parts).withColumn("part", part).select("k1", "text", "cluster", F.explode(meet).alias("at")).select(F.xxhash64("cluster", "at.i", "at.j").alias("g"), "k1", "text")
-    )
+    placed = texts.join(large, "grp", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", part)
+    groups = placed.select("node", "text", "grp", F.explode(meet).alias("at"))
+    groups = groups.select(F.xxhash64("grp", "at.i", "at.j").alias("g"), "node", "text")
 
     def links(keys: list[int], bodies: list[str]) -> list[tuple[int, int]]:
         nodes = dict(zip(keys, bodies, strict=True))  # a repeated row is the same node
@@ -147,29 +152,49 @@ def confirm(texts: DataFrame, words: int, percent: int, block: int) -> DataFrame
         out += links(keys, bodies)
         yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["u", "v"])
 
-    return groups.repartition("g").sortWithinPartitions("g").mapInArrow(run, "u long, v long")
-
-
-def classes(docs: DataFrame, words: int = 3, percent: int = 85, rows: int = 8, block: int = 256) -> tuple[DataFrame, DataFrame]:
+    # a number of partitions of its own, since the work of a row is not its size
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return groups.repartition(tasks, "g").sortWithinPartitions("g").mapInArrow(run, "u long, v long")
+
+
+def _groups(keys: DataFrame, block: int) -> DataFrame:
+    """node and grp of what is compared together; keys are (node, band)."""
+    buckets = keys.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").select("band", "pivot")
+    shared = materialise(keys.join(buckets, "band"), "minhash-shared")
+    found = components(shared.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")))
+    members = found.select("node", F.col("root").alias("cluster"))
+    members = members.unionByName(members.select(F.col("cluster").alias("node"), "cluster").distinct())
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
+    members = members.join(sizes, "cluster")
+    small = members.where(F.col("m") <= block).select("node", F.xxhash64(F.lit(0), "cluster").alias("grp"))
+    chained = materialise(shared.join(members.where(F.col("m") > block).select("node"), "node", "left_semi"), "minhash-chained")
+    # buckets with the same nodes have the same number and sums; one of them is compared
+    total = [F.sum(F.xxhash64(F.lit(i), "node").cast("decimal(20,0)")) for i in (0, 1)]
+    distinct = chained.groupBy("band").agg(F.count(F.lit(1)).alias("m"), total[0].alias("a"), total[1].alias("b"))
+    distinct = distinct.groupBy("m", "a", "b").agg(F.min("band").alias("band"))
+    large = chained.join(distinct.select("band"), "band").select("node", F.xxhash64(F.lit(1), "band").alias("grp"))
+    return small.unionByName(large)
+
+
+def classes(
+    docs: DataFrame, words: int = 3, percent: int = 85, rows: int = 8, block: int = 256, block_bytes: int = 16 << 20
+) -> tuple[DataFrame, DataFrame]:
     """The signature table of all rows, and root, component id and first (doc_id, text_key) of every node."""
     rows_ = materialise(signatures(docs, words, rows), "minhash-rows")
     plain = rows_.where("n > 0")
     # the smallest id of a set, nulls last, with the key of one of its texts
     ident = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    sets = materialise(plain.groupBy("k1", "k2").agg(F.min(ident).alias("first"), F.first("bands").alias("bands")), "minhash-sets")
-    keys = sets.select("k1", F.explode("bands").alias("band"))
-    buckets = keys.groupBy("band").agg(F.min("k1").alias("pivot"), F.max("k1").alias("last")).where("pivot <> last").select("band", "pivot")
-    near = keys.join(buckets, "band").where("k1 <> pivot").select(F.col("k1").alias("u"), F.col("pivot").alias("v"))
-    found = components(near)
-    members = found.select(F.col("node").alias("k1"), F.col("root").alias("cluster"))
-    members = members.unionByName(members.select(F.col("cluster").alias("k1"), "cluster").distinct())
-    clusters = members.join(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")), "cluster")
-    picked = clusters.join(sets.select("k1", F.col("first.doc_id").alias("want_id"), F.col("first.text_key").alias("want_key")), "k1")
+    sets = plain.groupBy("k1", "k2").agg(F.min(ident).alias("first"), F.first("bands").alias("bands"))
+    # a node's number is drawn once, as the table is written
+    sets = materialise(sets.withColumn("node", F.monotonically_increasing_id()), "minhash-sets")
+    groups = materialise(_groups(sets.select("node", F.explode("bands").alias("band")), block), "minhash-groups")
+    picked = groups.select("node").distinct().join(sets.select("node", F.col("first.doc_id").alias("want_id"), F.col("first.text_key").alias("want_key")), "node")
     text = F.col("text").cast("string")
     bodies = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(text), text.alias("text"))
-    texts = bodies.join(picked, (F.col("text_key") == F.col("want_key")) & _same("doc_id", "want_id")).select("k1", "cluster", "m", "text")
-    linked = components(confirm(texts, words, percent, block)).withColumnRenamed("node", "k1")
-    nodes = sets.select("k1", "k2", "first").join(linked, "k1", "left").select("k1", "k2", F.coalesce("root", "k1").alias("root"), "first")
+    found = bodies.join(picked, (F.col("text_key") == F.col("want_key")) & _same("doc_id", "want_id")).select("node", "text")
+    texts = groups.join(found.dropDuplicates(["node"]), "node")
+    linked = components(confirm(texts, words, percent, block, block_bytes))
+    nodes = sets.select("k1", "k2", "node", "first").join(linked, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"), "first")
     least = nodes.groupBy("root").agg(F.min("first").alias("least"))
     return rows_, nodes.join(least, "root").select("k1", "k2", "root", F.col("least.doc_id").alias("component_id"), F.col("least.text_key").alias("least_key"))
 
