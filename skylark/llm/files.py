@@ -1,4 +1,4 @@
-"""Files of the archive sources: any store that pyarrow opens, and manifests of committed files."""
+"""Files of the archive sources: any store that pyarrow opens, and manifests of committed files, one a commit."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import uuid
 
 from pyarrow import fs
 
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest-"
 
 
 def store(path: str) -> tuple[fs.FileSystem, str]:
@@ -23,23 +23,26 @@ def new_name(suffix: str) -> str:
 
 
 def commit(path: str, files: list[tuple[str, int]]) -> None:
-    """Name the files that a successful write left; a reader sees these and no others."""
+    """Name the files that a successful write left; a reader sees those of all commits and no others."""
     s, top = store(path)
     s.create_dir(top, recursive=True)
-    with s.open_output_stream(f"{top}/{MANIFEST}") as f:
+    with s.open_output_stream(f"{top}/{MANIFEST}{uuid.uuid4().hex}.json") as f:
         f.write(json.dumps(sorted(files)).encode())
 
 
 def listed(path: str, suffixes: tuple[str, ...]) -> list[tuple[str, int]]:
-    """(path, bytes) of the archives of a folder: the manifest's, or all with such a suffix."""
+    """(path, bytes) of the archives of a folder: the manifests', or all with such a suffix."""
     s, top = store(path)
-    info = s.get_file_info([f"{top}/{MANIFEST}"])[0]
-    if info.type == fs.FileType.File:
-        with s.open_input_stream(info.path) as f:
-            return [(f"{top}/{n}", size) for n, size in json.loads(f.read())]
-    if s.get_file_info([top])[0].type == fs.FileType.File:
-        return [(top, s.get_file_info([top])[0].size)]
+    own = s.get_file_info([top])[0]
+    if own.type == fs.FileType.File:
+        return [(top, own.size)]
     found = s.get_file_info(fs.FileSelector(top, recursive=True, allow_not_found=True))
+    named, manifests = [], [x for x in found if x.base_name.startswith(MANIFEST)]
+    for info in manifests:
+        with s.open_input_stream(info.path) as f:
+            named += [(f"{top}/{n}", size) for n, size in json.loads(f.read())]
+    if manifests:
+        return sorted(named)
     return sorted((x.path, x.size) for x in found if x.type == fs.FileType.File and x.path.endswith(suffixes))
 
 

@@ -5,7 +5,8 @@ The writer puts each payload, losslessly as an 8-bit greyscale PNG of 192 column
 reader plans byte ranges over the archive folder from sizes alone: a task opens its archive's directory,
 takes the members that begin in its range, and streams their bytes as Arrow batches of bounded size. A
 member that cannot be read, or whose checksum fails, is read again from its own offset, three times
-over a newly opened file; if it still fails its row carries `error` and no media, and the rest go on.
+over a newly opened file; if it still fails its row carries `error` and no media, and the rest go on. An
+archive whose directory cannot be read gives one row with `error`, and neither key nor offset.
 
 Defined results: a null text is an empty one; an empty payload becomes one row of 192 blanks; null keys
 come back null; repeated rows are separate members; an empty table gives no archives and no rows; other
@@ -130,7 +131,7 @@ class MediaWriter(DataSourceArrowWriter):
                     raw = s.open_output_stream(f"{top}/{name}", compression=None)
                     out, size = (zipfile.ZipFile(raw, "w", zipfile.ZIP_STORED), raw), 0
                 key, body = keys[i].as_py(), media[i].as_py() or b""
-                out[0].writestr(zipfile.ZipInfo(f"{seen:x}/{'' if key is None else key}.png"), body)
+                out[0].writestr(zipfile.ZipInfo(f"{seen:x}/{'null' if key is None else f'={key}'}.png"), body)
                 seen, size = seen + 1, size + len(body)
                 if size >= self.most:
                     close()
@@ -153,6 +154,34 @@ class ByteRange(InputPartition):
     end: int
 
 
+class Reopened:
+    """A file that is opened anew after a failed read."""
+
+    def __init__(self, files, path: str):
+        self.files, self.path, self.f = files, path, None
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        if self.f is not None:
+            self.f.close()
+            self.f = None
+
+    def tried(self, read):
+        """(read(file), None), or (None, the error of the last of TRIES)."""
+        error = None
+        for _ in range(TRIES):
+            try:
+                if self.f is None:
+                    self.f = self.files.open_input_file(self.path)
+                return read(self.f), None
+            except (OSError, ValueError, struct.error, zipfile.BadZipFile, NotImplementedError) as e:
+                error = f"{type(e).__name__}: {e}"
+                self.__exit__()
+        return None, error
+
+
 class MediaReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.range_bytes = options["path"], int(options.get("range_bytes", 32 << 20))
@@ -167,26 +196,21 @@ class MediaReader(DataSourceReader):
             return
         s, _ = store(self.path)
         rows, held = [], 0
-        f = s.open_input_file(partition.path)
-        for m in zipfile.ZipFile(f).infolist():
-            if not partition.start <= m.header_offset < partition.end:
-                continue
-            media = error = None
-            for attempt in range(TRIES):
-                try:
-                    if attempt:
-                        f = s.open_input_file(partition.path)
-                    media, error = self.member(f, m), None
-                    break
-                except (OSError, ValueError, struct.error) as e:
-                    error = f"{type(e).__name__}: {e}"
-            key = m.filename.partition("/")[2].removesuffix(".png")
-            rows.append({"key": key or None, "media": media, "archive": partition.path, "offset": m.header_offset, "error": error})
-            held += len(media or b"") + 100
-            if held >= BATCH_BYTES:
-                yield pa.RecordBatch.from_pylist(rows, schema=_READ)
-                rows, held = [], 0
-        f.close()
+        with Reopened(s, partition.path) as archive:
+            members, error = archive.tried(lambda f: zipfile.ZipFile(f).infolist())
+            if error and not partition.start:
+                rows.append({"key": None, "media": None, "archive": partition.path, "offset": None, "error": error})
+            for m in members or []:
+                if not partition.start <= m.header_offset < partition.end:
+                    continue
+                media, error = archive.tried(lambda f, m=m: self.member(f, m))
+                name = m.filename.partition("/")[2].removesuffix(".png")
+                key = name[1:] if name.startswith("=") else None if name == "null" else name
+                rows.append({"key": key, "media": media, "archive": partition.path, "offset": m.header_offset, "error": error})
+                held += len(media or b"") + 100
+                if held >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_READ)
+                    rows, held = [], 0
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=_READ)
 
@@ -222,7 +246,6 @@ class MediaSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(MediaSource)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

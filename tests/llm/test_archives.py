@@ -51,6 +51,55 @@ def test_warc_round_trip_and_pushdown(spark, pages_dir, tmp_path):
     assert len(left) == 1 and reader.wanted == [("warc-type", {"revisit"})]
 
 
+def test_archives_follow_the_standard(spark, pages_dir, tmp_path):
+    """Required fields, unique ids, references, HTTP entities; two commits add up."""
+    import gzip
+    import re
+
+    path = str(tmp_path / "w")
+    pages = spark.read.parquet(f"{pages_dir}/pages.parquet")
+    warc.write_warc(warc.plan_revisits(pages), path)
+    seen = {}
+    for name in glob.glob(f"{path}/*.warc.gz"):
+        data, first = gzip.open(name).read(), True
+        while data:
+            head, _, rest = data.partition(b"\r\n\r\n")
+            lines = head.decode().split("\r\n")
+            assert lines[0] == "WARC/1.1"
+            f = dict(x.split(": ", 1) for x in lines[1:])
+            body, data = rest[: int(f["Content-Length"])], rest[int(f["Content-Length"]) :]
+            assert data[:4] == b"\r\n\r\n"
+            data = data[4:]
+            assert re.fullmatch(r"<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", f["WARC-Record-ID"])
+            assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", f["WARC-Date"])
+            assert (f["WARC-Type"] == "warcinfo") == first
+            first = False
+            if f["WARC-Type"] == "warcinfo":
+                assert f["Content-Type"] == "application/warc-fields" and f["WARC-Filename"] == name.rpartition("/")[2]
+                continue
+            assert f["WARC-Target-URI"] and f["Content-Type"] == "application/http; msgtype=response"
+            assert f["WARC-Record-ID"] not in seen or f["X-Page-Id"] == "7"  # the repeated row
+            seen[f["WARC-Record-ID"]] = f
+            entity = body.partition(b"\r\n\r\n")[2]
+            assert body.startswith(b"HTTP/1.1 200 OK\r\n")
+            if f["WARC-Type"] == "response":
+                assert f["WARC-Payload-Digest"] == "sha1:" + hashlib.sha1(entity).hexdigest() and "WARC-Profile" not in f
+            else:
+                assert entity == b"" and f["WARC-Profile"] == warc.SAME_PAYLOAD
+    assert len(seen) == len(PAGES) - 1
+    revisits = [f for f in seen.values() if f["WARC-Type"] == "revisit"]
+    assert revisits
+    for f in revisits:
+        to = seen[f["WARC-Refers-To"]]
+        assert to["WARC-Type"] == "response" and to["WARC-Payload-Digest"] == f["WARC-Payload-Digest"] and to["X-Page-Id"] == f["X-Refers-To-Page-Id"]
+        assert f["WARC-Refers-To-Target-URI"] == to["WARC-Target-URI"] and f["WARC-Refers-To-Date"] == to["WARC-Date"]
+    warc.write_warc(warc.plan_revisits(pages.where("page_id = 10")), path)
+    again = warc.read_warc(spark, path).where("record_type <> 'warcinfo'")
+    assert again.count() == len(PAGES) + 1 and again.where("page_id = 10").count() == 2
+    wanted = again.where(f"record_id = '{revisits[0]['WARC-Record-ID'].strip('<>')}'").collect()
+    assert [r.record_type for r in wanted] == ["revisit"]
+
+
 class Counting(io.BytesIO):
     total = 0
 
@@ -72,6 +121,10 @@ def test_unwanted_payloads_are_not_read(tmp_path):
     assert [(h["x-page-id"], b == body) for _, h, b in warc.plain_records(io.BytesIO(plain), len(plain), lambda h: True, True)] == [(str(i), True) for i in range(4)]
     other = gzip.compress(plain[: len(plain) // 4]) + gzip.compress(plain[len(plain) // 4 : len(plain) // 2])  # members without a length
     assert [b == body for *_, b in warc.gz_records(io.BytesIO(other), len(other), lambda h: True, True)] == [True, True]
+    for cut in (len(plain) - 2000, len(plain) - 2, len(plain) // 4 + 20):
+        for payload in (True, False):
+            with pytest.raises(EOFError):
+                list(warc.plain_records(io.BytesIO(plain[:cut]), cut, lambda h: True, payload))
     with pytest.raises(EOFError):
         list(warc.gz_records(io.BytesIO(data[:-2000]), len(data) - 2000, lambda h: True, True))
 
@@ -108,6 +161,27 @@ def test_a_damaged_member_fails_alone(spark, odd, tmp_path):
     assert len(out) == 1 and out[0].payload_sha256 is None
 
 
+def test_a_damaged_directory_is_a_row_and_commits_add_up(spark, odd, tmp_path):
+    path = str(tmp_path / "m")
+    some = odd.where("text IS NOT NULL").limit(20).coalesce(1)
+    media.write_media(some, path)
+    (archive,) = glob.glob(f"{path}/*.zip")
+    media.write_media(some, path)
+    assert media.read_media(spark, path).count() == 40
+    with open(archive, "r+b") as f:
+        f.seek(-22, 2)
+        f.write(b"\0" * 22)
+    rows = media.read_media(spark, path, range_bytes=3000).collect()
+    bad = [r for r in rows if r.error]
+    assert len(rows) == 21 and len(bad) == 1 and "BadZipFile" in bad[0].error and bad[0].key is None and bad[0].media is None
+
+
+def test_a_null_key_is_not_an_empty_one(spark, tmp_path):
+    path = str(tmp_path / "m")
+    media.write_media(spark.createDataFrame([(None, "a"), ("", "b"), ("null", "c"), ("x/y.png", "d")], "doc_id string, text string"), path)
+    assert {r.key for r in media.read_media(spark, path).collect()} == {None, "", "null", "x/y.png"}
+
+
 def test_a_member_is_read_again(tmp_path, monkeypatch):
     import zipfile
 
