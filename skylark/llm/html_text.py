@@ -1,17 +1,24 @@
 """HTML extraction by the maximum-scoring subsequence of a page's tokens.
 
 A page is read as tokens: words and tags. Each has the score log P(token | in the main text) / P(token |
-outside), so words score above zero and the tags of menus and frames below. The probabilities come from
-labelled pages: those that mark their own main text by an article element, of which a sample bounded by
-`sample` pages is counted. One linear scan finds the contiguous run of tokens with the largest sum.
-Elements that never belong to an article (menus, headers, footers, side bars, notices, adverts, forms,
-comments, scripts and styles) are cut out before the scan wherever they stand, also inside the run.
+outside), so words score above zero and the tags of menus and frames below; a tag's token has its first
+class, so names count by what labelled pages teach. The probabilities come from pages that mark their own
+main text by an article element, of which a sample bounded by `sample` pages is counted. One linear scan
+finds the contiguous run of tokens with the largest sum.
+
+A run cannot have holes, so elements that never belong to an article are cut out before the scan wherever
+they stand: menus, headers, footers, side bars, notices, adverts, forms, reader comments, scripts and styles.
+They are known by element and role, and containers (div, section, list, table, span) by a class or id that is
+such a name as a whole, with a suffix like -box or -list at most. Headings, paragraphs, quotes, table cells and
+text-level elements are never cut by name.
 
 The text of the run: character references are decoded, a block's blanks become single ones, and blocks
 are joined by one blank; inline tags join what they divide.
 
 Defined results: a null or empty page, or one without words, gives an empty text; an element that is
-never closed loses its tag only; a raw element (script, style) that is never closed reaches to the end;
+never closed loses its tag only, but a script or style that is never closed reaches to the end, as in a
+browser; where the quotes of a tag leave it without an end, quotes have no meaning from there on; reading is
+linear in the length of a page, whatever it holds;
 null ids and repeated rows are pages like others; an empty table gives an empty result; other columns
 are ignored. If no page marks an article, the weights of PLAIN are used.
 """
@@ -28,25 +35,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:\s+(?:"[^"]*"|'[^']*'|[^"'>])*|/)?)>|<(?=/?[a-zA-Z])[^>]*(?:>|\Z)""", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|\Z)""", re.IGNORECASE)
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "canvas", "select", "button", "xmp"}
+_TAG = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:_-]*)")
+_STOP = re.compile(r"""[>"']""")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Elements whose content is no markup.
+_RAW = {"script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-_FRAME = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "head"}
-_KEEP = {"html", "body", "article", "main"}
+_INLINE = {
+    "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp",
+    "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "math", "mi", "mn", "mo", "ms", "mtext", "mrow", "msup", "msub", "mfrac", "msqrt",
+}
+_FRAME = {
+    "nav", "header", "footer", "aside", "form", "menu", "dialog", "head", "button", "select", "datalist", "svg", "canvas", "object", "template", "noscript",
+}
+#: Only these are cut by a name.
+_CONTAINER = {"div", "section", "ul", "ol", "dl", "table", "span", "article", "center", "details", "fieldset"}
 _NAMES = re.compile(
-    r"(?:ads?|advert(?:s|isement|ising)?|banner|side-?bar|cookies?|consent|gdpr|notice|alert|comments?|comment-?list|respond|replies|disqus\w*|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|promo|promotion"
+    r"(?:(?:site|page|top|left|right|global|user|reader)[-_])?"
+    r"(?:ads?|advert(?:s|isement|ising)?|banner|side-?bar|cookies?|consent|gdpr|notice|alert|comments?|respond|replies|disqus\w*|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|promo|promotion"
     r"|sponsor(?:ed)?|share|sharing|social|related|newsletter|subscribe|subscription|pop-?up|modal|overlay|log-?in|sign-?up|disclaimer|toolbar|pagination|pager|widgets?|recommend(?:ed|ations)?|skip-?link|hidden|copyright)"
-    r"(?:[-_](?:box|bar|wrap|wrapper|container|block|section|list|area|banner|form|links?|menu|top|bottom|left|right|content|inner|\d+))*"
-    r"|(?:ads?|advert|cookie|comment|sidebar|nav|menu|footer|header|promo|social|share|newsletter)[-_]\w[\w-]*"
-    r"|(?:site|page|main|top|left|right|global|user|reader)[-_](?:header|footer|nav|menu|sidebar|banner|comments?|notice)"
+    r"(?:[-_](?:box|bar|wrap|wrapper|container|block|section|list|area|banner|form|links?|menu|top|bottom|left|right|inner|notice|thread|buttons?|slot|unit|\d+))*"
 )
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu"}
 
 
-#: Scores where there is nothing to learn from: links and list items cost more than paragraphs.
-PLAIN = {" ": 1.0} | {f"{end}{t}": s for end in ("", "/") for s, names in ((-0.1, _INLINE - {"a"}), (-0.2, {"p", "br", "h1", "h2", "h3", "h4", "blockquote", "pre", "article", "main", "section", "div"}), (-1.5, {"a", "li", "ul", "ol", "td", "tr"})) for t in names} | {f"-{t}": -0.2 for t in ("div", "p", "aside", "form", "section")}
+def _plain() -> dict[str, float]:
+    """Scores where there is nothing to learn from: links and list items cost more than paragraphs."""
+    blocks = {"p", "br", "h1", "h2", "h3", "h4", "blockquote", "pre", "article", "main", "section", "div"}
+    costs = ((-0.1, _INLINE - {"a"}), (-0.2, blocks), (-1.5, {"a", "li", "ul", "ol", "td", "tr"}))
+    tags = {f"{end}{t}": cost for end in ("", "/") for cost, names in costs for t in names}
+    return {" ": 1.0} | tags | {f"-{t}": -0.2 for t in _FRAME | _CONTAINER}
+
+
+PLAIN = _plain()
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -55,35 +76,66 @@ def _attributes(raw: str) -> dict[str, str]:
 
 def _frame(name: str, at: dict[str, str]) -> bool:
     """Whether such an element never belongs to an article."""
-    if name in _KEEP or name in _VOID:
-        return name == "article" and any(_NAMES.fullmatch(t) for t in at.get("class", "").lower().split())
-    if name in _FRAME or "hidden" in at or at.get("aria-hidden") == "true" or at.get("role", "").lower() in _ROLES:
+    if name in _FRAME:
+        return True
+    if name in ("html", "body", "main") or name in _VOID:
+        return False
+    if name != "article" and ("hidden" in at or at.get("aria-hidden") == "true" or at.get("role", "").lower() in _ROLES):
         return True
-    return any(_NAMES.fullmatch(t) for t in f"{at.get('class', '')} {at.get('id', '')}".lower().split())
+    names = f"{at.get('class', '')} {'' if name == 'article' else at.get('id', '')}"
+    return name in _CONTAINER and any(_NAMES.fullmatch(t) for t in names.lower().split())
 
 
-def tokens(page: str) -> list[tuple[str | None, str]]:
-    """(feature, text): a tag's feature, or None and a text between tags; frames are cut out."""
-    flat: list[tuple[str, str, str]] = []  # kind, name, text or attributes
-    at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            flat.append(("t", "", page[at:]))
-            break
-        if m.start() > at:
-            flat.append(("t", "", page[at : m.start()]))
-        at = m.end()
-        if m[2] is None:
+def _scan(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, rest) of a page's texts (t), opening (o) and closing (c) tags, in one pass."""
+    at, end, quoted, absent = 0, len(page), True, set()
+    text = 0  # where the text begins that has not been returned
+    while (lt := page.find("<", at)) >= 0:
+        if page.startswith("<!--", lt):
+            close = page.find("-->", lt + 4)
+            stop, tag = (close + 3 if close >= 0 else end), None
+        elif page[lt + 1 : lt + 2] in ("!", "?"):
+            close = page.find(">", lt)
+            stop, tag = (close + 1 if close >= 0 else end), None
+        elif (tag := _TAG.match(page, lt + 1)) is None:
+            at = lt + 1
+            continue
+        else:
+            pos, stop = tag.end(), -1
+            while quoted and stop < 0:
+                m = _STOP.search(page, pos)
+                if m is not None and m[0] == ">":
+                    stop = m.end()
+                elif m is None or (pos := page.find(m[0], m.end()) + 1) == 0:
+                    quoted = False
+            if stop < 0:
+                close = page.find(">", tag.end())
+                stop = close + 1 if close >= 0 else end
+        if lt > text:
+            yield "t", "", page[text:lt]
+        at = text = stop
+        if tag is None:
             continue
-        name = m[2].lower()
-        if m[1]:
-            flat.append(("c", name, ""))
-        elif name in _RAW and not m[3].endswith("/"):
-            close = re.compile(rf"</{re.escape(name)}(?=[\s>/])[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
-            at = close.end() if close else end
+        name, rest = tag[2].lower(), page[tag.end() : stop].removesuffix(">")
+        if tag[1]:
+            yield "c", name, ""
+        elif name in _RAW and not rest.endswith("/"):
+            close = None if name in absent else re.compile(rf"</{name}(?=[\s>/])[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
+            if close is not None:
+                at = text = close.end()
+            elif name in ("script", "style"):
+                return
+            else:
+                absent.add(name)
         else:
-            flat.append(("o", name, m[3]))
+            yield "o", name, rest
+    if text < end:
+        yield "t", "", page[text:]
+
+
+def tokens(page: str) -> list[tuple[str | None, str]]:
+    """(feature, text): a tag's feature, or None and a text between tags; frames are cut out."""
+    flat = list(_scan(page))
     # the closing tag of each opening one, by name, innermost first
     close_of: dict[int, int] = {}
     open_: dict[str, list[int]] = {}
@@ -157,6 +209,18 @@ def weights(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", s
     return score
 
 
+def best_run(values: list[float]) -> tuple[float, int, int]:
+    """Sum, begin and end of the contiguous run with the largest sum; of equal ones the first, 0 and nothing if none is above 0."""
+    best, run, begin, span = 0.0, 0.0, 0, (0, 0)
+    for i, v in enumerate(values):
+        if run <= 0:
+            run, begin = 0.0, i
+        run += v
+        if run > best:
+            best, span = run, (begin, i + 1)
+    return best, *span
+
+
 def extract(page: str | None, score: dict[str, float]) -> str:
     """The main text of one page."""
     if not page:
@@ -164,19 +228,14 @@ def extract(page: str | None, score: dict[str, float]) -> str:
     toks = tokens(page)
     score, unknown = (score, -0.5) if score else (PLAIN, -3.0)
     word = score[" "]
-    best, run, begin, span = 0.0, 0.0, 0, (0, 0)
-    for i, (f, text) in enumerate(toks):
+
+    def value(f: str | None, text: str) -> float:
         if f is None:
-            s = word * len(text.split())
-        else:
-            s = score.get(f)
-            if s is None:
-                s = score.get(("/" if f[0] == "/" else "-" if f[0] == "-" else "") + _name(f), unknown)
-        if run <= 0:
-            run, begin = 0.0, i
-        run += s
-        if run > best:
-            best, span = run, (begin, i + 1)
+            return word * len(text.split())
+        s = score.get(f)
+        return score.get(("/" if f[0] == "/" else "-" if f[0] == "-" else "") + _name(f), unknown) if s is None else s
+
+    _, *span = best_run([value(*t) for t in toks])
     parts = []
     for f, text in toks[slice(*span)]:
         if f is None:
@@ -194,7 +253,6 @@ def extract_text(pages: DataFrame, score: dict[str, float], id_col: str = "page_
             text = [extract(p, score) for p in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
