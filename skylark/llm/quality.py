@@ -6,8 +6,9 @@ and pairs of equal neighbours. A feature's value is 1 + log of its count, and a
 1. Words are hashed over the text's bytes at once, and a score is one sparse dot product.
 
 The weights are trained on a sample of about 2 x `per_class` labelled rows, drawn by class by a hash of
-the id and weighted back to the classes' true shares. Features are computed by all executors; the sample's vectors, which are bounded,
-are read by one task, that runs the updates and returns the weights other than zero.
+the id, of at most `class_bytes` of text a class, and weighted back to the classes' true shares. Features are
+computed by all executors; the sample's vectors, which are bounded in rows and bytes, are read by one task,
+that runs the updates and returns the weights other than zero.
 
 Defined results: a null or empty text has no features, its score is that of the bias; null ids are scored
 like others; repeated rows get equal scores; without both labels every score is 0.5 or the label's share;
@@ -122,7 +123,6 @@ def score(docs: DataFrame, w: np.ndarray, folds: int = 3, fold: int = 1, id_col:
             p = 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     key = F.col(id_col).cast("long")
     return docs.select(key.alias("doc_id"), held_out(key, folds, fold).alias("held_out"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 

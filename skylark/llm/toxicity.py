@@ -31,7 +31,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, mix, shingle_hashes, word_hashes
@@ -48,13 +48,13 @@ def terms_of(text: str) -> set[str]:
     return words | {f"{w[:n]}*" for w in words for n in PREFIXES if len(w) > n}
 
 
-def _g2(a: float, b: float, na: float, nb: float) -> float:
+def _g2(a: Column, b: Column, na: int, nb: int) -> Column:
     """Log-likelihood ratio of a in na against b in nb."""
-    out = 0.0
+    out = F.lit(0.0)
     for k, n in ((a, na), (b, nb)):
         e = (a + b) * n / (na + nb)
-        f = (na + nb - a - b) * n / (na + nb)
-        out += (k * math.log(k / e) if k else 0) + ((n - k) * math.log((n - k) / f) if n > k and f else 0)
+        f = n - e
+        out += F.when(k > 0, k * F.log(k / e)).otherwise(0.0) + F.when((F.lit(n) > k) & (f > 0), (n - k) * F.log((n - k) / f)).otherwise(0.0)
     return 2 * out
 
 
@@ -239,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int
     n, share = sum(total.values()), (total.get(1, 0) / sum(total.values()) if total else 0.0)
     if len(total) < 2:
         return Model(Finder([]), None, share, share, k, pull)
-    rows = materialise(texts.select("doc_id", "label", "text").dropDuplicates(), "toxicity-sample")
+    rows = texts.select("doc_id", "label", "text")
     stay = _different(rows)
     keys = set(stay)
 
@@ -255,13 +255,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([y] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], names=["term", "label", "n"])
 
     counted = rows.select("doc_id", "label", "text").mapInArrow(count, "term string, label int, n long").groupBy("term").agg(F.sum(F.expr("if(label = 1, n, 0)")).alias("a"), F.sum(F.expr("if(label = 0, n, 0)")).alias("b"))
-    # at least 8 toxic texts of the sample: a bounded list
-    found = counted.where("a >= 8 OR term = ''").collect()
-    taken = next(((r["a"], r["b"]) for r in found if r["term"] == ""), (0, 0))
+    counted = materialise(counted, "toxicity-terms")
+    taken = next(((r["a"], r["b"]) for r in counted.where("term = ''").collect()), (0, 0))
     if not all(taken):
         return Model(Finder([]), None, share, share, k, pull)
     votes = {1: total[1] / taken[0], 0: total[0] / taken[1]}
-    terms = sorted(r["term"] for r in found if r["term"] and r["a"] * votes[1] >= r["b"] * votes[0] and r["a"] / taken[0] > r["b"] / taken[1] and _g2(r["a"], r["b"], *taken) >= strength)
+    tied = (F.col("a") * votes[1] >= F.col("b") * votes[0]) & (F.col("a") / taken[0] > F.col("b") / taken[1]) & (_g2(F.col("a"), F.col("b"), *taken) >= strength)
+    terms = sorted(r["term"] for r in counted.where("term <> ''").where(tied).select("term").collect())
     finder = Finder(terms)
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +273,6 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int
                     df[i] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(df), pa.int32()), pa.array(df[df > 0])], names=["term", "n"])
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     df = {r["term"]: r["n"] for r in docs.select(F.col("text").cast("string")).mapInArrow(frequency, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()} if terms else {}
     idf = np.array([math.log((1 + df.get(len(terms), 0)) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
 
@@ -310,7 +309,6 @@ def score(docs: DataFrame, model: Model, folds: int = 5, fold: int = 0, id_col:
             p = np.array([g[0] for g in got], np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array([g[1] for g in got], kind)], names=["doc_id", "held_out", "score", "predicted", "evidence"])
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     key = F.col(id_col).cast("long")
     return docs.select(key.alias("doc_id"), held_out(key, folds, fold).alias("held_out"), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id long, held_out boolean, score double, predicted int, evidence {_EVIDENCE}")
 
@@ -325,7 +323,6 @@ def keep_documents(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFra
         for b in batches:
             yield b.filter(pa.array([m(t.as_py())[0] < limit for t in b.column(at)], pa.bool_()))
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return docs.mapInArrow(run, docs.schema)
 
 
