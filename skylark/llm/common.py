@@ -4,8 +4,8 @@ vectorised word hashes."""
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
-from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,12 +20,15 @@ _DIRS: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one under /tmp where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one under /tmp on a
+    local master; on a cluster it raises ValueError, since executors would write to disks of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         sc = spark.sparkContext
         base = sc.getCheckpointDir()
         if not base:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             sc.setCheckpointDir(f"/tmp/checkpoints/{sc.applicationId}")
             base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/skylark-{spark.sparkContext.applicationId}"
@@ -51,11 +54,6 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def drop_table(spark: SparkSession, path: str) -> None:
-    """Delete one table made by materialise() that is no longer read."""
-    _remove(spark, path)
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it again.
 
@@ -135,13 +133,3 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
         h += mix(words[i : k - n + 1 + i] + _STEPS[i]) * _COEF[i]
     return mix(h + np.uint64(n))
 
-
-def batched(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the rows of an Arrow batch, since texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def column_order(names: Iterable[str], first: Iterable[str]) -> list[str]:
-    """names without those in first."""
-    gone = set(first)
-    return [n for n in names if n not in gone]

@@ -82,7 +82,6 @@ def signatures(docs: DataFrame, words: int, rows: int, id_col: str = "doc_id", t
                 bands.append(sign(s).view(np.int64) if s.size else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_key", "n", "k1", "k2", "bands"])
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     text = F.col(text_col).cast("string")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), _key(text), text.alias("text")).mapInArrow(run, "doc_id long, text_key long, n long, k1 long, k2 long, bands array<long>")
 

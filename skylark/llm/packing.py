@@ -8,10 +8,11 @@ any other text goes to the tokenizer as it is. Both give the same ids.
 Packing: only lengths matter, and there are at most `capacity` of them, so the algorithm runs on the
 driver over the histogram of lengths, never over documents. A bin is filled greedily, longest first;
 then its shortest piece is replaced by the two unpacked pieces that together fill the widened gap
-best, if that is tighter. The bin is repeated as often as the counts allow, which uses up at least one
+best, if that is tighter. Replacing early can cost a bin later, so the packing is done twice, once replacing
+wherever it is tighter and once only where the bin is then full, and the one with fewer bins counts. The bin is repeated as often as the counts allow, which uses up at least one
 length, so there are at most `capacity` different bins whatever the number of documents. Each bin and
 length owns a run of ranks, and each piece finds its place by its rank within its length. The ranks
-are counted in salted blocks, so a length that a third of all pieces have is no hot key.
+are counted in salted blocks, the more the more pieces have the length, so no length is a hot key.
 
 Defined results: a null or empty text is its end token alone; null ids and repeated rows are packed as
 others; an empty table gives an empty result; other columns are ignored.
@@ -118,18 +119,16 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                 yield pa.RecordBatch.from_arrays(arrays, names=[*_PIECES.names, "ids"][: len(arrays)])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(cut, schema)
 
 
 def pack_lengths(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
-    """(times, lengths) of the bins that hold counts[n] pieces of each length n.
+    """(times, lengths) of the bins that hold counts[n] pieces of each length n."""
+    return min((best_two_fit(counts, capacity, full) for full in (False, True)), key=lambda bins: sum(t for t, _ in bins))
 
-    Best-two-fit can need a bin more than greedy filling alone (first fit decreasing); the better one counts."""
-    return min((_fill(counts, capacity, two) for two in (True, False)), key=lambda bins: sum(t for t, _ in bins))
 
-
-def _fill(counts: dict[int, int], capacity: int, two: bool) -> list[tuple[int, list[int]]]:
+def best_two_fit(counts: dict[int, int], capacity: int, full: bool = False) -> list[tuple[int, list[int]]]:
+    """Bins by best-two-fit; with `full` a piece is replaced only where that fills the bin."""
     have = np.zeros(capacity + 1, np.int64)
     for n, c in counts.items():
         have[n] = c
@@ -150,7 +149,7 @@ def _fill(counts: dict[int, int], capacity: int, two: bool) -> list[tuple[int, l
             items += [n] * k
             used[n] += k
             gap -= n * k
-        if two and gap and len(items) > 1:
+        if gap and items:
             n = items[-1]
             room = gap + n
             left = have - used  # the replaced piece itself is not one of the two
@@ -166,7 +165,7 @@ def _fill(counts: dict[int, int], capacity: int, two: bool) -> list[tuple[int, l
                 if a.size:
                     b = small[at2]
                     i = int(np.argmax(a + b))
-                    if a[i] + b[i] > n:
+                    if a[i] + b[i] > n and (not full or a[i] + b[i] == room):
                         best = int(a[i]), int(b[i]), int(a[i] + b[i])
             if best:
                 items.pop()
@@ -221,12 +220,14 @@ def pack(parts: DataFrame, capacity: int = 2048, block_rows: int = 500) -> DataF
     """parts (doc_id, piece, start, length, ...) with sequence_id and offset. parts is read twice."""
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = Places(pack_lengths(counts, capacity))
-    salts = max(1, max(counts.values(), default=0) // block_rows)
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    spark = parts.sparkSession
+    salts = spark.createDataFrame([(n, max(1, c // block_rows)) for n, c in counts.items()], "length long, salts long")
+    salted = parts.join(F.broadcast(salts), "length")  # at most `capacity` rows
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts")).cast("int")).drop("salts")
     ranked = salted.selectExpr("*", "row_number() OVER (PARTITION BY length, salt ORDER BY doc_id, piece, ids_crc32) AS nth")
     starts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).selectExpr("length", "salt", "sum(n) OVER (PARTITION BY length ORDER BY salt) - n AS first")
     rows = ranked.join(starts, ["length", "salt"]).withColumn("rank", F.col("first") + F.col("nth") - 1).drop("salt", "nth", "first")
-    sent = parts.sparkSession.sparkContext.broadcast(places)  # at most about `capacity` x 60 runs
+    sent = spark.sparkContext.broadcast(places)  # at most about `capacity` x 60 runs
     names = [c for c in rows.columns if c not in ("rank",)]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
