@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RULE = "id string, pattern string, anchoring string, context string, enabled boolean, valid_from long, valid_until long, query string, remove array<string>, filters string, user_data string"
+RULE = (
+    "id string, pattern string, anchoring string, context string, enabled boolean, valid_from long, valid_until long, "
+    "query string, remove array<string>, filters string, user_data string"
+)
+#: A rule that also pins and hides objects.
+RULE_WITH_PINS = f"{RULE}, promote array<struct<object_id:string,position:int>>, hide array<string>, filter_promotes boolean"
 
 
 def applies(query: Column, context: Column, now: Column) -> Column:
@@ -21,12 +26,14 @@ def applies(query: Column, context: Column, now: Column) -> Column:
 def apply_rules(queries: DataFrame, rules: DataFrame, now: int = 0) -> DataFrame:
     """query_id, text and what the rules make of it: rewritten, filters, user_data, applied_rules (ids in order).
 
-    Rules are a list that a merchandiser writes; they travel to each query as one array, not as a join of all pairs."""
+    Rules with the columns promote, hide and filter_promotes also give these, gathered in the order of ids. Rules
+    are a list that a merchandiser writes; they travel to each query as one array, not as a join of all pairs."""
     packed = rules.agg(F.sort_array(F.collect_list(F.struct(*rules.columns))).alias("rules"))
     asked = queries if "context" in queries.columns else queries.withColumn("context", F.lit(None).cast("string"))
     rows = asked.withColumnRenamed("context", "asked").join(F.broadcast(packed)).select("query_id", "text", "asked", F.explode_outer("rules").alias("r"))
     hit = rows.select("query_id", "text", "asked", "r.*").withColumn("hit", F.col("id").isNotNull() & applies(F.col("text"), F.col("asked"), F.lit(now)))
-    on = F.when(F.col("hit"), F.struct("id", "query", "remove", "filters", "user_data"))
+    pins = [c for c in ("promote", "hide", "filter_promotes") if c in rules.columns]
+    on = F.when(F.col("hit"), F.struct("id", "query", "remove", "filters", "user_data", *pins))
     got = hit.groupBy("query_id", "text").agg(F.array_sort(F.collect_list(on)).alias("a"))
     first = F.get(F.filter("a", lambda r: r["query"].isNotNull()), 0)["query"]
     removed = F.array_distinct(F.flatten(F.transform(F.filter("a", lambda r: r["remove"].isNotNull()), lambda r: r["remove"])))
@@ -34,9 +41,17 @@ def apply_rules(queries: DataFrame, rules: DataFrame, now: int = 0) -> DataFrame
     return got.select(
         "query_id", "text", edited.alias("rewritten"), F.array_join(F.transform(F.filter("a", lambda r: r["filters"].isNotNull()), lambda r: F.concat(F.lit("("), r["filters"], F.lit(")"))), " AND ").alias("filters"),
         F.array_join(F.transform(F.filter("a", lambda r: r["user_data"].isNotNull()), lambda r: r["user_data"]), "|").alias("user_data"), F.array_join(F.transform("a", lambda r: r["id"]), ",").alias("applied_rules"),
+        *[_together("a", c).alias(c) for c in pins],
     )
 
 
+def _together(rules: str, column: str) -> Column:
+    """The lists of a column of all rules as one, in order; for a switch whether any rule has it on."""
+    if column == "filter_promotes":
+        return F.exists(rules, lambda r: F.coalesce(r[column], F.lit(False)))
+    return F.flatten(F.transform(F.filter(rules, lambda r: r[column].isNotNull()), lambda r: r[column]))
+
+
 def replace_words(text: Column, edits: list[tuple[str, str | None]]) -> Column:
     """Words deleted (None) or replaced, one edit after the other."""
     out = text

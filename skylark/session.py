@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -32,7 +33,11 @@ def ship(spark: SparkSession) -> SparkSession:
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share; it goes when the driver ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
     path = f"{base.rstrip('/')}/work-{name}-{uuid.uuid4().hex}"
     atexit.register(_delete, spark, path)
     return path
