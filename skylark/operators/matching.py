@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,13 +38,13 @@ def parse_queries(queries: DataFrame, mode: str = "prefixLast") -> DataFrame:
     return rows.select("query_id", "qpos", "token", prefix.alias("prefix"), "n")
 
 
-def match(post: DataFrame, words: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+def match(post: DataFrame, words: DataFrame, weights: dict[str, float] | None = None, vocab: DataFrame | None = None) -> DataFrame:
     """query_id, object_id, score of the objects that have every word of a query; words as of parse_queries.
 
     Words meet the vocabulary first: whole words by equality, prefixes by equality of their first two
     characters and then by a comparison, so no join is without a key and postings are read only for terms
-    that a query needs."""
-    v = post.select("token").distinct()
+    that a query needs. vocab is a stored vocabulary; without it, it is derived from the postings."""
+    v = vocab.select("token") if vocab is not None else post.select("token").distinct()
     whole = words.where("NOT prefix").join(v.withColumnRenamed("token", "term"), F.col("token") == F.col("term"))
     # one-letter prefixes meet by one character, longer ones by two
     lead = words.where("prefix").withColumn("k", F.substring("token", 1, 2))
@@ -158,19 +160,67 @@ def relax(words: DataFrame, how: str, most: int = 5) -> DataFrame:
     return rounds.where(keep).withColumn("n", left)
 
 
-def cosine_neighbours(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def cosine_neighbours(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 1024) -> DataFrame:
     """query_id, vec_id, similarity, rank: exact cosine of a stated query set against all rows.
 
-    The query set, of a size that the caller bounds, goes to all tasks; each keeps its k best before the shuffle."""
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("q"), norm(F.col(vec_col)).alias("qn"))
-    batch = q.agg(F.collect_list(F.struct("query_id", "q", "qn")).alias("batch"))
-    rows = vectors.select(id_col, F.col(vec_col).alias("v"), norm(F.col(vec_col)).alias("vn")).join(F.broadcast(batch))
-    pairs = rows.select(id_col, "v", "vn", F.explode("batch").alias("b")).where(F.col("b.query_id") != F.col(id_col))
-    dot = F.aggregate(F.zip_with("v", "b.q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    scored = pairs.select(F.col("b.query_id").alias("query_id"), id_col, F.round(dot / (F.col("vn") * F.col("b.qn")), 6).alias("similarity"))
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), id_col))
-    return scored.withColumn("rank", best).where(F.col("rank") <= k)
+    Blocks of about `block` queries meet blocks of rows in tasks, each pair of blocks once, as a matrix product;
+    a task keeps the k best of each of its queries, so neither set needs to fit a task or the driver. A vector
+    without length has no neighbours."""
+    spark = vectors.sparkSession
+    count = max(1, -(-queries.count() // block))
+    cells = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    width = max(1, cells // count)
+    kind = vectors.schema[id_col].dataType.simpleString()
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.lit(False).alias("asks"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(width)).cast("int")).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    asks = queries.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.lit(True).alias("asks"))
+    asks = asks.withColumn("grp", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(count)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    both = rows.unionByName(asks).where("v IS NOT NULL").repartition(cells, "grp", "part").sortWithinPartitions("grp", "part", F.desc("asks"))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, units, kept = None, None, None, None
+
+        def unit(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            m = np.array(b.column("v").to_pylist(), np.float64).reshape(b.num_rows, -1)
+            n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+            return np.array(b.column("id").to_pylist()), np.where(n > 0, m / np.where(n > 0, n, 1), np.nan)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if kept:
+                found = [(a, i, s) for a, best_ in kept.items() for s, i in best_]
+                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate((id_type, id_type, pa.float64()))], names=["query_id", "id", "similarity"])
+
+        id_type = None
+        for b in batches:
+            id_type = b.schema.field("id").type
+            keys = np.stack([b.column("grp").to_numpy(), b.column("part").to_numpy(), ~b.column("asks").to_numpy(zero_copy_only=False)], axis=1)
+            edges = np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1
+            for lo, hi in zip([0, *edges], [*edges, b.num_rows], strict=True):
+                cell, rows_ = tuple(keys[lo][:2]), bool(keys[lo][2])
+                if cell != at:
+                    yield from flush()
+                    at, ids, units, kept = cell, [], [], {}
+                i, u = unit(b.slice(lo, hi - lo))
+                if not rows_:
+                    ids.append(i)
+                    units.append(u)
+                    continue
+                if not ids:
+                    continue
+                ids, units = [np.concatenate(ids)], [np.concatenate(units)]
+                near = np.round(units[0] @ u.T, 6)
+                for q, a in enumerate(ids[0].tolist()):
+                    s = near[q]
+                    ok = np.flatnonzero((i != a) & ~np.isnan(s))
+                    if ok.size > k:
+                        cut = np.partition(s[ok], ok.size - k)[ok.size - k]
+                        ok = ok[s[ok] >= cut]
+                    kept[a] = sorted([*kept.get(a, []), *zip(s[ok].tolist(), i[ok].tolist(), strict=True)], key=lambda x: (-x[0], x[1]))[:k]
+        yield from flush()
+
+    found = both.mapInArrow(best, f"query_id {kind}, id {kind}, similarity double").withColumnRenamed("id", id_col)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), id_col))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def weights_table(spark, searchable: Sequence[str], override=None) -> DataFrame:

@@ -13,6 +13,7 @@ from skylark.operators import analytics as an
 from skylark.operators import facets, matching, merchandising, ranking, recommend
 from skylark.plans.search import Index, IndexSettings, SearchRequest
 from skylark.plans.tables import INSIGHTS, SEARCHES, STORES, WORDS, insights, searches, stores, table, words
+from skylark.session import work_path
 from skylark.sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,10 +54,11 @@ def concat_tokens(s, d):
 
 
 @query("""SELECT c_custkey, array_to_string(list_distinct(regexp_extract_all(lower(c_name), '[a-z0-9]+')), ' ') IS NOT NULL AS ok,
-  len(regexp_extract_all(lower(c_name), '[a-z0-9]+')) + CASE WHEN c_name LIKE '%#%' THEN 1 ELSE 0 END AS n_tokens FROM customer""")
+  len(regexp_extract_all(lower(c_name), '[a-z0-9]+')) + CASE WHEN c_name LIKE '%#%' THEN 1 ELSE 0 END AS n_tokens,
+  array_to_string(regexp_extract_all(lower(c_name), '[a-z0-9]+'), ' ') || CASE WHEN c_name LIKE '%#%' THEN ' ' || replace(lower(c_name), '#', '') ELSE '' END AS tokens FROM customer""")
 def tokenize_full(s, d):
     t = table(s, d, "customer").select("c_custkey", text.tokenize(F.col("c_name")).alias("t"))
-    return t.select("c_custkey", F.col("t").isNotNull().alias("ok"), F.size("t").cast("long").alias("n_tokens"))
+    return t.select("c_custkey", F.col("t").isNotNull().alias("ok"), F.size("t").cast("long").alias("n_tokens"), F.array_join("t.token", " ").alias("tokens"))
 
 
 @query(f"""WITH {WORDS} SELECT token, substring(token, 1, k::INT) AS gram FROM (SELECT token, unnest(range(2, least(20, length(token)) + 1)) AS k FROM words)""")
@@ -75,9 +77,9 @@ def fuzzy_distance_rule(s, d):
 
 
 @query("""SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x NOT IN ('a','an','and','are','as','at','be','by','for','from','in','is','it','of','on','or','that','the','this','to','was','with')))::BIGINT AS kept
-FROM documents WHERE lang = 'en'""")
+FROM documents""")
 def stopword_removal(s, d):
-    t = table(s, d, "documents").where("lang = 'en'")
+    t = table(s, d, "documents")
     return t.select("doc_id", F.size(text.without_stop_words(text.ascii_tokens(F.col("text")))).cast("long").alias("kept"))
 
 
@@ -115,11 +117,12 @@ for _name, _mode, _prefix in (("match_all_terms", "prefixNone", "false"), ("pref
     query(_match_sql(_prefix), _name)(lambda s, d, m=_mode: _matched(s, d, m))
 
 
-@query("""SELECT p_partkey AS object_id FROM part WHERE list_contains(string_split(p_name, ' '), 'ri')""")
+@query("""WITH q(query_id, word, typing) AS (VALUES (0, 'ri', false), (1, 'ri', true), (2, 'ring', false)), p AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)
+SELECT query_id, p_partkey AS object_id FROM q, p WHERE len(list_filter(w, lambda x: x = word OR (typing AND starts_with(x, word)))) > 0""")
 def trailing_space_exact(s, d):
-    q = s.createDataFrame([(0, "ri ")], "query_id int, text string")
+    q = s.createDataFrame([(0, "ri "), (1, "ri"), (2, "ring ")], "query_id int, text string")
     post = matching.postings(part(s, d), "p_partkey", ["p_name"])
-    return matching.match(post, matching.parse_queries(q)).select("object_id")
+    return matching.match(post, matching.parse_queries(q)).select("query_id", "object_id")
 
 
 @query("SELECT doc_id AS object_id, lang FROM documents", "match_everything")
@@ -155,10 +158,11 @@ def split_alternatives(s, d):
     return text.split_alternatives(s.createDataFrame([(g,) for g in GLUED], "token string"), words(s, d))
 
 
-@query("""WITH q(text) AS (VALUES ('blue tooth'), ('Hot dog stand'), ('a b c d e f'), ('single')), t AS (SELECT text, string_split(lower(text), ' ') AS w FROM q)
+@query("""WITH q AS (SELECT DISTINCT p_name || ' ' || p_type || ' ' || p_brand AS text FROM part UNION SELECT DISTINCT p_name FROM part), t AS (SELECT text, string_split(lower(text), ' ') AS w FROM q)
 SELECT text, array_to_string(list_concat(list_transform(range(1, least(len(w), 5)), lambda i: w[i] || w[i + 1]), CASE WHEN len(w) >= 3 THEN [array_to_string(w, '')] ELSE [] END), '|') AS joined FROM t""")
 def concat_alternatives(s, d):
-    q = s.createDataFrame([("blue tooth",), ("Hot dog stand",), ("a b c d e f",), ("single",)], "text string")
+    p = part(s, d)
+    q = p.select(F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text")).unionByName(p.select(F.col("p_name").alias("text"))).distinct()
     return q.select("text", F.array_join(text.joined_alternatives(F.split("text", " ")), "|").alias("joined"))
 
 
@@ -239,9 +243,10 @@ def numeric_filters_list(s, d):
     return part(s, d).where(ff.numeric_filters(["p_size:3 TO 30", ["p_retailprice<910", "p_retailprice>=915"]])).select("p_partkey")
 
 
-@query("SELECT p_partkey FROM part WHERE false")
+@query("SELECT p_partkey FROM part WHERE p_type = 'PROMO'")
 def undeclared_facet_empty(s, d):
-    return part(s, d).where(ff.parse_filter("p_brand:'Brand#11'", ff.Settings(facets={"p_type"}))).select("p_partkey")
+    """Of two alternatives only the declared facet matches."""
+    return part(s, d).where(ff.parse_filter("p_type:PROMO OR p_brand:'Brand#11'", ff.Settings(facets={"p_type"}))).select("p_partkey")
 
 
 @query("SELECT p_partkey FROM part WHERE list_contains(string_split(p_name, ' '), 'red') AND NOT list_contains(string_split(p_name, ' '), 'ring')")
@@ -333,12 +338,6 @@ def pin_hide(s, d):
     return ranking.pin(p, p.where("p_type = 'PROMO'"), PINS, [8, 17], [F.desc("p_retailprice")], "p_partkey")
 
 
-@query("""SELECT p_partkey, row_number() OVER (ORDER BY (p_size % 3) ASC, (p_size % 5) DESC, p_retailprice DESC NULLS LAST, p_partkey)::INT AS pos FROM part QUALIFY pos <= 50""")
-def ranking_criteria(s, d):
-    rows = part(s, d).withColumn("typos", F.col("p_size") % 3).withColumn("words", F.col("p_size") % 5)
-    return ranking.top(rows, ranking.ranking_info(rows, ["desc(p_retailprice)"]), 50, id_col="p_partkey").select("p_partkey", "pos")
-
-
 # --- rules
 
 _RULES = [
@@ -547,9 +546,9 @@ def validate_insights(s, d):
     return raw_insights(s, d).withColumn("ids", an.effective_ids()).select("event_id", an.validation_error(NOW_MS).alias("error"))
 
 
-@query("SELECT event_id, '2' AS last_id FROM events WHERE event_id % 26 = 0 AND event_id % 17 <> 0 UNION ALL SELECT event_id, '21' FROM events WHERE event_id % 26 = 0 AND event_id % 17 = 0")
+@query(f"WITH {_RAW} SELECT i AS event_id, n FROM r")
 def object_ids_alias(s, d):
-    return raw_insights(s, d).where("event_id % 26 = 0").select("event_id", F.element_at(an.effective_ids(), -1).alias("last_id"))
+    return raw_insights(s, d).select("event_id", F.coalesce(F.size(an.effective_ids()), F.lit(0)).cast("long").alias("n"))
 
 
 # --- sources and lifecycle
@@ -600,16 +599,23 @@ def partial_update_operations(s, d):
     )
 
 
+def _stored_parts(s, d):
+    """A new store with the parts as an index."""
+    new = store.Store(s, work_path(s, "store"), "p_partkey")
+    new.add("parts", part(s, d))
+    return new
+
+
 @query("SELECT p_partkey, p_brand FROM part WHERE p_partkey IN (3, 14, 159, 1000000)")
 def get_objects(s, d):
-    return part(s, d).where(F.col("p_partkey").isin(3, 14, 159, 1_000_000)).select("p_partkey", "p_brand")
+    return _stored_parts(s, d).get("parts", [3, 14, 159, 1_000_000], ["p_brand"])
 
 
 @query("SELECT p_partkey FROM part WHERE NOT (p_type = 'PROMO' AND p_size < 20)")
 def delete_by_query(s, d):
-    p = part(s, d)
-    gone = p.where(ff.parse_filter("p_type:PROMO AND p_size < 20")).select("p_partkey")
-    return p.join(gone, "p_partkey", "left_anti").select("p_partkey")
+    new = _stored_parts(s, d)
+    new.delete_by("parts", ff.parse_filter("p_type:PROMO AND p_size < 20"))
+    return new.read("parts").select("p_partkey")
 
 
 @query("SELECT event_id FROM events WHERE event_id > 400")
@@ -617,9 +623,10 @@ def replication_catch_up(s, d):
     return store.since(table(s, d, "events").select("event_id", F.col("event_id").alias("seq")), 400).select("event_id")
 
 
-@query("SELECT doc_id, (strlen(text) > 3145728) AS too_large FROM documents")
+@query("SELECT p_partkey, strlen(to_json({'p_partkey': p_partkey, 'p_name': p_name, 'p_size': p_size})) > 45 AS too_large FROM part")
 def document_size_limit(s, d):
-    return table(s, d, "documents").select("doc_id", "text").select("doc_id", store.too_large(s.createDataFrame([], "doc_id long, text string")).alias("too_large"))
+    rows = part(s, d).select("p_partkey", "p_name", "p_size")
+    return rows.select("p_partkey", store.too_large(rows, 45).alias("too_large"))
 
 
 @query("""WITH k AS (SELECT n_name AS index_name, 'snapshots/' || n_name || '/' || strftime(TIMESTAMP '2024-01-01' + INTERVAL (i) HOUR, '%Y%m%dT%H%M%SZ') || '.tar.gz' AS key FROM nation, range(5) r(i)) SELECT index_name, key, row_number() OVER (PARTITION BY index_name ORDER BY key DESC) <= 2 AS kept FROM k""")
@@ -629,7 +636,9 @@ def snapshot_retention(s, d):
     return store.keep_latest(k.select("index_name", F.concat(F.lit("snapshots/"), "index_name", F.lit("/"), hour, F.lit(".tar.gz")).alias("key")), 2)
 
 
-@query(None)
+@query("""WITH n AS (SELECT range AS id FROM range(3000)), h AS (SELECT id, (id * 7919 + 13) % 1000 AS a, (id * 104729 + 71) % 7 AS b, (id * 1299709 + 5) % 40 AS c, (id * 15485863 + 3) % 1000 AS u FROM n)
+SELECT epoch_ms(TIMESTAMP '2024-01-30') - (id % 30 + 1) * 86400000 + a * 86400 AS timestamp_ms, ['laptop', 'phone', 'red shoes', 'camera', 'desk', 'lamp', 'zzz'][b + 1] AS query, md5(id::VARCHAR) AS query_id,
+ 'demo' AS index_name, CASE WHEN b = 6 THEN 0 ELSE c + 1 END AS nb_hits, b <> 6 AS has_results, u::VARCHAR AS user_token FROM h""")
 def seed_searches(s, d):
     return store.seed_searches(s, "demo", 30, 100, TODAY)
 
@@ -637,7 +646,7 @@ def seed_searches(s, d):
 # --- recommendations, suggestions, experiments
 
 
-@query("""WITH b AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), s AS (SELECT l_orderkey, l_suppkey FROM b WHERE l_orderkey IN (SELECT l_orderkey FROM b GROUP BY 1 HAVING count(*) BETWEEN 2 AND 100)), a AS (SELECT l_suppkey, count(*) AS n FROM s GROUP BY 1),
+@query("""WITH b AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), s AS (SELECT l_orderkey, l_suppkey FROM b WHERE l_orderkey IN (SELECT l_orderkey FROM b GROUP BY 1 HAVING count(*) >= 2)), a AS (SELECT l_suppkey, count(*) AS n FROM s GROUP BY 1),
 t AS (SELECT count(DISTINCT l_orderkey) AS baskets FROM s), p AS (SELECT x.l_suppkey AS item, y.l_suppkey AS other, count(*) AS together FROM s x JOIN s y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey <> y.l_suppkey GROUP BY 1, 2 HAVING count(*) >= 2),
 l AS (SELECT item, other, together, round(together * baskets / (i.n * o.n)::DOUBLE, 6) AS lift FROM p JOIN a i ON i.l_suppkey = item JOIN a o ON o.l_suppkey = other, t)
 SELECT *, row_number() OVER (PARTITION BY item ORDER BY together DESC, lift DESC, other)::INT AS rank FROM l QUALIFY rank <= 3""")
@@ -753,32 +762,3 @@ def multi_query_stop(s, d):
     p = part(s, d)
     rows = p.where("p_type = 'PROMO' AND p_size < 3").select(F.lit(0).alias("query_id")).unionByName(p.where("p_type = 'SMALL'").select(F.lit(1).alias("query_id"))).unionByName(p.select(F.lit(2).alias("query_id")))
     return ranking.stop_if_enough(rows, 20)
-
-
-# --- whole requests
-
-
-def flagship(s: SparkSession, d: str) -> DataFrame:
-    """Prefix search with a nested filter, sorted by price: the ten best parts."""
-    settings = IndexSettings({"searchableAttributes": ["p_name"], "attributesForFaceting": ["p_brand", "p_type"]})
-    r = SearchRequest("red", "(p_type:PROMO OR p_type:LARGE) AND p_retailprice >= 905", facets=["p_brand"], sort=["desc(p_retailprice)"], hits_per_page=10)
-    return Index(part(s, d), "p_partkey", settings).search(r).hits.select("pos", "p_partkey", "p_name", "p_type", "p_retailprice")
-
-
-query("""SELECT row_number() OVER (ORDER BY p_retailprice DESC, p_partkey)::INT AS pos, p_partkey, p_name, p_type, p_retailprice FROM part
-WHERE (p_type = 'PROMO' OR p_type = 'LARGE') AND p_retailprice >= 905 AND (starts_with(p_name, 'red') OR p_name LIKE '% red%') QUALIFY pos <= 10""", "search_full")(flagship)
-
-
-@query("""SELECT 'p_brand' AS facet, p_brand AS value, count(*) AS count FROM part WHERE (p_type = 'PROMO' OR p_type = 'LARGE') AND p_retailprice >= 905 AND (starts_with(p_name, 'red') OR p_name LIKE '% red%') GROUP BY ALL""")
-def search_facets(s, d):
-    settings = IndexSettings({"searchableAttributes": ["p_name"], "attributesForFaceting": ["p_brand", "p_type"]})
-    r = SearchRequest("red", "(p_type:PROMO OR p_type:LARGE) AND p_retailprice >= 905", facets=["p_brand"], hits_per_page=0)
-    return Index(part(s, d), "p_partkey", settings).search(r).facets
-
-
-@query("""WITH w AS (SELECT DISTINCT p_name AS text FROM part), q AS (SELECT row_number() OVER (ORDER BY text) AS query_id, text FROM w), p AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)
-SELECT query_id::INT AS query_id, count(*) AS nb_hits FROM q JOIN p ON list_contains(w, split_part(text, ' ', 1)) AND len(list_filter(w, lambda x: starts_with(x, split_part(text, ' ', 2)))) > 0 GROUP BY 1""")
-def multi_query(s, d):
-    q = part(s, d).select(F.col("p_name").alias("text")).distinct().withColumn("query_id", F.row_number().over(Window.orderBy("text")))
-    post = matching.postings(part(s, d), "p_partkey", ["p_name"])
-    return matching.match(post, matching.parse_queries(q)).groupBy("query_id").agg(F.count(F.lit(1)).alias("nb_hits"))

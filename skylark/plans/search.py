@@ -263,6 +263,10 @@ class Index:
         """All documents that fit."""
         return self._found(self.ask(r)).select("_doc.*")
 
+    def criteria(self, r: SearchRequest) -> DataFrame:
+        """_id, typos, words, attribute, proximity, exact and score of all documents that fit."""
+        return self._found(self.ask(r)).select("_id", "typos", "words", "attribute", "proximity", "exact", "score")
+
     def search(self, r: SearchRequest) -> SearchResult:
         a = self.ask(r)
         r, found = a.request, self._found(a)

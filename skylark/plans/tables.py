@@ -11,11 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A search log: one search an event."""
+    """A search log: one search an event, for the part whose key is the event's number modulo their number."""
     e = table(spark, sf_dir, "events")
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("query"))
-    i = F.col("event_id")
-    return e.join(p, (i % 150 + 1) == F.col("k")).select(
+    parts = table(spark, sf_dir, "part")
+    p = parts.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("query"))
+    i, n = F.col("event_id"), parts.count()
+    return e.join(p, (i % n) == F.col("k")).select(
         "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_ms"), "query", F.when(i % 5 != 0, F.md5(i.cast("string"))).alias("query_id"), F.lit("products").alias("index_name"), (i % 7).alias("nb_hits"), (i % 7 != 0).alias("has_results"),
         F.col("user_id").cast("string").alias("user_token"), F.when(i % 3 != 0, F.concat(F.lit("brand:B"), (i % 11).cast("string"), F.lit(" AND price >= "), (i % 13).cast("string"))).alias("filters"),
         F.when(i % 10 != 9, F.element_at(F.array(*map(F.lit, ["US", "FR", "DE", "ES"])), (F.col("user_id") % 4 + 1).cast("int"))).alias("country"), F.element_at(F.array(*map(F.lit, ["web,desktop", "app,mobile", "app,tablet", "bot"])), (i % 4 + 1).cast("int")).alias("analytics_tags"),
@@ -28,7 +29,7 @@ SEARCHES = """searches AS (
          CASE WHEN event_id % 3 <> 0 THEN 'brand:B' || (event_id % 11) || ' AND price >= ' || (event_id % 13) END AS filters,
          CASE WHEN event_id % 10 <> 9 THEN ['US', 'FR', 'DE', 'ES'][(user_id % 4 + 1)::INT] END AS country,
          ['web,desktop', 'app,mobile', 'app,tablet', 'bot'][(event_id % 4 + 1)::INT] AS analytics_tags
-  FROM events JOIN part ON event_id % 150 + 1 = p_partkey
+  FROM events JOIN part ON event_id % (SELECT count(*) FROM part) = p_partkey
 )"""
 
 

@@ -266,12 +266,12 @@ def since(log: DataFrame, seq: int) -> DataFrame:
 def seed_searches(spark: SparkSession, index: str, days: int, per_day: int, today: str) -> DataFrame:
     """A deterministic search log for demonstrations."""
     n = F.col("id")
-    h = lambda salt: F.pmod(F.xxhash64(n, F.lit(salt)), F.lit(1000))
+    h = lambda a, b, most: (n * a + b) % most
     words = F.array(*map(F.lit, ["laptop", "phone", "red shoes", "camera", "desk", "lamp", "zzz"]))
-    start = F.unix_millis(F.lit(today).cast("timestamp"))
+    start, word = F.unix_millis(F.lit(today).cast("timestamp")), h(104_729, 71, 7)
     return spark.range(days * per_day).select(
-        (start - (n % days + 1) * 86_400_000 + h("t") * 86_400).alias("timestamp_ms"), F.element_at(words, (h("q") % 7 + 1).cast("int")).alias("query"), F.md5(n.cast("string")).alias("query_id"),
-        F.lit(index).alias("index_name"), F.when(h("q") % 7 == 6, 0).otherwise(h("n") % 40 + 1).alias("nb_hits"), (h("q") % 7 != 6).alias("has_results"), h("u").cast("string").alias("user_token"),
+        (start - (n % days + 1) * 86_400_000 + h(7919, 13, 1000) * 86_400).alias("timestamp_ms"), F.element_at(words, (word + 1).cast("int")).alias("query"), F.md5(n.cast("string")).alias("query_id"),
+        F.lit(index).alias("index_name"), F.when(word == 6, 0).otherwise(h(1_299_709, 5, 40) + 1).alias("nb_hits"), (word != 6).alias("has_results"), h(15_485_863, 3, 1000).cast("string").alias("user_token"),
     )
 
 
