@@ -157,14 +157,31 @@ def country_searches(s: DataFrame, n: int = 3) -> DataFrame:
     return got.withColumn("rank", F.row_number().over(Window.partitionBy("country").orderBy(F.desc("count"), "query"))).where(F.col("rank") <= n)
 
 
+def top_regions(s: DataFrame, country: str, n: int = 10) -> DataFrame:
+    """The first n regions of a country by searches, with their share of the country's in percent."""
+    got = s.where((F.col("country") == country) & F.col("region").isNotNull()).groupBy("region").agg(F.count(F.lit(1)).alias("count"))
+    share = F.round(F.col("count") * 100.0 / F.sum("count").over(Window.partitionBy(F.lit(1))), 4)
+    return _ranked(got.withColumn("percent", share), n, F.desc("count"), F.col("region"))
+
+
+def device(tags: Column) -> Column:
+    """The platform among a search's tags."""
+    tags = F.split(tags, ",")
+    return F.when(F.array_contains(tags, "mobile"), "mobile").when(F.array_contains(tags, "tablet"), "tablet").when(F.array_contains(tags, "desktop"), "desktop").otherwise("other")
+
+
 def devices(s: DataFrame) -> DataFrame:
     """Searches by platform tag, with their share in percent."""
-    tags = F.split("analytics_tags", ",")
-    kind = F.when(F.array_contains(tags, "mobile"), "mobile").when(F.array_contains(tags, "tablet"), "tablet").when(F.array_contains(tags, "desktop"), "desktop").otherwise("other")
-    got = s.groupBy(kind.alias("device")).agg(F.count(F.lit(1)).alias("count"))
+    got = s.groupBy(device(F.col("analytics_tags")).alias("device")).agg(F.count(F.lit(1)).alias("count"))
     return got.withColumn("percent", F.round(F.col("count") * 100.0 / F.sum("count").over(Window.partitionBy(F.lit(1))), 4))
 
 
+def devices_daily(s: DataFrame) -> DataFrame:
+    """Searches by day and platform."""
+    day = F.to_date(F.timestamp_millis("timestamp_ms"))
+    return s.groupBy(F.date_format(day, "yyyy-MM-dd").alias("day"), device(F.col("analytics_tags")).alias("device")).agg(F.count(F.lit(1)).alias("count"))
+
+
 def delta(s: DataFrame, split_ms: int) -> DataFrame:
     """Searches and no-result rate before and from a moment, and their change in percent."""
     late = F.col("timestamp_ms") >= split_ms

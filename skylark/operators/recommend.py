@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skylark.operators import matching
+
 
 def _best(rows: DataFrame, group: str, n: int, *keys: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*keys))).where(F.col("rank") <= n)
@@ -109,15 +111,43 @@ def sample_size(rate: float, effect: float, power_z: float = 0.8416, alpha_z: fl
 
 
 def inject(organic: DataFrame, injected: DataFrame, position: int, length: int, id_col: str = "object_id", dedup: str = "highestInjected") -> DataFrame:
-    """A feed (id, slot from 0) with up to `length` injected rows (id, rank) from a position on."""
+    """A feed (id, slot from 0) with up to `length` injected rows (id, rank) from a position on.
+
+    organic has ranks from 1 without gaps, so a row's slot follows from its rank and the few rows that are
+    injected; the feed is neither sorted nor moved."""
     first = injected.where(F.col("rank") <= length)
-    if dedup == "highestInjected":
-        organic = organic.join(first.select(id_col), id_col, "left_anti")
-    else:
+    if dedup != "highestInjected":
         first = first.join(organic.where(F.col("rank") <= position).select(id_col), id_col, "left_anti")
-        organic = organic.join(first.select(id_col), id_col, "left_anti")
+    taken = organic.join(first.select(id_col), id_col, "left_semi")
+    organic = organic.join(first.select(id_col), id_col, "left_anti")
     w = Window.orderBy("rank", id_col)
-    add = first.withColumn("slot", F.row_number().over(w) - 1 + position)
-    n = F.broadcast(add.agg(F.count(F.lit(1)).alias("k")))
-    rest = organic.withColumn("at", F.row_number().over(w) - 1).join(n).withColumn("slot", F.when(F.col("at") >= position, F.col("at") + F.col("k")).otherwise(F.col("at")))
-    return rest.select(id_col, "slot", F.lit(False).alias("injected")).unionByName(add.select(id_col, "slot", F.lit(True).alias("injected")))
+    add = first.withColumn("slot", (F.row_number().over(w) - 1 + position).cast("long")).persist()  # at most `length` rows
+    n = add.count()
+    # ranks may have gaps where rows were left out; the few that were are counted below each row that they precede
+    gone = [r[0] for r in taken.select("rank").collect()]
+    before = sum((F.when(F.col("rank") > g, 1).otherwise(0) for g in gone), F.lit(0))
+    at = F.col("rank").cast("long") - 1 - before
+    rest = organic.select(id_col, F.when(at >= position, at + n).otherwise(at).alias("slot"), F.lit(False).alias("injected"))
+    return rest.unionByName(add.select(id_col, "slot", F.lit(True).alias("injected")))
+
+
+def multifeed(feeds: list[tuple[DataFrame, int]], id_col: str = "object_id") -> DataFrame:
+    """id, feed and slot of several feeds (id, rank) one below the other, up to so many rows of each; an id stays in
+    the first feed that has it."""
+    rows = None
+    for k, (feed, most) in enumerate(feeds):
+        part = feed.where(F.col("rank") <= most).select(id_col, F.lit(k).alias("feed"), "rank")
+        rows = part if rows is None else rows.unionByName(part)
+    once = rows.groupBy(id_col).agg(F.min(F.struct("feed", "rank")).alias("at")).select(id_col, "at.*")
+    # at most the sum of `most` rows
+    return once.withColumn("slot", (F.row_number().over(Window.orderBy("feed", "rank")) - 1).cast("long")).select(id_col, "feed", "slot")
+
+
+def related(views: DataFrame, user: str, item: str, n: int = 3, least: int = 2, block: int = 512) -> DataFrame:
+    """item, other, together, lift, rank of items that the same users look at."""
+    return bought_together(views, user, item, n, least, block)
+
+
+def looking_similar(vectors: DataFrame, items: DataFrame, k: int = 3, threshold: float = 0.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """query_id, id, similarity, rank of the items that look most like some, from their vectors."""
+    return matching.cosine_neighbours(vectors, items, k, id_col, vec_col).where(F.col("similarity") >= threshold)

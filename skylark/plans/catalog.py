@@ -705,6 +705,43 @@ def composition_inject(s, d):
     return recommend.inject(organic, p.where("p_partkey < 3").select(F.col("p_partkey").alias("object_id"), (F.col("p_partkey") + 1).alias("rank")), 2, 3).select("object_id", F.col("slot").cast("long").alias("slot"), "injected")
 
 
+@query("""WITH f AS (SELECT 0 AS feed, p_partkey AS object_id, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part WHERE p_type = 'PROMO'
+ UNION ALL SELECT 1, p_partkey, row_number() OVER (ORDER BY p_size, p_partkey) FROM part), x AS (SELECT * FROM f WHERE rank <= CASE feed WHEN 0 THEN 20 ELSE 200 END),
+o AS (SELECT object_id, min({'feed': feed, 'rank': rank}) AS best FROM x GROUP BY 1) SELECT object_id, best.feed::INT AS feed, row_number() OVER (ORDER BY best.feed, best.rank) - 1 AS slot FROM o""")
+def composition_multifeed(s, d):
+    p = part(s, d)
+    ranked = lambda rows, *keys: rows.select(F.col("p_partkey").alias("object_id"), F.row_number().over(Window.orderBy(*keys, "p_partkey")).alias("rank"))
+    return recommend.multifeed([(ranked(p.where("p_type = 'PROMO'"), F.desc("p_retailprice")), 20), (ranked(p, "p_size"), 200)])
+
+
+@query("""WITH b AS (SELECT DISTINCT user_id, event_id % 37 AS item FROM events WHERE event_type = 'view'), s AS (SELECT * FROM b WHERE user_id IN (SELECT user_id FROM b GROUP BY 1 HAVING count(*) >= 2)), a AS (SELECT item, count(*) AS n FROM s GROUP BY 1),
+t AS (SELECT count(DISTINCT user_id) AS users FROM s), p AS (SELECT x.item, y.item AS other, count(*) AS together FROM s x JOIN s y ON x.user_id = y.user_id AND x.item <> y.item GROUP BY 1, 2 HAVING count(*) >= 2),
+l AS (SELECT p.item, other, together, round(together * users / (i.n * o.n)::DOUBLE, 6) AS lift FROM p JOIN a i ON i.item = p.item JOIN a o ON o.item = other, t)
+SELECT *, row_number() OVER (PARTITION BY item ORDER BY together DESC, lift DESC, other)::INT AS rank FROM l QUALIFY rank <= 3""")
+def related_products(s, d):
+    views = table(s, d, "events").where("event_type = 'view'").select("user_id", (F.col("event_id") % 37).alias("item"))
+    return recommend.related(views, "user_id", "item")
+
+
+@query("""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, similarity, rank::INT AS rank FROM r WHERE rank <= 3 AND similarity >= 0.2""")
+def looking_similar(s, d):
+    v = table(s, d, "embeddings")
+    return recommend.looking_similar(v, v.where("vec_id % 100 = 0"), 3, 0.2)
+
+
+@query(f"""WITH {SEARCHES} SELECT strftime(epoch_ms(timestamp_ms), '%Y-%m-%d') AS day, CASE WHEN analytics_tags LIKE '%mobile%' THEN 'mobile' WHEN analytics_tags LIKE '%tablet%' THEN 'tablet' WHEN analytics_tags LIKE '%desktop%' THEN 'desktop' ELSE 'other' END AS device, count(*) AS count
+FROM searches GROUP BY ALL""")
+def devices_daily(s, d):
+    return an.devices_daily(searches(s, d))
+
+
+@query(f"""WITH {SEARCHES}, r AS (SELECT 'r' || (user_token::INT % 3) AS region, count(*) AS count FROM searches WHERE country = 'FR' GROUP BY 1)
+SELECT region, count, round(count * 100.0 / sum(count) OVER (), 4) AS percent, row_number() OVER (ORDER BY count DESC, region)::INT AS rank FROM r""")
+def top_regions(s, d):
+    return an.top_regions(searches(s, d).withColumn("region", F.concat(F.lit("r"), F.col("user_token").cast("int") % 3)), "FR")
+
+
 # --- dictionaries, automatic filters, nested documents
 
 

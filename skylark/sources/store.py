@@ -1,7 +1,8 @@
 """Index tables on any store that Spark writes: documents, changes, browse, export, snapshots, retention.
 
 An index is a folder of versions `v=N`, each a complete Parquet table, and a change is a new version;
-readers of an older one are not disturbed. The largest version is current.
+readers of an older one are not disturbed. The largest finished version is current. A writer claims its number
+by a file that only one can create, so writers do not meet, and a version that was never finished is passed over.
 """
 
 from __future__ import annotations
@@ -56,7 +57,19 @@ class Store:
         self.spark, self.base, self.id = spark, base.rstrip("/"), id_col
 
     def versions(self, name: str) -> list[int]:
-        return sorted(int(n[2:]) for n, _ in list_dir(self.spark, f"{self.base}/{name}") if re.fullmatch(r"v=\d+", n) and list_dir(self.spark, f"{self.base}/{name}/{n}")[0][0] == "_SUCCESS")
+        """The finished versions."""
+        fs, top = _fs(self.spark, self.base), f"{self.base}/{name}"
+        found = [n for n, _ in list_dir(self.spark, top) if re.fullmatch(r"v=\d+", n)]
+        return sorted(int(n[2:]) for n in found if fs.exists(_path(self.spark, f"{top}/{n}/_SUCCESS")))
+
+    def _claim(self, name: str) -> int:
+        """A version number that no other writer has."""
+        fs, top = _fs(self.spark, self.base), f"{self.base}/{name}"
+        taken = [int(n[2:]) for n, _ in list_dir(self.spark, top) if re.fullmatch(r"v=\d+", n)] + [int(n) for n, _ in list_dir(self.spark, f"{top}/_claims")]
+        v = max(taken, default=0) + 1
+        while not fs.createNewFile(_path(self.spark, f"{top}/_claims/{v}")):
+            v += 1
+        return v
 
     def generation(self, name: str) -> int:
         if not (found := self.versions(name)):
@@ -70,8 +83,8 @@ class Store:
         return self.spark.read.parquet(f"{self.base}/{name}/v={self.generation(name)}")
 
     def _write(self, name: str, rows: DataFrame) -> int:
-        v = max(self.versions(name), default=0) + 1
-        rows.write.mode("overwrite").parquet(f"{self.base}/{name}/v={v}")
+        v = self._claim(name)
+        rows.write.parquet(f"{self.base}/{name}/v={v}")
         return v
 
     def create(self, name: str, schema: str) -> None:
@@ -87,6 +100,11 @@ class Store:
         old = self.read(name).join(docs.select(self.id), self.id, "left_anti")
         return self._write(name, old.unionByName(docs, allowMissingColumns=True))
 
+    def add_json(self, name: str, path: str, schema: str | None = None) -> int:
+        """Add the documents of a folder of JSON lines or arrays."""
+        reader = self.spark.read.option("multiLine", path.endswith(".json"))
+        return self.add(name, (reader.schema(schema) if schema else reader).json(path))
+
     def batch(self, name: str, changes: DataFrame) -> int:
         """Apply changes (seq, action, id, fields...) in order; see fold_changes."""
         return self._write(name, fold_changes(self.read(name), changes, self.id))
@@ -152,9 +170,12 @@ class Store:
     def restore(self, name: str, path: str) -> int:
         return self._write(name, self.spark.read.parquet(path))
 
-    def snapshot(self, name: str) -> bytes:
-        """The current version's files as a gzip tar; for indexes that fit a driver."""
+    def snapshot(self, name: str, most_bytes: int = 256 << 20) -> bytes:
+        """The current version's files as a gzip tar, through the driver's memory; a larger index raises ValueError
+        and is copied by tasks with export()."""
         top, buffer = f"{self.base}/{name}/v={self.generation(name)}", io.BytesIO()
+        if (size := sum(n for _, n in list_dir(self.spark, top))) > most_bytes:
+            raise ValueError(f"the index has {size} bytes, a snapshot at most {most_bytes}")
         files = self.spark.read.format("binaryFile").load(top).select("path", "content").toLocalIterator()
         with tarfile.open(fileobj=buffer, mode="w:gz") as tar:
             for f in files:
@@ -164,7 +185,7 @@ class Store:
         return buffer.getvalue()
 
     def load_snapshot(self, name: str, data: bytes) -> int:
-        v = max(self.versions(name), default=0) + 1
+        v = self._claim(name)
         top, fs = f"{self.base}/{name}/v={v}", _fs(self.spark, self.base)
         with tarfile.open(fileobj=io.BytesIO(data), mode="r:gz") as tar:
             for m in tar.getmembers():
@@ -192,19 +213,16 @@ def fold_changes(docs: DataFrame, changes: DataFrame, id_col: str = "object_id")
     steps = changes.where(F.col(id_col).isNotNull()).select(id_col, "seq", "action", row.alias("row"))
     base = docs.select(id_col, F.lit(-1).cast("long").alias("seq"), F.lit("base").alias("action"), F.struct(*fields).alias("row"))
     live = base.unionByName(steps).join(F.broadcast(cleared)).where(F.col("seq") > F.when(F.col("cleared") >= 0, F.col("cleared")).otherwise(-2))
-    order = F.array_sort(F.collect_list(F.struct("seq", "action", "row")))
-
-    def step(acc: Column, x: Column) -> Column:
-        part = F.struct(*[F.coalesce(x["row"][f], acc[f]).alias(f) for f in fields])
-        return (
-            F.when(x["action"].isin("base", "addObject", "updateObject"), x["row"])
-            .when((x["action"] == "partialUpdateObject") | ((x["action"] == "partialUpdateObjectNoCreate") & acc.isNotNull()), part)
-            .when(x["action"] == "deleteObject", F.lit(None))
-            .otherwise(acc)
-        )
-
-    kind = F.lit(None).cast(base.schema["row"].dataType)
-    return live.groupBy(id_col).agg(F.aggregate(order, kind, step).alias("row")).where("row IS NOT NULL").select(id_col, "row.*")
+    # what counts for an object begins with its last full replacement or removal; only sums of changes are kept
+    whole = F.col("action").isin("base", "addObject", "updateObject", "deleteObject")
+    last = live.where(whole).groupBy(id_col).agg(F.max("seq").alias("from"), F.max_by("action", "seq").alias("from_action"))
+    after = live.join(last, id_col, "left").where((F.col("seq") >= F.coalesce("from", "seq")) & (F.col("action") != "deleteObject"))
+    stands = F.coalesce(F.col("from_action") != "deleteObject", F.lit(False))
+    # without an object to change, it begins with the first change that creates one
+    born = after.where(~stands & (F.col("action") == "partialUpdateObject")).groupBy(id_col).agg(F.min("seq").alias("born"))
+    counted = after.join(born, id_col, "left").where(stands | (F.col("seq") >= F.col("born")))
+    newest = [F.max_by(F.col("row")[f], F.when(F.col("row")[f].isNotNull(), F.col("seq"))).alias(f) for f in fields]
+    return counted.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"), *newest).drop("_n")
 
 
 def partial_update(current: Column, operation: str, value: Column) -> Column:
@@ -258,11 +276,63 @@ def keep_latest(keys: DataFrame, keep: int) -> DataFrame:
     return keys.withColumn("kept", F.row_number().over(w) <= keep)
 
 
+class Snapshots:
+    """Snapshots of indexes in a folder of any store, by keys that sort by time."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def put(self, index: str, data: bytes, at: dt.datetime) -> str:
+        key = snapshot_key(index, at)
+        out = _fs(self.spark, self.root).create(_path(self.spark, f"{self.root}/{key}"))
+        out.write(bytearray(data))
+        out.close()
+        return key
+
+    def list(self, index: str) -> list[str]:
+        """Keys of an index, oldest first."""
+        return [f"snapshots/{index}/{n}" for n, _ in list_dir(self.spark, f"{self.root}/snapshots/{index}") if n.endswith(".tar.gz")]
+
+    def latest(self, index: str) -> str | None:
+        return max(self.list(index), default=None)
+
+    def get(self, key: str) -> bytes:
+        return bytes(self.spark.read.format("binaryFile").load(f"{self.root}/{key}").first()["content"])
+
+    def enforce_retention(self, index: str, keep: int) -> int:
+        """Delete all but the newest `keep`; returns how many went."""
+        old = self.list(index)[: -keep or None]
+        for key in old:
+            delete(self.spark, f"{self.root}/{key}")
+        return len(old)
+
+
 def since(log: DataFrame, seq: int) -> DataFrame:
     """Entries of a change log after a peer's acknowledged number."""
     return log.where(F.col("seq") > seq)
 
 
+class Cursors:
+    """The number that each peer has acknowledged: a file a peer and number, so that a lost write loses no other."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def acknowledge(self, peer: str, seq: int) -> None:
+        _fs(self.spark, self.root).createNewFile(_path(self.spark, f"{self.root}/{peer}/{seq}"))
+
+    def acknowledged(self, peer: str) -> int:
+        """The largest number; 0 for a peer that has none."""
+        return max((int(n) for n, _ in list_dir(self.spark, f"{self.root}/{peer}")), default=0)
+
+    def pending(self, log: DataFrame, peer: str) -> DataFrame:
+        return since(log, self.acknowledged(peer))
+
+    def settled(self, peers: Sequence[str]) -> int:
+        """The number up to which every peer has all entries, so that the log may forget them."""
+        return min((self.acknowledged(p) for p in peers), default=0)
+
+
 def seed_searches(spark: SparkSession, index: str, days: int, per_day: int, today: str) -> DataFrame:
     """A deterministic search log for demonstrations."""
     n = F.col("id")
@@ -278,3 +348,19 @@ def seed_searches(spark: SparkSession, index: str, days: int, per_day: int, toda
 def write_partitioned(rows: DataFrame, root: str) -> None:
     """The analytics layout: one folder an index and day, compressed with zstd."""
     rows.withColumn("date", F.to_date(F.timestamp_millis("timestamp_ms"))).write.mode("append").option("compression", "zstd").partitionBy("index_name", "date").parquet(root)
+
+
+def flush(rows: DataFrame, root: str, disabled: bool = False) -> dict:
+    """Write what is buffered; nothing where analytics are off."""
+    if disabled:
+        return {"status": "disabled"}
+    write_partitioned(rows, root)
+    return {"status": "ok"}
+
+
+def clear_analytics(spark: SparkSession, root: str, index: str) -> int:
+    """Remove the partitions of an index; returns their number."""
+    top = f"{root.rstrip('/')}/index_name={index}"
+    days = [n for n, _ in list_dir(spark, top) if DAY_DIR.fullmatch(n)]
+    delete(spark, top)
+    return len(days)

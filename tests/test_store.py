@@ -79,3 +79,54 @@ def test_retention(spark, tmp_path):
 
 def test_snapshot_keys():
     assert store.snapshot_key("i", dt.datetime(2024, 1, 2, 3, 4, 5)) == "snapshots/i/20240102T030405Z.tar.gz"
+
+
+def test_unfinished_versions_and_claims(spark, kept, tmp_path):
+    kept.add("i", rows(spark, ("a", "a", 1)))
+    (tmp_path / "base" / "i" / "v=7").mkdir()
+    assert kept.versions("i") == [1] and kept.read("i").count() == 1
+    assert kept.add("i", rows(spark, ("b", "b", 2))) == 8
+    assert [kept._claim("i"), kept._claim("i")] == [9, 10]  # two writers at once
+    assert kept.read("i").count() == 2
+    with pytest.raises(ValueError):
+        kept.snapshot("i", most_bytes=10)
+    (tmp_path / "docs.json").write_text('[{"object_id": "c", "name": "c", "n": 3}]')
+    kept.add_json("i", str(tmp_path / "docs.json"), "object_id string, name string, n long")
+    assert kept.get("i", ["c"]).first().n == 3
+
+
+def test_folds_of_changes_against_one_by_one(spark):
+    import random
+
+    rng = random.Random(4)
+    kinds = ["addObject", "partialUpdateObject", "partialUpdateObjectNoCreate", "updateObject", "deleteObject"]
+    changes = [(k, rng.choice(kinds), f"{rng.randrange(12)}", rng.choice([None, f"n{k}"]), rng.choice([None, k])) for k in range(150)]
+    want = {"0": ("old", 1), "1": ("old", 2)}
+    for _, kind, i, name, n in changes:
+        if kind in ("addObject", "updateObject"):
+            want[i] = (name, n)
+        elif kind == "deleteObject":
+            want.pop(i, None)
+        elif i in want or kind == "partialUpdateObject":
+            a, b = want.get(i, (None, None))
+            want[i] = (name if name is not None else a, n if n is not None else b)
+    docs = rows(spark, ("0", "old", 1), ("1", "old", 2))
+    got = store.fold_changes(docs, spark.createDataFrame(changes, "seq long, action string, object_id string, name string, n long"))
+    assert {r.object_id: (r.name, r.n) for r in got.collect()} == want
+
+
+def test_snapshots_cursors_and_analytics(spark, tmp_path):
+    snaps = store.Snapshots(spark, str(tmp_path))
+    keys = [snaps.put("i", bytes([k]), dt.datetime(2024, 1, k + 1)) for k in range(4)]
+    assert snaps.list("i") == keys and snaps.latest("i") == keys[-1] and snaps.get(keys[2]) == b"\x02" and snaps.latest("none") is None
+    assert snaps.enforce_retention("i", 3) == 1 and snaps.list("i") == keys[1:] and snaps.enforce_retention("i", 9) == 0
+    cursors, log = store.Cursors(spark, str(tmp_path / "peers")), spark.range(1, 11).withColumnRenamed("id", "seq")
+    for n in (3, 10, 7):
+        cursors.acknowledge("a", n)
+    cursors.acknowledge("b", 4)
+    assert cursors.pending(log, "a").count() == 0 and cursors.pending(log, "b").count() == 6 and cursors.pending(log, "c").count() == 10
+    assert cursors.settled(["a", "b"]) == 4 and cursors.settled(["a", "c"]) == 0
+    root = str(tmp_path / "analytics")
+    searches = spark.createDataFrame([("p", d * DAY_MS) for d in (0, 95, 100)] + [("q", 0)], "index_name string, timestamp_ms long")
+    assert store.flush(searches, root, disabled=True) == {"status": "disabled"} and store.flush(searches, root) == {"status": "ok"}
+    assert store.clear_analytics(spark, root, "p") == 3 and spark.read.parquet(root).count() == 1 and store.clear_analytics(spark, root, "p") == 0
