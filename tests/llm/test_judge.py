@@ -1,5 +1,7 @@
 """Extraction, classifiers, rules, near duplicates and the pipeline."""
 
+import math
+import os
 import random
 import re
 from collections import Counter
@@ -10,9 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skylark.llm import common, components, html_text, minhash, packing, quality, registry, rules, toxicity
+from skylark.llm import common, components, html_text, labelled, minhash, packing, quality, registry, rules, toxicity
 
-from .conftest import odd_rows, prose
+from .conftest import crc, odd_rows, prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORDS = {" ": 1.0}
@@ -261,14 +263,58 @@ def test_finder_respects_word_borders():
     assert f(None) == {}
 
 
-@pytest.mark.parametrize(("name", "label", "least"), [("op4_toxicity", "toxic", 0.9), ("op5_quality", "quality", 0.9)])
-def test_held_out_accuracy(spark, name, label, least):
-    d = "/root/testdata/sf0.01"
+@pytest.mark.parametrize(("name", "label", "bad"), [("op4_toxicity", "toxic", 1), ("op5_quality", "quality", 0)])
+def test_held_out_labels(spark, name, label, bad):
+    """Nine tenths of the held-out toxic (low-quality) rows are found, nine tenths of the finds are right, and
+    scores are shares: no constant does that."""
+    d = "/root/testdata/check_s"
+    if not os.path.exists(d):
+        pytest.skip("no larger tables")
     labels = spark.read.parquet(f"{d}/labels.parquet")
-    got = registry.queries()[name](spark, d)
-    assert got.count() == spark.read.parquet(f"{d}/documents.parquet").count()
-    r = got.where("held_out").join(labels, "doc_id").agg(F.avg((F.col("predicted") == F.col(label)).cast("int")).alias("a"), F.min("score"), F.max("score")).first()
-    assert r.a >= least and 0 <= r[1] <= r[2] <= 1
+    got = registry.queries()[name](spark, d).where("held_out").join(labels, "doc_id").where(f"{label} IS NOT NULL").select("score", "predicted", F.col(label).alias("y")).toPandas()
+    hit, wanted = got.predicted == bad, got.y == bad
+    assert (hit & wanted).sum() >= 0.9 * wanted.sum() > 0 and (hit & wanted).sum() >= 0.9 * hit.sum() and got.score.between(0, 1).all()
+    assert got.score.nunique() > 100
+    for low, high in ((0.0, 0.2), (0.8, 1.01)):
+        rows = got[(got.score >= low) & (got.score < high)]
+        assert abs(rows.score.mean() - rows.y.mean()) < 0.08
+
+
+def slow_ftrl(rows, weight, epochs=4, alpha=0.5, beta=1.0, l1=0.02, l2=0.02):
+    """One coordinate at a time."""
+    z, n = Counter(), Counter()
+
+    def w(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for x, y in rows:
+            now = {i: w(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(now[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v * weight[y]
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * now[i]
+                n[i] += g * g
+    return {i: w(i) for i in z}
+
+
+def test_ftrl_against_one_coordinate_at_a_time():
+    rng, bits = random.Random(15), 10
+    rows = [(*quality.features(prose(rng, 30, 60) + (" bad#x" if k % 3 else ""), bits), int(k % 3 == 0)) for k in range(60)]
+    got = quality.train(rows, {0: 0.7, 1: 1.6}, bits)
+    want = slow_ftrl([({**dict(zip(s.tolist(), v.tolist(), strict=True)), 1 << bits: 1.0}, y) for s, v, y in rows], {0: 0.7, 1: 1.6})
+    assert all(got[i] == pytest.approx(want.get(i, 0.0), abs=1e-9) for i in range((1 << bits) + 1))
+
+
+def test_a_hot_id_does_not_fill_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 7}") for i in range(3000)] + [(i, "x" * 1000) for i in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, y int")
+    rows = labelled.training_rows(labels, "y", 5, 0)
+    texts, _ = labelled.sample(docs, rows, 100)
+    got = Counter(r.doc_id for r in texts.collect())
+    assert set(got) == {r.doc_id for r in rows.collect()} and set(got.values()) == {1}
+    few = labelled.sample(docs, rows, 100, class_bytes=5000)[0].groupBy("label").agg(F.sum(F.length("text")).alias("n")).collect()
+    assert len(few) == 2 and all(r.n <= 5000 for r in few)
 
 
 def test_ftrl_learns_a_separable_sample():
@@ -309,6 +355,8 @@ def test_stages(spark, odd, odd_dir):
     one = stages["near_duplicates"](spark, docs, odd_dir)
     assert one.columns == docs.columns
     ids = Counter(r.doc_id for r in one.collect())
+    least, _ = similar({r[0]: r[1] for r in rows if r[0] is not None and r[1] is not None}, 5, 80)
+    assert {i for i in ids if i in least} == set(least.values())
     assert ids[4] == 1 and ids[5] == ids[6] == 0 and ids[20] == 1 and ids[500] == 1 and ids[None] == 2 and ids[0] == ids[1] == ids[2] == 1
 
 
@@ -321,3 +369,21 @@ def test_pipeline(spark, odd_dir, empty_dir):
     assert key(got) == key(again)
     assert corpus_pipeline.run(spark, empty_dir).count() == 0
     assert packing.pack_lengths({}, 2048) == []
+    # what comes out of the packing is what the stages before it leave, as whole texts and one by one
+    docs = spark.read.parquet(f"{odd_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.materialise(stage(spark, docs, odd_dir), "test-stage")
+    enc = packing.Encoder(packing.tokenizer_path())
+    want = Counter()
+    for r in docs.collect():
+        ids = [*enc.whole.encode(r.text or "", add_special_tokens=False).ids, 0]
+        for n, at in enumerate(range(0, len(ids), 2048)):
+            part = ids[at : at + 2048]
+            want[r.doc_id, n, at, len(part), crc(np.array(part, "<u4").tobytes())] += 1
+    assert key(got) == want
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for items in by.values():
+        items.sort()
+        assert all(o == sum(n for _, n in items[:k]) for k, (o, _) in enumerate(items)) and sum(n for _, n in items) <= 2048
