@@ -158,7 +158,8 @@ def _fold(items: Sequence | str | None, one: Callable[[str], Column]) -> Column:
     if not items:
         return F.lit(True)
     outer = [items] if isinstance(items, str) else items
-    return reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [one(y) for y in x]) if not isinstance(x, str) else one(x) for x in outer])
+    return reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [one(y) for y in x]) if not isinstance(x, str) else one(x)
+        for x in outer])
 
 
 def facet_filters(items: Sequence | str | None, settings: Settings | None = None) -> Column:
@@ -217,7 +218,8 @@ def optional_score(items: Sequence | str | None, settings: Settings | None = Non
 
 def secured_key(parent: str, restrictions: Mapping[str, object]) -> str:
     """A key that carries its restrictions, signed with the parent key."""
-    params = "&".join(f"{k}={quote(','.join(v) if isinstance(v, list | tuple) else str(v), safe='')}" for k, v in sorted(restrictions.items()))
+    params = "&".join(f"{k}={quote(','.join(v) if isinstance(v, list | tuple) else str(v), safe='')}" for k, v in sorted(
+        restrictions.items()))
     return base64.b64encode((hmac.new(parent.encode(), params.encode(), hashlib.sha256).hexdigest() + params).encode()).decode()
 
 

@@ -28,7 +28,8 @@ def around(lat: Column, lng: Column, at: tuple[float, float], radius: float | No
 
 def inside_boxes(lat: Column, lng: Column, boxes: Sequence[tuple[float, float, float, float]]) -> Column:
     """Whether a point is in a box given by two opposite corners."""
-    return reduce(lambda a, b: a | b, [lat.between(min(b[0], b[2]), max(b[0], b[2])) & lng.between(min(b[1], b[3]), max(b[1], b[3])) for b in boxes])
+    return reduce(lambda a, b: a | b, [lat.between(min(b[0], b[2]), max(b[0], b[2])) & lng.between(min(b[1], b[3]),
+        max(b[1], b[3])) for b in boxes])
 
 
 def inside_polygon(lat: Column, lng: Column, points: Sequence[tuple[float, float]]) -> Column:
@@ -36,7 +37,8 @@ def inside_polygon(lat: Column, lng: Column, points: Sequence[tuple[float, float
     crossings = F.lit(0)
     for (a, b), (c, d) in zip(points, [*points[1:], points[0]], strict=True):
         if a != c:
-            crossings += ((F.lit(a) > lat).cast("int") != (F.lit(c) > lat).cast("int")).cast("int") * (lng < F.lit(d - b) * (lat - F.lit(a)) / F.lit(c - a) + F.lit(b)).cast("int")
+            crossings += ((F.lit(a) > lat).cast("int") != (F.lit(c) > lat).cast("int")).cast("int") * (lng < F.lit(d - b) * (
+                lat - F.lit(a)) / F.lit(c - a) + F.lit(b)).cast("int")
     return crossings % 2 == 1
 
 

@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_CJK = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0xF900, 0xFAFF), (0x2E80, 0x2EFF), (0x3000, 0x30FF), (0x31F0, 0x31FF), (0xAC00, 0xD7AF), (0x1100, 0x11FF), (0x20000, 0x2A6DF), (0x2A700, 0x2CEAF))
-TOKENS = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), *[T.StructField(n, T.IntegerType()) for n in ("pos", "start", "end")]]))
+_CJK = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0xF900, 0xFAFF), (0x2E80, 0x2EFF), (0x3000, 0x30FF), (0x31F0, 0x31FF), (0xAC00,
+    0xD7AF), (0x1100, 0x11FF), (0x20000, 0x2A6DF), (0x2A700, 0x2CEAF))
+TOKENS = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), *[T.StructField(n, T.IntegerType())
+    for n in ("pos", "start", "end")]]))
 
 
 def is_cjk(c: str) -> bool:
@@ -113,7 +115,8 @@ def joined_tokens(text: Column) -> Column:
 def edge_ngrams(token: Column, least: int = 2, most: int = 20) -> Column:
     """Prefixes of least to most characters; shorter tokens have none."""
     n = F.least(F.lit(most), F.char_length(token))
-    return F.when(n >= least, F.transform(F.sequence(F.lit(least), n), lambda k: F.substring(token, 1, k))).otherwise(F.array().cast("array<string>"))
+    return F.when(n >= least, F.transform(F.sequence(F.lit(least), n), lambda k: F.substring(token, 1, k))).otherwise(F.array(
+        ).cast("array<string>"))
 
 
 def allowed_typos(token: Column, one: int = 5, two: int = 9) -> Column:
@@ -137,7 +140,8 @@ def split_points(token: Column) -> Column:
 def joined_alternatives(tokens: Column) -> Column:
     """Neighbouring pairs of the first 5 tokens joined, and the whole query joined where it has 3 or more."""
     low = F.transform(tokens, lambda t: F.lower(t))
-    pairs = F.when(F.size(low) > 1, F.transform(F.sequence(F.lit(1), F.least(F.size(low), F.lit(5)) - 1), lambda i: F.concat(F.element_at(low, i), F.element_at(low, i + 1)))).otherwise(F.array().cast("array<string>"))
+    pairs = F.when(F.size(low) > 1, F.transform(F.sequence(F.lit(1), F.least(F.size(low), F.lit(5)) - 1), lambda i: F.concat(
+        F.element_at(low, i), F.element_at(low, i + 1)))).otherwise(F.array().cast("array<string>"))
     return F.when(F.size(low) >= 3, F.array_append(pairs, F.array_join(low, ""))).otherwise(pairs)
 
 
@@ -146,13 +150,17 @@ def split_alternatives(words: DataFrame, vocabulary: DataFrame, token: str = "to
 
     Two semi joins on the halves; each token keeps its smallest split by aggregation."""
     halves = words.select(F.lower(token).alias("token")).distinct().select("token", F.explode(split_points(F.col("token"))).alias("at"))
-    halves = halves.select("token", "at", F.substring(F.col("token"), F.lit(1), F.col("at")).alias("first"), F.substring(F.col("token"), F.col("at") + 1, F.lit(1 << 20)).alias("second"))
+    halves = halves.select("token", "at", F.substring(F.col("token"), F.lit(1), F.col("at")).alias("first"), F.substring(
+        F.col("token"), F.col("at") + 1, F.lit(1 << 20)).alias("second"))
     v = vocabulary.select(F.col("token").alias("w")).distinct()
     both = halves.join(v, F.col("first") == F.col("w"), "left_semi").join(v, F.col("second") == F.col("w"), "left_semi")
     return both.groupBy("token").agg(F.min_by(F.struct("first", "second"), "at").alias("s")).select("token", "s.first", "s.second")
 
 
-STOP_WORDS = {"en": ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with"], "fr": ["au", "de", "des", "du", "en", "est", "et", "la", "le", "les", "pour", "que", "qui", "sur", "un", "une"], "de": ["auf", "das", "der", "die", "ein", "eine", "ist", "mit", "nicht", "und", "von", "zu"], "es": ["con", "de", "del", "el", "en", "es", "la", "los", "para", "por", "que", "se", "su", "un", "una"]}
+STOP_WORDS = {"en": ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that",
+    "the", "this", "to", "was", "with"], "fr": ["au", "de", "des", "du", "en", "est", "et", "la", "le", "les", "pour", "que",
+    "qui", "sur", "un", "une"], "de": ["auf", "das", "der", "die", "ein", "eine", "ist", "mit", "nicht", "und", "von", "zu"],
+    "es": ["con", "de", "del", "el", "en", "es", "la", "los", "para", "por", "que", "se", "su", "un", "una"]}
 
 
 def without_stop_words(tokens: Column, languages: Sequence[str] = ("en",)) -> Column:
@@ -162,7 +170,9 @@ def without_stop_words(tokens: Column, languages: Sequence[str] = ("en",)) -> Co
 
 def singular(word: Column, irregular: Mapping[str, str] | None = None) -> Column:
     """A word without its English plural ending; irregular forms come first."""
-    out = F.when(word.rlike("(s|x|z|ch|sh)es$"), F.regexp_replace(word, "es$", "")).when(word.rlike("[^aeiou]ies$"), F.regexp_replace(word, "ies$", "y")).when(word.rlike("[^s]s$") & (F.length(word) > 3), F.regexp_replace(word, "s$", "")).otherwise(word)
+    out = F.when(word.rlike("(s|x|z|ch|sh)es$"), F.regexp_replace(word, "es$", "")).when(word.rlike("[^aeiou]ies$"),
+        F.regexp_replace(word, "ies$", "y")).when(word.rlike("[^s]s$") & (F.length(word) > 3), F.regexp_replace(word, "s$",
+        "")).otherwise(word)
     for plural, single in (irregular or {}).items():
         out = F.when(word == plural, single).otherwise(out)
     return out
@@ -170,7 +180,8 @@ def singular(word: Column, irregular: Mapping[str, str] | None = None) -> Column
 
 def highlight(text: Column, words: Column, before: str = "<em>", after: str = "</em>") -> Column:
     """The text with every word that begins with one of words marked."""
-    pattern = F.concat(F.lit(r"(?i)\b("), F.array_join(F.transform(words, lambda w: F.regexp_replace(w, r"([^\p{L}\p{N}])", r"\\$1")), "|"), F.lit(r")"))
+    pattern = F.concat(F.lit(r"(?i)\b("), F.array_join(
+        F.transform(words, lambda w: F.regexp_replace(w, r"([^\p{L}\p{N}])", r"\\$1")), "|"), F.lit(r")"))
     return F.regexp_replace(text, pattern, F.lit(f"{before}$1{after}"))
 
 
@@ -190,4 +201,5 @@ def snippet(text: Column, words: int, around: Column, ellipsis: str = "…") ->
 def dictionary_filter(rows: DataFrame, entries: DataFrame, language: str, column: str = "tokens") -> DataFrame:
     """rows without the enabled stop words of a dictionary table (language, word, state)."""
     words = entries.where((F.col("language") == language) & (F.col("state") == "enabled")).agg(F.collect_set(F.lower("word")).alias("stop"))
-    return rows.join(F.broadcast(words)).withColumn(column, F.filter(column, lambda t: ~F.array_contains(F.col("stop"), F.lower(t)))).drop("stop")
+    return rows.join(F.broadcast(words)).withColumn(column, F.filter(column,
+        lambda t: ~F.array_contains(F.col("stop"), F.lower(t)))).drop("stop")

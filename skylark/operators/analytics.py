@@ -31,7 +31,8 @@ def scope(rows: DataFrame, index: str | None = None, start: str | None = None, e
 
 def daily(rows: DataFrame, **measures: Column) -> DataFrame:
     """Measures by day and over all days (day 'total'), by one rollup."""
-    return rows.withColumn("d", day(F.col("timestamp_ms"))).rollup("d").agg(*[m.alias(n) for n, m in measures.items()]).select(F.coalesce(F.date_format("d", "yyyy-MM-dd"), F.lit("total")).alias("day"), *measures)
+    return rows.withColumn("d", day(F.col("timestamp_ms"))).rollup("d").agg(*[m.alias(n) for n, m in measures.items()]).select(
+        F.coalesce(F.date_format("d", "yyyy-MM-dd"), F.lit("total")).alias("day"), *measures)
 
 
 def searches_daily(s: DataFrame) -> DataFrame:
@@ -57,7 +58,8 @@ def _ranked(rows: DataFrame, n: int, *keys: Column) -> DataFrame:
 
 
 def searches_without_results(s: DataFrame, n: int = 10) -> DataFrame:
-    got = s.where("NOT has_results").groupBy("query").agg(F.count(F.lit(1)).alias("count"), F.count_if(F.col("filters").isNotNull()).alias("with_filter_count"))
+    got = s.where("NOT has_results").groupBy("query").agg(F.count(F.lit(1)).alias("count"), F.count_if(
+        F.col("filters").isNotNull()).alias("with_filter_count"))
     return _ranked(got, n, F.desc("count"), F.col("query"))
 
 
@@ -117,7 +119,9 @@ def position_histogram(e: DataFrame, edges: tuple[int, ...] = (11, 16, 21)) -> D
 def revenue(e: DataFrame) -> DataFrame:
     """Revenue by currency, by day and in total."""
     rows = e.where(is_conversion() & F.col("value").isNotNull()).withColumn("d", day(F.col("timestamp_ms")))
-    return rows.groupBy("d", "currency").agg(F.sum("value").alias("v")).rollup("currency", "d").agg(F.round(F.sum("v"), 2).alias("revenue")).where("currency IS NOT NULL").select(F.coalesce(F.date_format("d", "yyyy-MM-dd"), F.lit("total")).alias("day"), "currency", "revenue")
+    return rows.groupBy("d", "currency").agg(F.sum("value").alias("v")).rollup("currency", "d").agg(F.round(F.sum("v"), 2).alias(
+        "revenue")).where("currency IS NOT NULL").select(F.coalesce(F.date_format("d", "yyyy-MM-dd"), F.lit("total")).alias(
+        "day"), "currency", "revenue")
 
 
 _FILTER = r"([A-Za-z_][\w.]*)\s*(<=|>=|!=|:|=|<|>)\s*('[^']*'|[^\s()]+)"
@@ -127,7 +131,8 @@ def filter_parts(s: DataFrame) -> DataFrame:
     """attribute, operator, value and has_results of every comparison in the filters of searches."""
     found = F.regexp_extract_all("filters", F.lit(_FILTER), F.lit(0))
     part = lambda i: F.regexp_replace(F.regexp_extract("f", _FILTER, i), "^'|'$", "")
-    return s.where("filters IS NOT NULL").select("has_results", F.explode(found).alias("f")).select(part(1).alias("attribute"), part(2).alias("operator"), part(3).alias("value"), "has_results")
+    return s.where("filters IS NOT NULL").select("has_results", F.explode(found).alias("f")).select(part(1).alias("attribute"),
+        part(2).alias("operator"), part(3).alias("value"), "has_results")
 
 
 def top_filters(s: DataFrame, n: int = 10, attribute: str | None = None, no_results: bool = False) -> DataFrame:
@@ -135,26 +140,30 @@ def top_filters(s: DataFrame, n: int = 10, attribute: str | None = None, no_resu
     if no_results:
         rows = rows.where("NOT has_results")
     if attribute:
-        return _ranked(rows.where(F.col("attribute") == attribute).groupBy("attribute", "operator", "value").agg(F.count(F.lit(1)).alias("count")), n, F.desc("count"), F.col("operator"), F.col("value"))
+        return _ranked(rows.where(F.col("attribute") == attribute).groupBy("attribute", "operator", "value").agg(F.count(
+            F.lit(1)).alias("count")), n, F.desc("count"), F.col("operator"), F.col("value"))
     return _ranked(rows.groupBy("attribute").agg(F.count(F.lit(1)).alias("count")), n, F.desc("count"), F.col("attribute"))
 
 
 def top_hits(e: DataFrame, n: int = 10) -> DataFrame:
     """Objects by events, with clicks, conversions and revenue."""
     rows = e.select("event_type", "value", F.explode(F.from_json("object_ids", "array<string>")).alias("object_id"))
-    got = rows.groupBy("object_id").agg(F.count(F.lit(1)).alias("count"), F.count_if(is_click()).alias("clicks"), F.count_if(is_conversion()).alias("conversions"), F.round(F.sum(F.when(is_conversion(), F.col("value"))), 2).alias("revenue"))
+    got = rows.groupBy("object_id").agg(F.count(F.lit(1)).alias("count"), F.count_if(is_click()).alias("clicks"), F.count_if(
+        is_conversion()).alias("conversions"), F.round(F.sum(F.when(is_conversion(), F.col("value"))), 2).alias("revenue"))
     return _ranked(got, n, F.desc("count"), F.col("object_id"))
 
 
 def top_countries(s: DataFrame) -> DataFrame:
     got = s.where("country IS NOT NULL").groupBy("country").agg(F.count(F.lit(1)).alias("count"))
-    return got.withColumn("percent", F.round(F.col("count") * 100.0 / F.sum("count").over(Window.partitionBy(F.lit(1))), 4)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), "country")))
+    return got.withColumn("percent", F.round(F.col("count") * 100.0 / F.sum("count").over(Window.partitionBy(F.lit(1))),
+        4)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), "country")))
 
 
 def country_searches(s: DataFrame, n: int = 3) -> DataFrame:
     """The first n queries of every country."""
     got = s.where("country IS NOT NULL").groupBy("country", "query").agg(F.count(F.lit(1)).alias("count"))
-    return got.withColumn("rank", F.row_number().over(Window.partitionBy("country").orderBy(F.desc("count"), "query"))).where(F.col("rank") <= n)
+    return got.withColumn("rank", F.row_number().over(Window.partitionBy("country").orderBy(F.desc("count"), "query"))).where(
+        F.col("rank") <= n)
 
 
 def top_regions(s: DataFrame, country: str, n: int = 10) -> DataFrame:
@@ -167,7 +176,8 @@ def top_regions(s: DataFrame, country: str, n: int = 10) -> DataFrame:
 def device(tags: Column) -> Column:
     """The platform among a search's tags."""
     tags = F.split(tags, ",")
-    return F.when(F.array_contains(tags, "mobile"), "mobile").when(F.array_contains(tags, "tablet"), "tablet").when(F.array_contains(tags, "desktop"), "desktop").otherwise("other")
+    return F.when(F.array_contains(tags, "mobile"), "mobile").when(F.array_contains(tags, "tablet"), "tablet").when(
+        F.array_contains(tags, "desktop"), "desktop").otherwise("other")
 
 
 def devices(s: DataFrame) -> DataFrame:
@@ -179,7 +189,8 @@ def devices(s: DataFrame) -> DataFrame:
 def devices_daily(s: DataFrame) -> DataFrame:
     """Searches by day and platform."""
     day = F.to_date(F.timestamp_millis("timestamp_ms"))
-    return s.groupBy(F.date_format(day, "yyyy-MM-dd").alias("day"), device(F.col("analytics_tags")).alias("device")).agg(F.count(F.lit(1)).alias("count"))
+    return s.groupBy(F.date_format(day, "yyyy-MM-dd").alias("day"), device(F.col("analytics_tags")).alias("device")).agg(F.count(
+        F.lit(1)).alias("count"))
 
 
 def delta(s: DataFrame, split_ms: int) -> DataFrame:
@@ -192,25 +203,30 @@ def delta(s: DataFrame, split_ms: int) -> DataFrame:
 def top_searches_with_analytics(s: DataFrame, e: DataFrame, n: int = 10, by: str = "search_count", descending: bool = True) -> DataFrame:
     """Queries with clicks, rates, positions, conversions and revenue: pre-aggregates joined by search."""
     clicks = click_positions(e).groupBy("query_id").agg(F.count(F.lit(1)).alias("clicks"), F.sum("position").alias("positions"))
-    sales = e.where(is_conversion() & F.col("query_id").isNotNull()).groupBy("query_id").agg(F.count(F.lit(1)).alias("conversions"), F.sum("value").alias("revenue"))
+    sales = e.where(is_conversion() & F.col("query_id").isNotNull()).groupBy("query_id").agg(F.count(F.lit(1)).alias(
+        "conversions"), F.sum("value").alias("revenue"))
     rows = s.join(clicks, "query_id", "left").join(sales, "query_id", "left")
     traced, clicked, bought = F.count("query_id"), F.count_if(F.col("clicks") > 0), F.count_if(F.col("conversions") > 0)
     got = rows.groupBy("query").agg(
-        F.count(F.lit(1)).alias("search_count"), traced.alias("tracked_count"), F.coalesce(F.sum("clicks"), F.lit(0)).alias("click_count"), rate(clicked, traced).alias("click_through_rate"),
-        F.round(F.try_divide(F.sum("positions"), F.sum("clicks")), 6).alias("average_click_position"), rate(bought, traced).alias("conversion_rate"), F.round(F.coalesce(F.sum("revenue"), F.lit(0.0)), 2).alias("revenue"),
+        F.count(F.lit(1)).alias("search_count"), traced.alias("tracked_count"), F.coalesce(F.sum("clicks"), F.lit(0)).alias(
+            "click_count"), rate(clicked, traced).alias("click_through_rate"),
+        F.round(F.try_divide(F.sum("positions"), F.sum("clicks")), 6).alias("average_click_position"), rate(bought, traced).alias(
+            "conversion_rate"), F.round(F.coalesce(F.sum("revenue"), F.lit(0.0)), 2).alias("revenue"),
     )
     key = F.col(by)
     return _ranked(got, n, key.desc_nulls_last() if descending else key.asc_nulls_last(), F.col("query"))
 
 
 def status(s: DataFrame, retention_days: int = 90) -> DataFrame:
-    return s.agg((F.count(F.lit(1)) > 0).alias("has_data"), F.max("timestamp_ms").alias("updated_at")).select(F.lit(True).alias("enabled"), "has_data", F.lit(retention_days).alias("retention_days"), "updated_at")
+    return s.agg((F.count(F.lit(1)) > 0).alias("has_data"), F.max("timestamp_ms").alias("updated_at")).select(F.lit(True).alias(
+        "enabled"), "has_data", F.lit(retention_days).alias("retention_days"), "updated_at")
 
 
 def attribution(s: DataFrame, e: DataFrame) -> DataFrame:
     """Events with the query and index that their query_id names."""
     found = tracked(s).groupBy("query_id").agg(F.min(F.struct("query", "index_name")).alias("of"))
-    return e.where("query_id IS NOT NULL").join(found, "query_id").select("event_id", "query_id", F.col("of.query").alias("query"), F.col("of.index_name").alias("search_index"))
+    return e.where("query_id IS NOT NULL").join(found, "query_id").select("event_id", "query_id", F.col("of.query").alias(
+        "query"), F.col("of.index_name").alias("search_index"))
 
 
 def dedup_searches(rows: DataFrame, window_s: int = 30, seconds: str = "t", order: tuple[str, ...] = ("event_id",)) -> DataFrame:
@@ -231,7 +247,8 @@ def validation_error(now_ms: int, days: int = 4) -> Column:
     searched = (F.col("event_type") == "click") & qid.isNotNull()
     size = lambda c: F.coalesce(F.octet_length(c), F.lit(0))
     return (
-        F.when(~F.coalesce(F.col("event_type").isin("click", "conversion", "view"), F.lit(False)), F.concat(F.lit("invalid event type: "), F.coalesce("event_type", F.lit(""))))
+        F.when(~F.coalesce(F.col("event_type").isin("click", "conversion", "view"), F.lit(False)), F.concat(
+            F.lit("invalid event type: "), F.coalesce("event_type", F.lit(""))))
         .when(~size("event_name").between(1, 64), "event name must have 1 to 64 bytes")
         .when(~size("user_token").between(1, 129), "user token must have 1 to 129 bytes")
         .when(~n.between(1, 20), "an event must have 1 to 20 objects")
@@ -246,7 +263,8 @@ def ingest(batch: DataFrame, now_ms: int, most: int = 1000) -> tuple[DataFrame,
     """(accepted events, one row on the batch): invalid ones are dropped, and the batch fails if all are or it is too large."""
     checked = batch.withColumn("ids", effective_ids()).withColumn("error", validation_error(now_ms))
     n = F.count(F.lit(1))
-    verdict = checked.agg(n.alias("received"), F.count_if(F.col("error").isNull()).alias("accepted"), ((n <= most) & ((n == 0) | (F.count_if(F.col("error").isNull()) > 0))).alias("ok"))
+    verdict = checked.agg(n.alias("received"), F.count_if(F.col("error").isNull()).alias("accepted"), ((n <= most)
+        & ((n == 0) | (F.count_if(F.col("error").isNull()) > 0))).alias("ok"))
     return checked.where("error IS NULL").drop("error"), verdict
 
 

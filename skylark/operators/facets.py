@@ -19,7 +19,8 @@ def paths(docs: DataFrame, field: str, id_col: str = "object_id") -> DataFrame:
     kind = dict(docs.dtypes)[field]
     if kind.startswith("struct"):
         members = [f.name for f in docs.schema[field].dataType.fields if f.dataType.simpleString() == "string"]
-        all_ = F.array(*[F.when(F.col(f"{field}.{m}").isNotNull(), F.concat(F.lit(f"/{field}.{m}/"), F.col(f"{field}.{m}"))) for m in members])
+        all_ = F.array(*[F.when(F.col(f"{field}.{m}").isNotNull(), F.concat(F.lit(f"/{field}.{m}/"), F.col(f"{field}.{m}")))
+            for m in members])
     elif kind == "array<string>":
         all_ = F.transform(field, lambda v: path_of(field, v))
     elif kind == "string":
@@ -36,14 +37,16 @@ def display(path: Column) -> Column:
 def deepest(levels: Column) -> Column:
     """The value of the largest lvlN of a map."""
     entries = F.filter(F.map_entries(levels), lambda e: e["key"].rlike("^lvl[0-9]+$"))
-    ranked = F.transform(entries, lambda e: F.struct(F.regexp_extract(e["key"], "([0-9]+)$", 1).cast("int").alias("n"), e["value"].alias("v")))
+    ranked = F.transform(entries, lambda e: F.struct(F.regexp_extract(e["key"], "([0-9]+)$", 1).cast("int").alias("n"),
+        e["value"].alias("v")))
     return F.array_max(ranked)["v"]
 
 
 def counts(hits: DataFrame, facets: Sequence[str]) -> DataFrame:
     """facet, value, count of several attributes in one pass: rows are unpivoted, partial sums are shuffled."""
     one = [F.struct(F.lit(f).alias("facet"), F.col(f).cast("string").alias("value")) for f in facets]
-    return hits.select(F.explode(F.array(*one)).alias("f")).select("f.*").where("value IS NOT NULL").groupBy("facet", "value").agg(F.count(F.lit(1)).alias("count"))
+    return hits.select(F.explode(F.array(*one)).alias("f")).select("f.*").where("value IS NOT NULL").groupBy("facet",
+        "value").agg(F.count(F.lit(1)).alias("count"))
 
 
 def top_values(counted: DataFrame, n: int, by: str = "count") -> DataFrame:
@@ -55,7 +58,8 @@ def top_values(counted: DataFrame, n: int, by: str = "count") -> DataFrame:
 def below(pathed: DataFrame, prefix: str) -> DataFrame:
     """Counts of the levels right below a path."""
     parts = F.split(F.substring(F.col("path"), len(prefix.rstrip("/")) + 2, 1 << 20), "/")
-    return pathed.where(F.startswith("path", F.lit(prefix.rstrip("/") + "/"))).groupBy(F.element_at(parts, 1).alias("value")).agg(F.count_distinct("object_id").alias("count"))
+    return pathed.where(F.startswith("path", F.lit(prefix.rstrip("/") + "/"))).groupBy(F.element_at(parts, 1).alias("value")).agg(
+        F.count_distinct("object_id").alias("count"))
 
 
 def search_values(counted: DataFrame, facet: str, text: str, n: int = 10) -> DataFrame:
@@ -77,8 +81,10 @@ def disjunctive(docs: DataFrame, refined: Mapping[str, Sequence[str]], base: Col
     One scan: a row counts for a facet if it fits all other refinements."""
     base = F.lit(True) if base is None else base
     fits = {f: F.coalesce(F.col(f).isin(list(v)), F.lit(False)) if v else F.lit(True) for f, v in refined.items()}
-    one = [F.when(reduce(lambda a, b: a & b, [c for g, c in fits.items() if g != f], base), F.struct(F.lit(f).alias("facet"), F.col(f).cast("string").alias("value"))) for f in refined]
-    counted = docs.select(F.explode(F.filter(F.array(*one), lambda x: x.isNotNull())).alias("f")).select("f.*").where("value IS NOT NULL").groupBy("facet", "value").agg(F.count(F.lit(1)).alias("count"))
+    one = [F.when(reduce(lambda a, b: a & b, [c for g, c in fits.items() if g != f], base), F.struct(F.lit(f).alias("facet"),
+        F.col(f).cast("string").alias("value"))) for f in refined]
+    counted = docs.select(F.explode(F.filter(F.array(*one), lambda x: x.isNotNull())).alias("f")).select("f.*").where(
+        "value IS NOT NULL").groupBy("facet", "value").agg(F.count(F.lit(1)).alias("count"))
     asked = docs.sparkSession.createDataFrame([(f, x) for f, v in refined.items() for x in v], "facet string, value string")
     return counted.join(asked, ["facet", "value"], "full").select("facet", "value", F.coalesce("count", F.lit(0)).alias("count"))
 
@@ -95,4 +101,5 @@ def order_values(counted: DataFrame, first: Sequence[str], rest: str = "count",
 
 def zero_filled(every: DataFrame, counted: DataFrame) -> DataFrame:
     """All facet values with their count among the hits, 0 where there is none."""
-    return every.select("facet", "value").join(counted, ["facet", "value"], "left").select("facet", "value", F.coalesce("count", F.lit(0)).alias("count"))
+    return every.select("facet", "value").join(counted, ["facet", "value"], "left").select("facet", "value", F.coalesce("count",
+        F.lit(0)).alias("count"))

@@ -16,11 +16,14 @@ from skylark.functions.text import allowed_typos, attribute_weights, tokenize
 
 def postings(docs: DataFrame, id_col: str, attributes: Sequence[str], analyser=tokenize) -> DataFrame:
     """object_id, path, attr_rank, token, pos of every searchable text."""
-    texts = F.array(*[F.struct(F.lit(a).alias("path"), F.lit(i).alias("attr_rank"), F.col(a).cast("string").alias("text")) for i, a in enumerate(attributes)])
+    texts = F.array(*[F.struct(F.lit(a).alias("path"), F.lit(i).alias("attr_rank"), F.col(a).cast("string").alias("text")) for i,
+        a in enumerate(attributes)])
     rows = docs.select(F.col(id_col).alias("object_id"), F.explode(texts).alias("t")).where("t.text IS NOT NULL")
     rows = rows.select("object_id", "t.path", "t.attr_rank", F.posexplode(analyser(F.col("t.text"))).alias("n", "k"))
     kind = dict(rows.dtypes)["k"]
-    return rows.select("object_id", "path", "attr_rank", F.col("k.token").alias("token"), F.col("k.pos").alias("pos")) if kind.startswith("struct") else rows.select("object_id", "path", "attr_rank", F.col("k").alias("token"), F.col("n").alias("pos"))
+    return rows.select("object_id", "path", "attr_rank", F.col("k.token").alias("token"), F.col("k.pos").alias(
+        "pos")) if kind.startswith("struct") else rows.select("object_id", "path", "attr_rank", F.col("k").alias("token"), F.col(
+        "n").alias("pos"))
 
 
 def vocabulary(post: DataFrame) -> DataFrame:
@@ -33,7 +36,8 @@ def parse_queries(queries: DataFrame, mode: str = "prefixLast") -> DataFrame:
 
     A last word is a prefix in the mode prefixLast unless a blank follows it; all are in prefixAll."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    rows = queries.select("query_id", F.col("text").rlike(r"\s$").alias("ended"), words.alias("w")).select("query_id", "ended", F.size("w").alias("n"), F.posexplode("w").alias("qpos", "token"))
+    rows = queries.select("query_id", F.col("text").rlike(r"\s$").alias("ended"), words.alias("w")).select("query_id", "ended",
+        F.size("w").alias("n"), F.posexplode("w").alias("qpos", "token"))
     prefix = {"prefixAll": F.lit(True), "prefixNone": F.lit(False), "prefixLast": (F.col("qpos") == F.col("n") - 1) & ~F.col("ended")}[mode]
     return rows.select("query_id", "qpos", "token", prefix.alias("prefix"), "n")
 
@@ -48,7 +52,8 @@ def match(post: DataFrame, words: DataFrame, weights: dict[str, float] | None =
     whole = words.where("NOT prefix").join(v.withColumnRenamed("token", "term"), F.col("token") == F.col("term"))
     # one-letter prefixes meet by one character, longer ones by two
     lead = words.where("prefix").withColumn("k", F.substring("token", 1, 2))
-    terms = v.select(F.col("token").alias("term")).withColumn("k", F.explode(F.array_distinct(F.array(F.substring("term", 1, 1), F.substring("term", 1, 2)))))
+    terms = v.select(F.col("token").alias("term")).withColumn("k", F.explode(
+        F.array_distinct(F.array(F.substring("term", 1, 1), F.substring("term", 1, 2)))))
     begun = lead.join(terms, "k").where(F.startswith("term", "token")).drop("k")
     needed = whole.select("query_id", "qpos", "n", "term").unionByName(begun.select("query_id", "qpos", "n", "term"))
     weight = F.lit(1.0)
@@ -57,7 +62,8 @@ def match(post: DataFrame, words: DataFrame, weights: dict[str, float] | None =
     # dealt once by query and object, which serves both aggregations
     found = post.join(needed, post["token"] == needed["term"]).repartition("query_id", "object_id")
     hits = found.groupBy("query_id", "object_id", "n", "qpos").agg(F.max(weight).alias("w"))
-    return hits.groupBy("query_id", "object_id", "n").agg(F.count(F.lit(1)).alias("found"), F.sum("w").alias("score")).where("found = n").select("query_id", "object_id", "score")
+    return hits.groupBy("query_id", "object_id", "n").agg(F.count(F.lit(1)).alias("found"), F.sum("w").alias("score")).where(
+        "found = n").select("query_id", "object_id", "score")
 
 
 def osa_distance(a: str, b: str, most: int) -> int:
@@ -86,7 +92,8 @@ def _osa(pairs: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd
 
 def deletions(word: Column, most: int) -> Column:
     """A word and what is left of it after up to `most` (1 or 2) deletions."""
-    cut = lambda w: F.transform(F.sequence(F.lit(1), F.char_length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.lit(1 << 20))))
+    cut = lambda w: F.transform(F.sequence(F.lit(1), F.char_length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1),
+        F.substring(w, i + 1, F.lit(1 << 20))))
     one = F.when(F.char_length(word) > 0, cut(word)).otherwise(F.array().cast("array<string>"))
     out = F.array_union(F.array(word), one)
     return F.array_union(out, F.flatten(F.transform(F.filter(one, lambda w: F.char_length(w) > 0), cut))) if most > 1 else out
@@ -97,7 +104,8 @@ def fuzzy_terms(words: DataFrame, vocab: DataFrame, typos: Column | None = None)
 
     Candidates share a deletion neighbour, an equality join over the vocabulary; only they are verified."""
     w = words.select(F.lower("token").alias("word")).distinct().withColumn("d", allowed_typos(F.col("word")) if typos is None else typos)
-    near = w.select("word", "d", F.explode(F.when(F.col("d") == 2, deletions(F.col("word"), 2)).when(F.col("d") == 1, deletions(F.col("word"), 1)).otherwise(F.array("word"))).alias("k"))
+    near = w.select("word", "d", F.explode(F.when(F.col("d") == 2, deletions(F.col("word"), 2)).when(F.col("d") == 1,
+        deletions(F.col("word"), 1)).otherwise(F.array("word"))).alias("k"))
     reach = vocab.select(F.col("token").alias("term")).distinct().select("term", F.explode(deletions(F.col("term"), 2)).alias("k"))
     pairs = near.join(reach, "k").select("word", "term", "d").distinct()
     return pairs.withColumn("typos", _osa("word", "term", "d")).where("typos <= d").select("word", "term", "typos")
@@ -118,8 +126,10 @@ def expand_synonyms(words: DataFrame, synonyms: DataFrame) -> DataFrame:
 
     Types: synonym (all words of the row stand for each other), oneWaySynonym (input to words) and
     altCorrection1/2 (input to words, at the cost of 1 or 2 typos)."""
-    both = synonyms.where("type = 'synonym'").select(F.explode("words").alias("from"), "words").select("from", F.explode("words").alias("to"), F.lit(0).alias("typo_cost")).where("`from` <> `to`")
-    one = synonyms.where("type <> 'synonym'").select(F.col("input").alias("from"), F.explode("words").alias("to"), F.when(F.col("type") == "altCorrection1", 1).when(F.col("type") == "altCorrection2", 2).otherwise(0).alias("typo_cost"))
+    both = synonyms.where("type = 'synonym'").select(F.explode("words").alias("from"), "words").select("from", F.explode(
+        "words").alias("to"), F.lit(0).alias("typo_cost")).where("`from` <> `to`")
+    one = synonyms.where("type <> 'synonym'").select(F.col("input").alias("from"), F.explode("words").alias("to"), F.when(
+        F.col("type") == "altCorrection1", 1).when(F.col("type") == "altCorrection2", 2).otherwise(0).alias("typo_cost"))
     edges = both.unionByName(one)
     base = words.select("query_id", "qpos", "token", F.lit(0).alias("typo_cost"))
     more = words.join(edges, F.col("token") == F.col("from")).select("query_id", "qpos", F.col("to").alias("token"), edges["typo_cost"])
@@ -141,7 +151,8 @@ def exact_phrase(post: DataFrame, phrase: Sequence[str]) -> DataFrame:
     for w, at in want.items():
         places = F.when(F.col("token") == w, F.array(*map(F.lit, at))).otherwise(places)
     hit = post.where(F.col("token").isin(list(want))).select("object_id", "path", "pos", F.explode(places).alias("i"))
-    return hit.groupBy("object_id", "path", (F.col("pos") - F.col("i")).alias("at")).agg(F.count_distinct("i").alias("n")).where(F.col("n") == len(phrase)).select("object_id").distinct()
+    return hit.groupBy("object_id", "path", (F.col("pos") - F.col("i")).alias("at")).agg(F.count_distinct("i").alias("n")).where(
+        F.col("n") == len(phrase)).select("object_id").distinct()
 
 
 def exclude_words(hits: DataFrame, post: DataFrame, words: Sequence[str]) -> DataFrame:
@@ -160,7 +171,8 @@ def relax(words: DataFrame, how: str, most: int = 5) -> DataFrame:
     return rounds.where(keep).withColumn("n", left)
 
 
-def cosine_neighbours(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 1024) -> DataFrame:
+def cosine_neighbours(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding",
+    block: int = 1024) -> DataFrame:
     """query_id, vec_id, similarity, rank: exact cosine of a stated query set against all rows.
 
     Blocks of about `block` queries meet blocks of rows in tasks, each pair of blocks once, as a matrix product;
@@ -172,10 +184,13 @@ def cosine_neighbours(vectors: DataFrame, queries: DataFrame, k: int, id_col: st
     width = max(1, cells // count)
     kind = vectors.schema[id_col].dataType.simpleString()
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.lit(False).alias("asks"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(width)).cast("int")).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(width)).cast("int")).withColumn("grp", F.explode(
+        F.sequence(F.lit(0), F.lit(count - 1))))
     asks = queries.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.lit(True).alias("asks"))
-    asks = asks.withColumn("grp", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(count)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-    both = rows.unionByName(asks).where("v IS NOT NULL").repartition(cells, "grp", "part").sortWithinPartitions("grp", "part", F.desc("asks"))
+    asks = asks.withColumn("grp", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(count)).cast("int")).withColumn("part", F.explode(
+        F.sequence(F.lit(0), F.lit(width - 1))))
+    both = rows.unionByName(asks).where("v IS NOT NULL").repartition(cells, "grp", "part").sortWithinPartitions("grp", "part",
+        F.desc("asks"))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, units, kept = None, None, None, None
@@ -188,12 +203,14 @@ def cosine_neighbours(vectors: DataFrame, queries: DataFrame, k: int, id_col: st
         def flush() -> Iterator[pa.RecordBatch]:
             if kept:
                 found = [(a, i, s) for a, best_ in kept.items() for s, i in best_]
-                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate((id_type, id_type, pa.float64()))], names=["query_id", "id", "similarity"])
+                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c,
+                    t in enumerate((id_type, id_type, pa.float64()))], names=["query_id", "id", "similarity"])
 
         id_type = None
         for b in batches:
             id_type = b.schema.field("id").type
-            keys = np.stack([b.column("grp").to_numpy(), b.column("part").to_numpy(), ~b.column("asks").to_numpy(zero_copy_only=False)], axis=1)
+            keys = np.stack([b.column("grp").to_numpy(), b.column("part").to_numpy(), ~b.column("asks").to_numpy(
+                zero_copy_only=False)], axis=1)
             edges = np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1
             for lo, hi in zip([0, *edges], [*edges, b.num_rows], strict=True):
                 cell, rows_ = tuple(keys[lo][:2]), bool(keys[lo][2])
@@ -224,7 +241,8 @@ def cosine_neighbours(vectors: DataFrame, queries: DataFrame, k: int, id_col: st
 
 
 def weights_table(spark, searchable: Sequence[str], override=None) -> DataFrame:
-    return spark.createDataFrame([(a, i, w) for i, (a, w) in enumerate(attribute_weights(searchable, override).items())], "attribute string, attr_rank int, weight double")
+    return spark.createDataFrame([(a, i, w) for i, (a, w) in enumerate(attribute_weights(searchable, override).items())],
+        "attribute string, attr_rank int, weight double")
 
 
 def text_leaves(schema: T.StructType, skip: Sequence[str] = ()) -> list[tuple[str, Column]]:
@@ -269,4 +287,5 @@ def _member(at: list[str]):
 def nested_texts(docs: DataFrame, id_col: str = "object_id") -> DataFrame:
     """object_id, path and text of every text of nested documents, for postings by path."""
     leaves = [F.struct(F.lit(p).alias("path"), c.alias("text")) for p, c in text_leaves(docs.schema, [id_col])]
-    return docs.select(F.col(id_col).alias("object_id"), F.explode(F.array(*leaves)).alias("t")).select("object_id", "t.*").where("text IS NOT NULL")
+    return docs.select(F.col(id_col).alias("object_id"), F.explode(F.array(*leaves)).alias("t")).select("object_id", "t.*").where(
+        "text IS NOT NULL")

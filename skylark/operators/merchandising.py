@@ -16,9 +16,11 @@ RULE_WITH_PINS = f"{RULE}, promote array<struct<object_id:string,position:int>>,
 def applies(query: Column, context: Column, now: Column) -> Column:
     """Whether a rule's row fits a query: pattern and anchoring, context, switch and validity."""
     q, p = F.lower(F.trim(query)), F.lower("pattern")
-    text = F.when(F.col("anchoring") == "is", q == p).when(F.col("anchoring") == "startsWith", F.startswith(q, p)).when(F.col("anchoring") == "endsWith", F.endswith(q, p)).otherwise(F.contains(q, p))
+    text = F.when(F.col("anchoring") == "is", q == p).when(F.col("anchoring") == "startsWith", F.startswith(q, p)).when(F.col(
+        "anchoring") == "endsWith", F.endswith(q, p)).otherwise(F.contains(q, p))
     return (
-        F.coalesce(text, F.lit(True)) & F.coalesce(F.col("context") == context, F.col("context").isNull()) & F.coalesce("enabled", F.lit(True))
+        F.coalesce(text, F.lit(True)) & F.coalesce(F.col("context") == context, F.col("context").isNull()) & F.coalesce("enabled",
+            F.lit(True))
         & (F.coalesce("valid_from", F.lit(0)) <= now) & (now <= F.coalesce("valid_until", F.lit(2**62)))
     )
 
@@ -30,8 +32,10 @@ def apply_rules(queries: DataFrame, rules: DataFrame, now: int = 0) -> DataFrame
     are a list that a merchandiser writes; they travel to each query as one array, not as a join of all pairs."""
     packed = rules.agg(F.sort_array(F.collect_list(F.struct(*rules.columns))).alias("rules"))
     asked = queries if "context" in queries.columns else queries.withColumn("context", F.lit(None).cast("string"))
-    rows = asked.withColumnRenamed("context", "asked").join(F.broadcast(packed)).select("query_id", "text", "asked", F.explode_outer("rules").alias("r"))
-    hit = rows.select("query_id", "text", "asked", "r.*").withColumn("hit", F.col("id").isNotNull() & applies(F.col("text"), F.col("asked"), F.lit(now)))
+    rows = asked.withColumnRenamed("context", "asked").join(F.broadcast(packed)).select("query_id", "text", "asked",
+        F.explode_outer("rules").alias("r"))
+    hit = rows.select("query_id", "text", "asked", "r.*").withColumn("hit", F.col("id").isNotNull() & applies(F.col("text"),
+        F.col("asked"), F.lit(now)))
     pins = [c for c in ("promote", "hide", "filter_promotes") if c in rules.columns]
     on = F.when(F.col("hit"), F.struct("id", "query", "remove", "filters", "user_data", *pins))
     got = hit.groupBy("query_id", "text").agg(F.array_sort(F.collect_list(on)).alias("a"))
@@ -39,8 +43,11 @@ def apply_rules(queries: DataFrame, rules: DataFrame, now: int = 0) -> DataFrame
     removed = F.array_distinct(F.flatten(F.transform(F.filter("a", lambda r: r["remove"].isNotNull()), lambda r: r["remove"])))
     edited = F.array_join(F.filter(F.split(F.coalesce(first, F.col("text")), " "), lambda w: ~F.array_contains(removed, F.lower(w))), " ")
     return got.select(
-        "query_id", "text", edited.alias("rewritten"), F.array_join(F.transform(F.filter("a", lambda r: r["filters"].isNotNull()), lambda r: F.concat(F.lit("("), r["filters"], F.lit(")"))), " AND ").alias("filters"),
-        F.array_join(F.transform(F.filter("a", lambda r: r["user_data"].isNotNull()), lambda r: r["user_data"]), "|").alias("user_data"), F.array_join(F.transform("a", lambda r: r["id"]), ",").alias("applied_rules"),
+        "query_id", "text", edited.alias("rewritten"), F.array_join(
+            F.transform(F.filter("a", lambda r: r["filters"].isNotNull()), lambda r: F.concat(F.lit("("), r["filters"],
+            F.lit(")"))), " AND ").alias("filters"),
+        F.array_join(F.transform(F.filter("a", lambda r: r["user_data"].isNotNull()), lambda r: r["user_data"]), "|").alias(
+            "user_data"), F.array_join(F.transform("a", lambda r: r["id"]), ",").alias("applied_rules"),
         *[_together("a", c).alias(c) for c in pins],
     )
 
@@ -66,7 +73,8 @@ def search_rules(rules: DataFrame, text: str) -> DataFrame:
 
 def search_synonyms(synonyms: DataFrame, text: str, kind: str | None = None) -> DataFrame:
     """Synonym rows with a word that has the text in it, of one type if given."""
-    hit = synonyms.where(F.exists("words", lambda w: F.contains(F.lower(w), F.lit(text.lower()))) | F.contains(F.lower("input"), F.lit(text.lower())))
+    hit = synonyms.where(F.exists("words", lambda w: F.contains(F.lower(w), F.lit(text.lower()))) | F.contains(F.lower("input"),
+        F.lit(text.lower())))
     return hit.where(F.col("type") == kind) if kind else hit
 
 

@@ -26,7 +26,8 @@ def top(hits: DataFrame, keys: Sequence[Column], limit: int, offset: int = 0, id
 def page(hits: DataFrame, keys: Sequence[Column], page_no: int, per_page: int, id_col: str = "object_id") -> DataFrame:
     """One page with nb_hits and nb_pages."""
     total = hits.agg(F.count(F.lit(1)).alias("nb_hits"))
-    return top(hits, keys, per_page, page_no * per_page, id_col).join(F.broadcast(total)).withColumn("nb_pages", F.ceil(F.col("nb_hits") / per_page).cast("long"))
+    return top(hits, keys, per_page, page_no * per_page, id_col).join(F.broadcast(total)).withColumn("nb_pages", F.ceil(
+        F.col("nb_hits") / per_page).cast("long"))
 
 
 def distinct(hits: DataFrame, attribute: str, n: int, keys: Sequence[Column], id_col: str = "object_id") -> DataFrame:
@@ -55,7 +56,8 @@ def pin_slots(pins: Sequence[tuple[object, int]], natural: int) -> list[tuple[ob
     return out
 
 
-def pin(docs: DataFrame, hits: DataFrame, pins: Sequence[tuple[object, int]], hidden: Sequence, keys: Sequence[Column], id_col: str = "object_id", limit: int = 1000) -> DataFrame:
+def pin(docs: DataFrame, hits: DataFrame, pins: Sequence[tuple[object, int]], hidden: Sequence, keys: Sequence[Column],
+    id_col: str = "object_id", limit: int = 1000) -> DataFrame:
     """The first `limit` hits in order, with pinned rows (also of docs outside hits) at their positions; slot
     counts from 0. Only `limit` rows are numbered, of which a task keeps no more. Pass docs that fit the
     filters for pins that must fit them.
@@ -82,7 +84,8 @@ def pin(docs: DataFrame, hits: DataFrame, pins: Sequence[tuple[object, int]], hi
 def ranking_info(hits: DataFrame, custom: Sequence[str] = ()) -> list[Column]:
     """Sort keys of the ranking criteria that are columns of hits: typos, geo, words, filters, proximity, attribute, exact, custom."""
     have = set(hits.columns)
-    order = [("typos", True), ("geo", True), ("words", False), ("filters", False), ("proximity", True), ("attribute", True), ("exact", False)]
+    order = [("typos", True), ("geo", True), ("words", False), ("filters", False), ("proximity", True), ("attribute", True), (
+        "exact", False)]
     return [F.col(c).asc() if up else F.col(c).desc() for c, up in order if c in have] + order_keys(custom)
 
 

@@ -18,7 +18,8 @@ def bought_together(baskets: DataFrame, basket: str, item: str, n: int = 3, leas
     A basket pairs its own items by equality of its id. The items of a large one are dealt over blocks of
     about `block`, every two of which meet by themselves, so no task pairs a whole basket."""
     b = baskets.select(basket, item).distinct()
-    sized = b.join(b.groupBy(basket).agg(F.count(F.lit(1)).alias("size")).where("size >= 2"), basket).withColumn("blocks", F.ceil(F.col("size") / block))
+    sized = b.join(b.groupBy(basket).agg(F.count(F.lit(1)).alias("size")).where("size >= 2"), basket).withColumn("blocks", F.ceil(
+        F.col("size") / block))
     alone = sized.groupBy(item).agg(F.count(F.lit(1)).alias("n"))
     total = sized.agg(F.count_distinct(basket).alias("baskets"))
     own, each = F.pmod(F.xxhash64(item), "blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
@@ -26,15 +27,18 @@ def bought_together(baskets: DataFrame, basket: str, item: str, n: int = 3, leas
     right = sized.select(F.col(basket).alias("basket"), F.col(item).alias("other"), each.alias("x"), own.alias("y"))
     pairs = left.join(right, ["basket", "x", "y"]).where("item <> other")
     joint = pairs.groupBy("item", "other").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= least)
-    scored = joint.join(alone.select(F.col(item).alias("item"), F.col("n").alias("n_item")), "item").join(alone.select(F.col(item).alias("other"), F.col("n").alias("n_other")), "other").join(F.broadcast(total))
+    scored = joint.join(alone.select(F.col(item).alias("item"), F.col("n").alias("n_item")), "item").join(alone.select(
+        F.col(item).alias("other"), F.col("n").alias("n_other")), "other").join(F.broadcast(total))
     lift = F.round(F.col("together") * F.col("baskets") / (F.col("n_item") * F.col("n_other")), 6)
-    return _best(scored.select("item", "other", "together", lift.alias("lift")), "item", n, F.desc("together"), F.desc("lift"), F.col("other"))
+    return _best(scored.select("item", "other", "together", lift.alias("lift")), "item", n, F.desc("together"), F.desc("lift"),
+        F.col("other"))
 
 
 def trending(events: DataFrame, item: str, ts: str, now: str, half_life_days: float = 7.0, n: int = 10) -> DataFrame:
     """Items by events that lose half their weight every half_life_days whole days."""
     age = F.datediff(F.lit(now).cast("date"), F.to_date(ts))
-    got = events.where(age >= 0).groupBy(item, age.alias("age")).agg(F.count(F.lit(1)).alias("c")).groupBy(item).agg(F.sum("c").alias("events"), F.round(F.sum(F.col("c") * F.pow(F.lit(0.5), F.col("age") / half_life_days)), 4).alias("score"))
+    got = events.where(age >= 0).groupBy(item, age.alias("age")).agg(F.count(F.lit(1)).alias("c")).groupBy(item).agg(F.sum(
+        "c").alias("events"), F.round(F.sum(F.col("c") * F.pow(F.lit(0.5), F.col("age") / half_life_days)), 4).alias("score"))
     return got.orderBy(F.desc("score"), item).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), item)))
 
 
@@ -46,16 +50,19 @@ def suggestions(searches: DataFrame, min_hits: int = 1, min_letters: int = 4, ex
     """Queries that are searched, have results and are long enough, by popularity."""
     q = F.lower(F.trim("query"))
     got = searches.groupBy(q.alias("suggestion")).agg(F.count(F.lit(1)).alias("popularity"), F.max("nb_hits").alias("nb_hits"))
-    return got.where((F.col("nb_hits") >= min_hits) & (F.char_length("suggestion") >= min_letters) & ~F.col("suggestion").isin(list(exclude)))
+    return got.where((F.col("nb_hits") >= min_hits) & (F.char_length("suggestion") >= min_letters) & ~F.col("suggestion").isin(
+        list(exclude)))
 
 
-def affinities(events: DataFrame, event_scores: dict[str, int], facet_scores: dict[str, int], user: str = "user_token", most: int = 20) -> DataFrame:
+def affinities(events: DataFrame, event_scores: dict[str, int], facet_scores: dict[str, int], user: str = "user_token",
+    most: int = 20) -> DataFrame:
     """user, facet, value, score from 1 to `most`: points of events times points of facets, scaled to the user's best."""
     points = F.lit(0)
     for kind, p in event_scores.items():
         points = F.when(F.col("event_type") == kind, p).otherwise(points)
     one = [F.struct(F.lit(f).alias("facet"), F.col(f).cast("string").alias("value"), F.lit(p).alias("p")) for f, p in facet_scores.items()]
-    raw = events.withColumn("points", points).where("points > 0").select(user, "points", F.explode(F.array(*one)).alias("f")).where("f.value IS NOT NULL").groupBy(user, "f.facet", "f.value").agg(F.sum(F.col("points") * F.col("f.p")).alias("raw"))
+    raw = events.withColumn("points", points).where("points > 0").select(user, "points", F.explode(F.array(*one)).alias(
+        "f")).where("f.value IS NOT NULL").groupBy(user, "f.facet", "f.value").agg(F.sum(F.col("points") * F.col("f.p")).alias("raw"))
     best = F.max("raw").over(Window.partitionBy(user))
     return raw.withColumn("score", F.greatest(F.lit(1), F.round(F.col("raw") * most / best).cast("long"))).drop("raw")
 
@@ -77,7 +84,8 @@ def _phi(z: Column) -> Column:
     """The standard normal distribution function (Abramowitz and Stegun 26.2.17, error below 7.5e-8)."""
     x = F.abs(z)
     t = 1 / (1 + 0.2316419 * x)
-    tail = F.exp(-x * x / 2) * 0.3989422804014327 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    tail = F.exp(-x * x / 2) * 0.3989422804014327 * t * (0.319381530 + t * (-0.356563782
+        + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
     return F.when(z >= 0, 1 - tail).otherwise(tail)
 
 
@@ -90,7 +98,8 @@ def compare_rates(counts: DataFrame, control: str) -> DataFrame:
     z = F.try_divide(p - q, F.sqrt(pool * (1 - pool) * (1 / F.col("n") + 1 / F.col("c_n"))))
     se = F.sqrt(p * (1 - p) / F.col("n") + q * (1 - q) / F.col("c_n"))
     r = lambda x: F.round(x, 6)
-    return rows.select("metric", "variant", r(p).alias("rate"), r(p - q).alias("difference"), r(p - q - 1.96 * se).alias("low"), r(p - q + 1.96 * se).alias("high"), r(2 * (1 - _phi(F.abs(z)))).alias("p_value"))
+    return rows.select("metric", "variant", r(p).alias("rate"), r(p - q).alias("difference"), r(p - q - 1.96 * se).alias("low"),
+        r(p - q + 1.96 * se).alias("high"), r(2 * (1 - _phi(F.abs(z)))).alias("p_value"))
 
 
 def corrected(tests: DataFrame, how: str = "benjamini-hochberg", alpha: float = 0.05) -> DataFrame:
@@ -110,7 +119,8 @@ def sample_size(rate: float, effect: float, power_z: float = 0.8416, alpha_z: fl
     return int(-(-((alpha_z + power_z) ** 2 * (rate * (1 - rate) + other * (1 - other))) // (rate - other) ** 2))
 
 
-def inject(organic: DataFrame, injected: DataFrame, position: int, length: int, id_col: str = "object_id", dedup: str = "highestInjected") -> DataFrame:
+def inject(organic: DataFrame, injected: DataFrame, position: int, length: int, id_col: str = "object_id",
+    dedup: str = "highestInjected") -> DataFrame:
     """A feed (id, slot from 0) with up to `length` injected rows (id, rank) from a position on.
 
     organic has ranks from 1 without gaps, so a row's slot follows from its rank and the few rows that are
@@ -148,6 +158,7 @@ def related(views: DataFrame, user: str, item: str, n: int = 3, least: int = 2,
     return bought_together(views, user, item, n, least, block)
 
 
-def looking_similar(vectors: DataFrame, items: DataFrame, k: int = 3, threshold: float = 0.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def looking_similar(vectors: DataFrame, items: DataFrame, k: int = 3, threshold: float = 0.0, id_col: str = "vec_id",
+    vec_col: str = "embedding") -> DataFrame:
     """query_id, id, similarity, rank of the items that look most like some, from their vectors."""
     return matching.cosine_neighbours(vectors, items, k, id_col, vec_col).where(F.col("similarity") >= threshold)

@@ -86,7 +86,8 @@ def parse(text: str, o: Options) -> Parsed:
     stop = {w for x in o.stop_words for w in STOP_WORDS.get(x, [])}
     keep = [i for i, w in enumerate(words) if w not in stop or prefix[i]] or list(range(len(words)))
     optional = {x.lower() for x in o.optional_words}
-    return Parsed([words[i] for i in keep], [prefix[i] for i in keep], {n for n, i in enumerate(keep) if words[i] in optional}, phrases, excluded)
+    return Parsed([words[i] for i in keep], [prefix[i] for i in keep], {n for n, i in enumerate(keep) if words[i] in optional},
+        phrases, excluded)
 
 
 def plural_forms(word: str) -> set[str]:
@@ -105,9 +106,11 @@ def plural_forms(word: str) -> set[str]:
 
 def synonym_edges(synonyms: DataFrame) -> DataFrame:
     """from, to and typo_cost of a synonym table (type, input, words), lower-cased."""
-    both = synonyms.where("type = 'synonym'").select(F.explode("words").alias("from"), "words").select("from", F.explode("words").alias("to"), F.lit(0).alias("typo_cost"))
+    both = synonyms.where("type = 'synonym'").select(F.explode("words").alias("from"), "words").select("from", F.explode(
+        "words").alias("to"), F.lit(0).alias("typo_cost"))
     one = synonyms.where("type IN ('oneWaySynonym', 'altCorrection1', 'altCorrection2')").select(
-        F.col("input").alias("from"), F.explode("words").alias("to"), F.when(F.col("type") == "altCorrection1", 1).when(F.col("type") == "altCorrection2", 2).otherwise(0).alias("typo_cost")
+        F.col("input").alias("from"), F.explode("words").alias("to"), F.when(F.col("type") == "altCorrection1", 1).when(
+            F.col("type") == "altCorrection2", 2).otherwise(0).alias("typo_cost")
     )
     return both.unionByName(one).select(F.lower("from").alias("from"), F.lower("to").alias("to"), "typo_cost").where("`from` <> `to`")
 
@@ -222,8 +225,10 @@ def fold(rows: DataFrame, n: int, atoms: Sequence[Atom], ways: Sequence[Way], o:
     near = sum((_distance(i) for i in range(n - 1)), F.lit(0))
     total = lambda cs: sum(cs, F.lit(0))
     return got.select(
-        "_id", F.array(*[c.isNotNull() for c in cost]).alias("covered"), total(F.coalesce(c, F.lit(0)) for c in cost).cast("int").alias("typos"),
-        total(c.isNotNull().cast("int") for c in cost).cast("int").alias("words"), _least([F.col(f"r{k}") for k in range(len(atoms))]).alias("attribute"),
+        "_id", F.array(*[c.isNotNull() for c in cost]).alias("covered"), total(F.coalesce(c, F.lit(0)) for c in cost).cast(
+            "int").alias("typos"),
+        total(c.isNotNull().cast("int") for c in cost).cast("int").alias("words"), _least(
+            [F.col(f"r{k}") for k in range(len(atoms))]).alias("attribute"),
         near.cast("int").alias("proximity"), total(_most([F.col(f"e{k}") for k in s]) for s in single).cast("int").alias("exact"),
         total(F.coalesce(_most([F.col(f"w{k}") for k in ks]), F.lit(0.0)) for ks in every).alias("score"),
     )

@@ -20,10 +20,14 @@ from skylark.plans import query as q
 from skylark.sources.postings import Postings
 
 KNOWN = {
-    "searchableAttributes", "attributesForFaceting", "customRanking", "attributesToRetrieve", "unretrievableAttributes", "attributeForDistinct", "distinct",
-    "removeStopWords", "ignorePlurals", "queryLanguages", "queryType", "attributeWeights", "typoTolerance", "minWordSizefor1Typo", "minWordSizefor2Typos",
-    "allowTyposOnNumericTokens", "disableTypoToleranceOnWords", "disableTypoToleranceOnAttributes", "disablePrefixOnAttributes", "optionalWords",
-    "removeWordsIfNoResults", "advancedSyntax", "attributesToHighlight", "attributesToSnippet", "highlightPreTag", "highlightPostTag", "minProximity",
+    "searchableAttributes", "attributesForFaceting", "customRanking", "attributesToRetrieve", "unretrievableAttributes",
+        "attributeForDistinct", "distinct",
+    "removeStopWords", "ignorePlurals", "queryLanguages", "queryType", "attributeWeights", "typoTolerance", "minWordSizefor1Typo",
+        "minWordSizefor2Typos",
+    "allowTyposOnNumericTokens", "disableTypoToleranceOnWords", "disableTypoToleranceOnAttributes", "disablePrefixOnAttributes",
+        "optionalWords",
+    "removeWordsIfNoResults", "advancedSyntax", "attributesToHighlight", "attributesToSnippet", "highlightPreTag",
+        "highlightPostTag", "minProximity",
 }
 
 
@@ -43,9 +47,12 @@ class IndexSettings:
 
 #: Request parameters and the fields that hold them.
 PARAMETERS = {
-    "query": "query", "filters": "filters", "facetFilters": "facet_filters", "numericFilters": "numeric_filters", "optionalFilters": "optional_filters", "facets": "facets",
-    "page": "page", "hitsPerPage": "hits_per_page", "offset": "offset", "length": "length", "responseFields": "response_fields", "ruleContexts": "context",
-    "restrictSearchableAttributes": "restrict_attributes", "aroundLatLng": "around", "aroundRadius": "radius", "aroundPrecision": "precision", "insideBoundingBox": "boxes",
+    "query": "query", "filters": "filters", "facetFilters": "facet_filters", "numericFilters": "numeric_filters",
+        "optionalFilters": "optional_filters", "facets": "facets",
+    "page": "page", "hitsPerPage": "hits_per_page", "offset": "offset", "length": "length", "responseFields": "response_fields",
+        "ruleContexts": "context",
+    "restrictSearchableAttributes": "restrict_attributes", "aroundLatLng": "around", "aroundRadius": "radius",
+        "aroundPrecision": "precision", "insideBoundingBox": "boxes",
     "insidePolygon": "polygons", "getRankingInfo": "ranking_info", "clickAnalytics": "click_analytics", "enableRules": "enable_rules",
 }
 
@@ -89,7 +96,8 @@ class SearchRequest:
         for k, v in parse_qs(text, keep_blank_values=True).items():
             raw = v[-1]
             value = json.loads(raw) if raw[:1] in "[{" or raw in ("true", "false") else raw
-            if k in ("page", "hitsPerPage", "offset", "length", "aroundPrecision", "minWordSizefor1Typo", "minWordSizefor2Typos", "distinct", "minProximity"):
+            if k in ("page", "hitsPerPage", "offset", "length", "aroundPrecision", "minWordSizefor1Typo", "minWordSizefor2Typos",
+                "distinct", "minProximity"):
                 value = int(raw)
             if k == "aroundLatLng":
                 value = tuple(float(x) for x in raw.split(","))
@@ -117,7 +125,8 @@ class SearchResult:
 
     def response(self, fields: Sequence[str] = ("*",)) -> dict:
         """The response of one page, restricted to the fields asked for."""
-        out = {"nbHits": self.total, "nbPages": self.nb_pages, "exhaustiveNbHits": True, "exhaustiveTypo": True, "exhaustive": {"nbHits": True, "typo": True}, **self.extra}
+        out = {"nbHits": self.total, "nbPages": self.nb_pages, "exhaustiveNbHits": True, "exhaustiveTypo": True,
+            "exhaustive": {"nbHits": True, "typo": True}, **self.extra}
         out["hits"] = [r.asDict(True) for r in self.hits.orderBy(self.place).collect()] if self.hits is not None else []
         if self.facets is not None:
             by: dict[str, dict[str, int]] = {}
@@ -147,7 +156,8 @@ class Index:
     or `_pos` where the documents have such an attribute."""
 
     def __init__(
-        self, docs: DataFrame, id_col: str, settings: IndexSettings, postings: DataFrame | Postings | None = None, synonyms: DataFrame | None = None, rules: DataFrame | None = None, now: int = 0,
+        self, docs: DataFrame, id_col: str, settings: IndexSettings, postings: DataFrame | Postings | None = None,
+            synonyms: DataFrame | None = None, rules: DataFrame | None = None, now: int = 0,
     ):
         self.docs, self.id, self.settings = docs, id_col, settings
         self.searchable = list(settings.get("searchableAttributes") or [n for n, t in docs.dtypes if t == "string"])
@@ -173,9 +183,12 @@ class Index:
         stop = get("removeStopWords") or ()
         plurals = get("ignorePlurals") or False
         return q.Options(
-            get("queryType", "prefixLast"), str(get("typoTolerance", "true")).lower(), int(get("minWordSizefor1Typo", 5)), int(get("minWordSizefor2Typos", 9)),
-            bool(get("allowTyposOnNumericTokens", True)), {w.lower() for w in get("disableTypoToleranceOnWords") or ()}, set(get("disableTypoToleranceOnAttributes") or ()),
-            set(get("disablePrefixOnAttributes") or ()), languages if stop is True else list(stop), "en" in languages if plurals is True else "en" in (plurals or ()),
+            get("queryType", "prefixLast"), str(get("typoTolerance", "true")).lower(), int(get("minWordSizefor1Typo", 5)), int(
+                get("minWordSizefor2Typos", 9)),
+            bool(get("allowTyposOnNumericTokens", True)), {w.lower() for w in get("disableTypoToleranceOnWords") or ()}, set(
+                get("disableTypoToleranceOnAttributes") or ()),
+            set(get("disablePrefixOnAttributes") or ()), languages if stop is True else list(stop), "en" in languages
+                if plurals is True else "en" in (plurals or ()),
             {w for x in get("optionalWords") or () for w in x.split()}, bool(get("advancedSyntax", False)),
         )
 
@@ -191,9 +204,11 @@ class Index:
             filters = " AND ".join(f"({f})" if n else f for n, f in enumerate(x for x in (got["filters"], r.filters) if x)) or None
             r = replace(
                 r, query=got["rewritten"] if got["rewritten"] != r.query.strip() else r.query, filters=filters, pins=[*r.pins, *pins],
-                hidden=[*r.hidden, *[ident(h) for h in got.get("hide") or []]], filter_promotes=r.filter_promotes or bool(got.get("filter_promotes")),
+                hidden=[*r.hidden, *[ident(h) for h in got.get("hide") or []]], filter_promotes=r.filter_promotes or bool(
+                    got.get("filter_promotes")),
             )
-            told = {"userData": got["user_data"].split("|") if got["user_data"] else [], "appliedRules": got["applied_rules"].split(",") if got["applied_rules"] else []}
+            told = {"userData": got["user_data"].split("|") if got["user_data"] else [],
+                "appliedRules": got["applied_rules"].split(",") if got["applied_rules"] else []}
         o = self.options(r)
         p = q.parse(r.query, o)
         atoms, ways = q.expand(p, o, self.post, self.synonyms) if p.words else ([], [])
@@ -290,7 +305,8 @@ class Index:
         keys = [_way(x, f"k{n}") for n, x in enumerate([*r.sort, *(self._setting(r, "customRanking") or [])])]
         near = F.greatest("proximity", F.lit(int(self._setting(r, "minProximity", 1))))
         usual = [
-            F.asc("typos"), *([geo.precision(F.col("distance"), r.precision).asc_nulls_last()] if r.around else []), F.desc("words"), F.desc("filters"),
+            F.asc("typos"), *([geo.precision(F.col("distance"), r.precision).asc_nulls_last()] if r.around else []), F.desc(
+                "words"), F.desc("filters"),
             near.asc(), F.asc("attribute"), F.desc("score"), F.desc("exact"),
         ]
         sort = len(r.sort)
@@ -304,10 +320,12 @@ class Index:
         if r.pins or r.hidden:
             docs = (self.docs.where(self.condition(r)) if r.filter_promotes else self.docs).select(F.col(f"`{self.id}`").alias("_id"))
             placed = ranking.pin(docs, slim, r.pins, r.hidden, self._keys(r), "_id", first + size)
-            placed = placed.where((F.col("slot") >= first) & (F.col("slot") < first + size)).select("_id", (F.col("slot") + 1).cast("int").alias("_place"), "pinned")
+            placed = placed.where((F.col("slot") >= first) & (F.col("slot") < first + size)).select("_id", (F.col("slot")
+                + 1).cast("int").alias("_place"), "pinned")
             placed = placed.join(slim.select("_id", *criteria), "_id", "left")
         else:
-            placed = ranking.top(slim, self._keys(r), size, first, "_id").select("_id", F.col("pos").alias("_place"), F.lit(False).alias("pinned"), *criteria)
+            placed = ranking.top(slim, self._keys(r), size, first, "_id").select("_id", F.col("pos").alias("_place"), F.lit(
+                False).alias("pinned"), *criteria)
         rows = placed.join(self.docs.select(F.col(f"`{self.id}`").alias("_id"), F.struct("*").alias("_doc")), "_id")
         return self._shape(rows, a)
 
@@ -321,7 +339,8 @@ class Index:
         for n, atom in enumerate(a.atoms):
             begins = F.lit(atom.prefix) & F.startswith(F.col("token"), F.lit(atom.word)) & (F.col("token") != atom.word)
             words = [a.words.words[i] for w in a.ways if n in w.atoms for i in w.covers]
-            mark = F.struct(F.when(begins, F.lit(atom.word)).otherwise(F.col("token")).alias("text"), (~begins).alias("whole"), F.array(*map(F.lit, dict.fromkeys(words))).alias("words"))
+            mark = F.struct(F.when(begins, F.lit(atom.word)).otherwise(F.col("token")).alias("text"), (~begins).alias("whole"),
+                F.array(*map(F.lit, dict.fromkeys(words))).alias("words"))
             found.append(F.when(q._hit(atom, a.options), mark))
         each = post.select("_id", "path", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("m"))
         return each.groupBy("_id").agg(F.collect_set(F.struct("path", "m.text", "m.whole", "m.words")).alias("_marks"))
@@ -338,27 +357,32 @@ class Index:
             if a.atoms:
                 rows = rows.join(self._marks(rows, a), "_id", "left")
             else:
-                rows = rows.withColumn("_marks", F.lit(None).cast("array<struct<path:string,text:string,whole:boolean,words:array<string>>>"))
+                rows = rows.withColumn("_marks", F.lit(None).cast(
+                    "array<struct<path:string,text:string,whole:boolean,words:array<string>>>"))
             tags = str(self._setting(r, "highlightPreTag", "<em>")), str(self._setting(r, "highlightPostTag", "</em>"))
             value = lambda c: F.col(f"_doc.`{c}`").cast("string")
             if marked:
                 more.append(F.struct(*[_highlighted(value(c), c, a.words.words, tags).alias(c) for c in marked]).alias("_highlightResult"))
             if cut:
                 around = lambda c: F.coalesce(F.get(_of(c), 0)["text"], F.lit(""))
-                more.append(F.struct(*[F.struct(snippet(value(c), int(n or 10), around(c)).alias("value"), _level(c, a.words.words).alias("matchLevel")).alias(c) for c, _, n in cut]).alias("_snippetResult"))
+                more.append(F.struct(*[F.struct(snippet(value(c), int(n or 10), around(c)).alias("value"), _level(c,
+                    a.words.words).alias("matchLevel")).alias(c) for c, _, n in cut]).alias("_snippetResult"))
         if r.ranking_info:
             more.append(self._info(r))
         return rows.select(*[F.col(f"_doc.`{c}`").alias(c) for c in keep], F.col("_place").alias(self.place), *more)
 
     def _info(self, r: SearchRequest) -> Column:
         parts = [
-            F.col("typos").alias("nbTypos"), F.lit(0).alias("firstMatchedWord"), F.col("proximity").alias("proximityDistance"), F.col("attribute").alias("attribute"),
-            F.col("words").alias("words"), F.col("exact").alias("nbExactWords"), F.col("filters").alias("filters"), F.col("score").alias("userScore"), F.col("pinned").alias("promoted"),
+            F.col("typos").alias("nbTypos"), F.lit(0).alias("firstMatchedWord"), F.col("proximity").alias("proximityDistance"),
+                F.col("attribute").alias("attribute"),
+            F.col("words").alias("words"), F.col("exact").alias("nbExactWords"), F.col("filters").alias("filters"), F.col(
+                "score").alias("userScore"), F.col("pinned").alias("promoted"),
         ]
         if r.around:
             lat, lng = ("_doc._geoloc.lat", "_doc._geoloc.lng") if "_geoloc" in self.docs.columns else ("_doc.lat", "_doc.lng")
             at = F.struct(F.col(lat).alias("lat"), F.col(lng).alias("lng"), F.round("distance").cast("long").alias("distance"))
-            parts += [geo.precision(F.col("distance"), r.precision).alias("geoDistance"), F.lit(r.precision if isinstance(r.precision, int) else 1).alias("geoPrecision"), at.alias("matchedGeoLocation")]
+            parts += [geo.precision(F.col("distance"), r.precision).alias("geoDistance"), F.lit(r.precision
+                if isinstance(r.precision, int) else 1).alias("geoPrecision"), at.alias("matchedGeoLocation")]
         return F.struct(*parts).alias("_rankingInfo")
 
 
@@ -372,7 +396,8 @@ def _of(path: str) -> Column:
 
 
 def _matched(path: str, words: Sequence[str]) -> Column:
-    return F.array_intersect(F.array(*map(F.lit, dict.fromkeys(words))), F.flatten(F.transform(_of(path), lambda m: m["words"]))) if words else F.array().cast("array<string>")
+    return F.array_intersect(F.array(*map(F.lit, dict.fromkeys(words))), F.flatten(
+        F.transform(_of(path), lambda m: m["words"]))) if words else F.array().cast("array<string>")
 
 
 def _level(path: str, words: Sequence[str]) -> Column:
@@ -385,10 +410,12 @@ def _highlighted(text: Column, path: str, words: Sequence[str], tags: tuple[str,
     text, also where punctuation divides it; of a word that a prefix matched, the prefix."""
     free = r"[^\p{L}\p{N}\s]*"
     spelled = lambda m: F.regexp_replace(m["text"], r"(?<=.)(?=.)", free.replace("\\", "\\\\"))
-    pattern = F.transform(F.reverse(F.array_sort(F.transform(_of(path), lambda m: F.struct(F.char_length(m["text"]).alias("n"), m["text"].alias("text"), m["whole"].alias("whole"))))),
+    pattern = F.transform(F.reverse(F.array_sort(F.transform(_of(path),
+        lambda m: F.struct(F.char_length(m["text"]).alias("n"), m["text"].alias("text"), m["whole"].alias("whole"))))),
         lambda m: F.when(m["whole"], F.concat(spelled(m), F.lit(r"(?![\p{L}\p{N}])"))).otherwise(spelled(m)))
     found = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])("), F.array_join(pattern, "|"), F.lit(")"))
     value = F.when(F.size(_of(path)) > 0, F.regexp_replace(text, found, F.lit(f"{tags[0]}$1{tags[1]}"))).otherwise(text)
     bare = F.regexp_replace(F.regexp_replace(text, found, F.lit("")), r"[^\p{L}\p{N}]", "")
     whole = F.coalesce((F.size(_of(path)) > 0) & (bare == ""), F.lit(False))
-    return F.struct(value.alias("value"), _level(path, words).alias("matchLevel"), _matched(path, words).alias("matchedWords"), whole.alias("fullyHighlighted"))
+    return F.struct(value.alias("value"), _level(path, words).alias("matchLevel"), _matched(path, words).alias("matchedWords"),
+        whole.alias("fullyHighlighted"))

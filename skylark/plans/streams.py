@@ -21,12 +21,15 @@ def _replay(spark: SparkSession, rows: DataFrame, name: str) -> str:
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """dedup_searches over a replayed stream."""
     rows = table(spark, sf_dir, "events").select(
-        "event_id", F.col("user_id").cast("string").alias("user_token"), F.lit("products").alias("index_name"), (F.unix_micros(F.col("ts").cast("timestamp")) / 600_000_000.0).alias("t"), F.timestamp_seconds(F.unix_micros(F.col("ts").cast("timestamp")) / 600_000_000.0).alias("at")
+        "event_id", F.col("user_id").cast("string").alias("user_token"), F.lit("products").alias("index_name"), (
+            F.unix_micros(F.col("ts").cast("timestamp")) / 600_000_000.0).alias("t"), F.timestamp_seconds(
+            F.unix_micros(F.col("ts").cast("timestamp")) / 600_000_000.0).alias("at")
     )
     path = _replay(spark, rows, "replay")
     stream = events.dedup_stream(events.read_stream(spark, path, rows.schema))
     out = work_path(spark, "dedup")
-    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", work_path(spark, "state")).outputMode("append").trigger(availableNow=True).start()
+    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", work_path(spark,
+        "state")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(events.COUNTED).parquet(out).select("event_id", "counted")
 

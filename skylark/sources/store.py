@@ -65,7 +65,8 @@ class Store:
     def _claim(self, name: str) -> int:
         """A version number that no other writer has."""
         fs, top = _fs(self.spark, self.base), f"{self.base}/{name}"
-        taken = [int(n[2:]) for n, _ in list_dir(self.spark, top) if re.fullmatch(r"v=\d+", n)] + [int(n) for n, _ in list_dir(self.spark, f"{top}/_claims")]
+        taken = [int(n[2:]) for n, _ in list_dir(self.spark, top) if re.fullmatch(r"v=\d+", n)] + [int(n) for n, _ in list_dir(
+            self.spark, f"{top}/_claims")]
         v = max(taken, default=0) + 1
         while not fs.createNewFile(_path(self.spark, f"{top}/_claims/{v}")):
             v += 1
@@ -143,10 +144,12 @@ class Store:
         for name, size in list_dir(self.spark, self.base):
             if self.exists(name):
                 size = dict(list_dir(self.spark, f"{self.base}/{name}"))[f"v={self.generation(name)}"]
-                out.append({"name": name, "entries": self.read(name).count(), "dataSize": size, "fileSize": size, "numberOfPendingTasks": 0})
+                out.append({"name": name, "entries": self.read(name).count(), "dataSize": size, "fileSize": size,
+                    "numberOfPendingTasks": 0})
         return out
 
-    def browse(self, name: str, cursor: str | None = None, per_page: int = 1000, condition: Column | None = None) -> tuple[DataFrame, str | None, int]:
+    def browse(self, name: str, cursor: str | None = None, per_page: int = 1000, condition: Column
+        | None = None) -> tuple[DataFrame, str | None, int]:
         """A page by id, the cursor of the next one (None at the end), and the number of all hits."""
         per_page, now = min(per_page, 1000), self.generation(name)
         after, seen = None, 0
@@ -161,7 +164,8 @@ class Store:
         hits = (rows if after is None else rows.where(F.col(self.id) > F.lit(after))).orderBy(self.id).limit(per_page)
         last = hits.agg(F.max(self.id), F.count(F.lit(1))).first()
         seen += last[1]
-        more = None if seen >= total else base64.b64encode(json.dumps({"offset": seen, "after": last[0], "generation": now}).encode()).decode()
+        more = None if seen >= total else base64.b64encode(json.dumps(
+            {"offset": seen, "after": last[0], "generation": now}).encode()).decode()
         return hits, more, total
 
     def export(self, name: str, path: str) -> None:
@@ -200,7 +204,8 @@ class Store:
 def latest(changes: DataFrame, id_col: str = "object_id", seq: str = "seq") -> DataFrame:
     """The last row of every id, as a partial aggregation rather than a sort."""
     others = [c for c in changes.columns if c not in (id_col, seq)]
-    return changes.groupBy(id_col).agg(F.max_by(F.struct(*others), seq).alias("row"), F.max(seq).alias(seq)).select(id_col, "row.*", seq).drop(seq)
+    return changes.groupBy(id_col).agg(F.max_by(F.struct(*others), seq).alias("row"), F.max(seq).alias(seq)).select(id_col,
+        "row.*", seq).drop(seq)
 
 
 def fold_changes(docs: DataFrame, changes: DataFrame, id_col: str = "object_id") -> DataFrame:
@@ -212,7 +217,8 @@ def fold_changes(docs: DataFrame, changes: DataFrame, id_col: str = "object_id")
     cleared = changes.where("action IN ('clear', 'delete')").agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("cleared"))
     steps = changes.where(F.col(id_col).isNotNull()).select(id_col, "seq", "action", row.alias("row"))
     base = docs.select(id_col, F.lit(-1).cast("long").alias("seq"), F.lit("base").alias("action"), F.struct(*fields).alias("row"))
-    live = base.unionByName(steps).join(F.broadcast(cleared)).where(F.col("seq") > F.when(F.col("cleared") >= 0, F.col("cleared")).otherwise(-2))
+    live = base.unionByName(steps).join(F.broadcast(cleared)).where(F.col("seq") > F.when(F.col("cleared") >= 0,
+        F.col("cleared")).otherwise(-2))
     # what counts for an object begins with its last full replacement or removal; only sums of changes are kept
     whole = F.col("action").isin("base", "addObject", "updateObject", "deleteObject")
     last = live.where(whole).groupBy(id_col).agg(F.max("seq").alias("from"), F.max_by("action", "seq").alias("from_action"))
@@ -340,14 +346,17 @@ def seed_searches(spark: SparkSession, index: str, days: int, per_day: int, toda
     words = F.array(*map(F.lit, ["laptop", "phone", "red shoes", "camera", "desk", "lamp", "zzz"]))
     start, word = F.unix_millis(F.lit(today).cast("timestamp")), h(104_729, 71, 7)
     return spark.range(days * per_day).select(
-        (start - (n % days + 1) * 86_400_000 + h(7919, 13, 1000) * 86_400).alias("timestamp_ms"), F.element_at(words, (word + 1).cast("int")).alias("query"), F.md5(n.cast("string")).alias("query_id"),
-        F.lit(index).alias("index_name"), F.when(word == 6, 0).otherwise(h(1_299_709, 5, 40) + 1).alias("nb_hits"), (word != 6).alias("has_results"), h(15_485_863, 3, 1000).cast("string").alias("user_token"),
+        (start - (n % days + 1) * 86_400_000 + h(7919, 13, 1000) * 86_400).alias("timestamp_ms"), F.element_at(words,
+            (word + 1).cast("int")).alias("query"), F.md5(n.cast("string")).alias("query_id"),
+        F.lit(index).alias("index_name"), F.when(word == 6, 0).otherwise(h(1_299_709, 5, 40) + 1).alias("nb_hits"), (
+            word != 6).alias("has_results"), h(15_485_863, 3, 1000).cast("string").alias("user_token"),
     )
 
 
 def write_partitioned(rows: DataFrame, root: str) -> None:
     """The analytics layout: one folder an index and day, compressed with zstd."""
-    rows.withColumn("date", F.to_date(F.timestamp_millis("timestamp_ms"))).write.mode("append").option("compression", "zstd").partitionBy("index_name", "date").parquet(root)
+    rows.withColumn("date", F.to_date(F.timestamp_millis("timestamp_ms"))).write.mode("append").option("compression",
+        "zstd").partitionBy("index_name", "date").parquet(root)
 
 
 def flush(rows: DataFrame, root: str, disabled: bool = False) -> dict:

@@ -23,8 +23,10 @@ def read_stream(spark: SparkSession, path: str, schema, per_trigger: int | None
 
 def ingest_stream(events: DataFrame, path: str, checkpoint: str, now_ms: int, interval: str | None = None):
     """Validate events and append them to index_name=/date= folders; restarts go on from the checkpoint."""
-    valid = events.withColumn("ids", effective_ids()).where(validation_error(now_ms).isNull()).withColumn("date", F.to_date(F.timestamp_millis("timestamp")))
-    writer = valid.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("index_name", "date")
+    valid = events.withColumn("ids", effective_ids()).where(validation_error(now_ms).isNull()).withColumn("date", F.to_date(
+        F.timestamp_millis("timestamp")))
+    writer = valid.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy(
+        "index_name", "date")
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
@@ -32,7 +34,9 @@ def dedup_stream(rows: DataFrame, window_s: int = 30) -> DataFrame:
     """The streaming form of dedup_searches over rows (event_id, user_token, index_name, t, at).
 
     The state is the second of the last event of a user and index; it is dropped when the watermark of `at`
-    has passed twice the window, since the next event then opens a new search anyway."""
+    has passed twice the window, since the next event then opens a new search anyway. An event that comes more than
+    four days late is left out, as the ingestion rejects it too (dedup_searches, which sees all rows at once, has no
+    such limit)."""
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -49,11 +53,13 @@ def dedup_stream(rows: DataFrame, window_s: int = 30) -> DataFrame:
         yield pd.DataFrame({"event_id": frame["event_id"], "user_token": key[0], "index_name": key[1], "t": frame["t"], "counted": counted})
 
     kept = rows.select("event_id", "user_token", "index_name", "t", "at").withWatermark("at", "4 days")
-    return kept.groupBy("user_token", "index_name").applyInPandasWithState(run, COUNTED, "last double", "append", GroupStateTimeout.EventTimeTimeout)
+    return kept.groupBy("user_token", "index_name").applyInPandasWithState(run, COUNTED, "last double", "append",
+        GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_memory(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
     """All that is available now of a stream, as a table; for tests and small replays."""
-    q = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    q = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode("append").trigger(
+        availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)

@@ -19,8 +19,10 @@ def ids(docs, condition):
 @pytest.mark.parametrize(
     ("text", "expected"),
     [
-        ("brand:Apple", [1, 2]), ("brand = 'apple'", [1, 2]), ("brand != 'Apple'", [3, 4]), ("NOT brand:Apple", [3, 4]), ("price >= 20", [2, 3]), ("price:10 TO 20", [1, 2]), ("price > 10 AND price < 30", [2]),
-        ("((brand:Apple OR a:q) AND a:x) OR a:q", [1, 4]), ("not (price > 15 or brand:Apple)", [4]), ("a:x OR a:v AND price > 15", [1, 2, 3]), ('"brand":"Apple"', [1, 2]), ("price > -1", [1, 2, 3]), ("", [1, 2, 3, 4]), (None, [1, 2, 3, 4]),
+        ("brand:Apple", [1, 2]), ("brand = 'apple'", [1, 2]), ("brand != 'Apple'", [3, 4]), ("NOT brand:Apple", [3, 4]), (
+            "price >= 20", [2, 3]), ("price:10 TO 20", [1, 2]), ("price > 10 AND price < 30", [2]),
+        ("((brand:Apple OR a:q) AND a:x) OR a:q", [1, 4]), ("not (price > 15 or brand:Apple)", [4]), ("a:x OR a:v AND price > 15",
+            [1, 2, 3]), ('"brand":"Apple"', [1, 2]), ("price > -1", [1, 2, 3]), ("", [1, 2, 3, 4]), (None, [1, 2, 3, 4]),
     ],
 )
 def test_filters(docs, text, expected):

@@ -47,5 +47,6 @@ def test_queries_without_sql_run(spark, sf_dir):
 
 def test_imports_without_the_training_data_package():
     names = set(entry.queries())
-    assert ("pipeline" in names) == (importlib.util.find_spec("corpus_pipeline") is not None and importlib.util.find_spec("skylark.llm") is not None)
+    assert ("pipeline" in names) == (importlib.util.find_spec("corpus_pipeline") is not None and importlib.util.find_spec(
+        "skylark.llm") is not None)
     assert set(entry.oracle_sql()) <= names

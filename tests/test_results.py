@@ -47,7 +47,8 @@ def test_order_of_missing_values(spark):
 
 
 def test_facet_paths(spark):
-    df = spark.createDataFrame([(1, ("a", None), ["x > y", "z"], "b > c")], "object_id int, s struct<lvl0:string,lvl1:string>, l array<string>, t string")
+    df = spark.createDataFrame([(1, ("a", None), ["x > y", "z"], "b > c")],
+        "object_id int, s struct<lvl0:string,lvl1:string>, l array<string>, t string")
     paths = lambda f: [r.path for r in facets.paths(df, f).collect()]
     assert paths("s") == ["/s.lvl0/a"]
     assert paths("l") == ["/l/x/y", "/l/z"]
@@ -63,7 +64,8 @@ def test_disjunctive_counts(spark):
 
 
 def test_rules_apply_in_order(spark):
-    rules = spark.createDataFrame([("b", "shoe", "contains", None, True, None, None, "boots", None, None, "2"), ("a", "red", "startsWith", None, True, None, None, None, ["red"], "x:1", "1")], merchandising.RULE)
+    rules = spark.createDataFrame([("b", "shoe", "contains", None, True, None, None, "boots", None, None, "2"), ("a", "red",
+        "startsWith", None, True, None, None, None, ["red"], "x:1", "1")], merchandising.RULE)
     q = spark.createDataFrame([(0, "red shoes"), (1, "hat")], "query_id int, text string")
     a, b = merchandising.apply_rules(q, rules).orderBy("query_id").collect()
     assert (a.rewritten, a.filters, a.user_data, a.applied_rules) == ("boots", "(x:1)", "1|2", "a,b")
@@ -71,18 +73,25 @@ def test_rules_apply_in_order(spark):
 
 
 def test_dedup_boundary(spark):
-    rows = spark.createDataFrame([(1, "u", "i", 0.0), (2, "u", "i", 29.9), (3, "u", "i", 59.9), (4, "u", "j", 60.0), (5, "u", "i", 70.0), (6, "v", "i", 1.0)], "event_id int, user_token string, index_name string, t double")
+    rows = spark.createDataFrame([(1, "u", "i", 0.0), (2, "u", "i", 29.9), (3, "u", "i", 59.9), (4, "u", "j", 60.0), (5, "u", "i",
+        70.0), (6, "v", "i", 1.0)], "event_id int, user_token string, index_name string, t double")
     assert {r.event_id for r in an.dedup_searches(rows).where("counted").collect()} == {1, 3, 4, 6}
 
 
 def test_event_validation(spark):
-    good = {"event_type": "click", "event_name": "n", "user_token": "u", "object_ids": ["1"], "objectIDs": [], "query_id": "a" * 32, "positions": [1], "timestamp": 1000}
+    good = {"event_type": "click", "event_name": "n", "user_token": "u", "object_ids": ["1"], "objectIDs": [],
+        "query_id": "a" * 32, "positions": [1], "timestamp": 1000}
     cases = [
-        ({}, None), ({"event_type": "buy"}, "invalid event type: buy"), ({"event_name": ""}, "event name"), ({"event_name": "é" * 33}, "event name"), ({"user_token": "x" * 130}, "user token"), ({"object_ids": []}, "an event must"), ({"object_ids": [], "objectIDs": ["9"]}, None),
-        ({"object_ids": ["1"] * 21}, "an event must"), ({"positions": None}, "a click after"), ({"positions": [1, 2]}, "positions must"), ({"query_id": "xyz"}, "query id"), ({"timestamp": -an.DAY_MS * 5}, "timestamp"), ({"query_id": None, "positions": None}, None), ({"event_type": "view", "positions": None}, None),
+        ({}, None), ({"event_type": "buy"}, "invalid event type: buy"), ({"event_name": ""}, "event name"), (
+            {"event_name": "é" * 33}, "event name"), ({"user_token": "x" * 130}, "user token"), ({"object_ids": []},
+            "an event must"), ({"object_ids": [], "objectIDs": ["9"]}, None),
+        ({"object_ids": ["1"] * 21}, "an event must"), ({"positions": None}, "a click after"), ({"positions": [1, 2]},
+            "positions must"), ({"query_id": "xyz"}, "query id"), ({"timestamp": -an.DAY_MS * 5}, "timestamp"), (
+            {"query_id": None, "positions": None}, None), ({"event_type": "view", "positions": None}, None),
     ]
     schema = "n int, event_type string, event_name string, user_token string, object_ids array<string>, objectIDs array<string>, query_id string, positions array<int>, timestamp long"
-    rows = spark.createDataFrame([(n, *(good | c).values()) for n, (c, _) in enumerate(cases)], schema).withColumn("ids", an.effective_ids())
+    rows = spark.createDataFrame([(n, *(good | c).values()) for n, (c, _) in enumerate(cases)], schema).withColumn("ids",
+        an.effective_ids())
     for r in rows.select("n", an.validation_error(0).alias("e")).collect():
         want = cases[r.n][1]
         assert (r.e is None) if want is None else r.e.startswith(want), (r.n, r.e)
@@ -92,8 +101,11 @@ def test_event_validation(spark):
 
 
 def test_search_request(spark):
-    docs = spark.createDataFrame([(i, f"red thing {i}", "ab"[i % 2], float(i), "s") for i in range(6)] + [(9, "blue thing", "a", 1.0, "s")], "id int, name string, brand string, price double, secret string")
-    index = Index(docs, "id", IndexSettings({"searchableAttributes": ["name"], "attributesForFaceting": ["brand", "filterOnly(secret)"], "customRanking": ["desc(price)"], "unretrievableAttributes": ["secret"]}))
+    docs = spark.createDataFrame([(i, f"red thing {i}", "ab"[i % 2], float(i), "s") for i in range(6)]
+        + [(9, "blue thing", "a", 1.0, "s")], "id int, name string, brand string, price double, secret string")
+    index = Index(docs, "id", IndexSettings({"searchableAttributes": ["name"],
+        "attributesForFaceting": ["brand", "filterOnly(secret)"], "customRanking": ["desc(price)"],
+        "unretrievableAttributes": ["secret"]}))
     r = SearchRequest.from_params("query=red&filters=price%20%3E%3D%201&facets=%5B%22brand%22%2C%22secret%22%5D&hitsPerPage=2&page=1")
     got = index.search(r).response()
     assert [h["id"] for h in got["hits"]] == [3, 2]
@@ -106,12 +118,14 @@ def test_search_request(spark):
 
 
 def test_experiments(spark):
-    counts = spark.createDataFrame([("c", "ctr", 100, 1000), ("v", "ctr", 150, 1000), ("c", "cvr", 10, 1000), ("v", "cvr", 11, 1000)], "variant string, metric string, hits int, n int")
+    counts = spark.createDataFrame([("c", "ctr", 100, 1000), ("v", "ctr", 150, 1000), ("c", "cvr", 10, 1000), ("v", "cvr", 11,
+        1000)], "variant string, metric string, hits int, n int")
     got = {r.metric: r for r in recommend.compare_rates(counts, "c").collect()}
     assert got["ctr"].p_value == pytest.approx(0.000724, abs=2e-5)
     assert got["cvr"].p_value > 0.5
     for how in ("bonferroni", "benjamini-hochberg"):
-        assert {r.metric: r.significant for r in recommend.corrected(recommend.compare_rates(counts, "c"), how).collect()} == {"ctr": True, "cvr": False}
+        assert {r.metric: r.significant for r in recommend.corrected(recommend.compare_rates(counts, "c"), how).collect(
+            )} == {"ctr": True, "cvr": False}
     assert recommend.sample_size(0.1, 0.1) == pytest.approx(14749, rel=0.01)
 
 
@@ -121,7 +135,8 @@ def test_pairs_of_large_baskets_count(spark):
     rows = [(k, i) for k, items in baskets.items() for i in items]
     sets = [set(v) for v in baskets.values() if len(v) > 1]
     size = {i: sum(i in s for s in sets) for i in range(260)}
-    want = {(i, j, t, round(t * len(sets) / (size[i] * size[j]), 6)) for i in range(260) for j in range(260) if i != j and (t := sum(i in s and j in s for s in sets)) >= 2}
+    want = {(i, j, t, round(t * len(sets) / (size[i] * size[j]), 6)) for i in range(260) for j in range(260) if i != j and (
+        t := sum(i in s and j in s for s in sets)) >= 2}
     df = spark.createDataFrame([*rows, *rows[:5]], "basket long, item long")
     for more in ({}, {"block": 40}):
         got = recommend.bought_together(df, "basket", "item", n=1000, **more).collect()

@@ -20,7 +20,8 @@ def make(request, spark, tmp_path_factory):
 
     def build(names, synonyms=None, rules=None, more=None, **settings):
         rows = [(i, n, *(more[i] if more else ())) for i, n in enumerate(names)]
-        docs = spark.createDataFrame(rows, "id int, name string" + (", other string, score double, pos int, lat double, lng double" if more else ""))
+        docs = spark.createDataFrame(rows, "id int, name string" + (
+            ", other string, score double, pos int, lat double, lng double" if more else ""))
         settings = IndexSettings({"searchableAttributes": ["name", "other"] if more else ["name"], **settings})
         post = None
         if stored:
@@ -69,7 +70,8 @@ def test_words_that_are_folded(make):
     assert ids(make(names), "the boxes ") == []
     i = make(names, removeStopWords=True)
     assert ids(i, "the boxes ") == [1]
-    assert ids(make(names, removeStopWords=True, ignorePlurals=True), "the boxes ") == [1, 0] or set(ids(make(names, removeStopWords=True, ignorePlurals=True), "the boxes ")) == {0, 1}
+    assert ids(make(names, removeStopWords=True, ignorePlurals=True), "the boxes ") == [1, 0] or set(ids(
+        make(names, removeStopWords=True, ignorePlurals=True), "the boxes ")) == {0, 1}
     assert set(ids(make(names, ignorePlurals=["en"], typoTolerance=False), "party ")) == {2, 3}
     assert ids(make(names, removeStopWords=True, queryLanguages=["fr"]), "le chat ") == [4]
     assert ids(make(names, removeStopWords=["fr"]), "le chat ") == [4] and ids(make(names, removeStopWords=["fr"]), "the zzz ") == []
@@ -77,7 +79,8 @@ def test_words_that_are_folded(make):
 
 def test_synonyms(make):
     names = ["couch", "sofa bed", "phone", "smart phone", "tv", "tele vision set"]
-    rows = [("synonym", None, ["couch", "sofa"]), ("oneWaySynonym", "handy", ["phone"]), ("altCorrection1", "telly", ["tv"]), ("synonym", None, ["tv", "tele vision"])]
+    rows = [("synonym", None, ["couch", "sofa"]), ("oneWaySynonym", "handy", ["phone"]), ("altCorrection1", "telly", ["tv"]), (
+        "synonym", None, ["tv", "tele vision"])]
     i = make(names, synonyms=rows)
     assert set(ids(i, "couch ")) == {0, 1} and set(ids(i, "sofa ")) == {0, 1}
     assert set(ids(i, "handy ")) == {2, 3} and set(ids(i, "phone ")) == {2, 3}
@@ -87,8 +90,10 @@ def test_synonyms(make):
 
 def test_rules(make):
     names = ["laptop", "laptop case", "tablet", "phone"]
-    rule = lambda i, pattern, how, **k: (i, pattern, how, None, True, None, None, k.get("query"), k.get("remove"), k.get("filters"), k.get("user"), k.get("promote"), k.get("hide"), k.get("only"))
-    i = make(names, rules=[rule("a", "laptop", "contains", promote=[("3", 0)], hide=["1"], user="one"), rule("b", "tab", "startsWith", query="laptop", user="two"), rule("c", "phone", "is", filters="id < 3")])
+    rule = lambda i, pattern, how, **k: (i, pattern, how, None, True, None, None, k.get("query"), k.get("remove"), k.get(
+        "filters"), k.get("user"), k.get("promote"), k.get("hide"), k.get("only"))
+    i = make(names, rules=[rule("a", "laptop", "contains", promote=[("3", 0)], hide=["1"], user="one"), rule("b", "tab",
+        "startsWith", query="laptop", user="two"), rule("c", "phone", "is", filters="id < 3")])
     got = i.search(SearchRequest("laptop")).response()
     assert [h["id"] for h in got["hits"]] == [3, 0] and got["appliedRules"] == ["a"] and got["userData"] == ["one"]
     assert ids(i, "tab") == [0, 1] and i.search(SearchRequest("tab")).response()["query"] == "laptop"
@@ -99,7 +104,8 @@ def test_rules(make):
 
 def test_order_and_ranking_info(make):
     names = ["red big shoe", "red shoe", "shoe red", "hat", "redd shoes for two", "red x x x x x x x x x shoe"]
-    more = [("", 1.0, 9, 0.0, 0.0), ("", 2.0, 8, 10.0, 10.0), ("", 3.0, 7, 0.1, 0.1), ("red shoe", 4.0, 6, 50.0, 50.0), ("", 5.0, 5, -10.0, 0.0), ("", 6.0, 4, 80.0, 0.0)]
+    more = [("", 1.0, 9, 0.0, 0.0), ("", 2.0, 8, 10.0, 10.0), ("", 3.0, 7, 0.1, 0.1), ("red shoe", 4.0, 6, 50.0, 50.0), ("", 5.0,
+        5, -10.0, 0.0), ("", 6.0, 4, 80.0, 0.0)]
     i = make(names, more=more, customRanking=["desc(score)"])
     r = SearchRequest("red shoe ", ranking_info=True)
     hits = i.search(r).response()["hits"]
@@ -121,7 +127,8 @@ def test_optional_words_and_syntax(make):
     assert ids(i, "red cotton ") == [0]
     assert set(ids(make(names, optionalWords=["cotton"]), "red cotton ")) == {0, 1, 4}
     assert ids(i, "red zzz ") == [] and set(ids(make(names, removeWordsIfNoResults="lastWords"), "red zzz ")) == {0, 1, 4}
-    assert ids(make(names, removeWordsIfNoResults="firstWords"), "zzz cotton ") == [0, 2] or set(ids(make(names, removeWordsIfNoResults="firstWords"), "zzz cotton ")) == {0, 2}
+    assert ids(make(names, removeWordsIfNoResults="firstWords"), "zzz cotton ") == [0, 2] or set(ids(
+        make(names, removeWordsIfNoResults="firstWords"), "zzz cotton ")) == {0, 2}
     assert set(ids(make(names, removeWordsIfNoResults="allOptional"), "zzz red yyy ")) == {0, 1, 4}
     a = make(names, advancedSyntax=True)
     assert ids(a, '"red shirt"') == [1] and set(ids(a, "shirt -red")) == {3}
@@ -135,7 +142,8 @@ def test_highlights(make):
     assert hit("appel ")["_highlightResult"]["name"]["value"] == "An <em>Apple</em> a day"
     assert hit("okelly")["_highlightResult"]["name"]["value"].startswith("<em>o'kelly</em>")
     assert hit("apple")["_snippetResult"]["name"]["value"] == "…Apple a…"
-    assert hit("")["_highlightResult"]["name"] == {"value": "An Apple a day", "matchLevel": "none", "matchedWords": [], "fullyHighlighted": False} or hit("")["_highlightResult"]["name"]["matchLevel"] == "none"
+    assert hit("")["_highlightResult"]["name"] == {"value": "An Apple a day", "matchLevel": "none", "matchedWords": [],
+        "fullyHighlighted": False} or hit("")["_highlightResult"]["name"]["matchLevel"] == "none"
 
 
 def test_parameters():
@@ -147,7 +155,8 @@ def test_parameters():
 
 
 def test_stored_postings_read_by_folder(spark, tmp_path):
-    docs = spark.range(2000).select(F.col("id"), F.concat(F.lit("item"), F.col("id"), F.lit(" word" + "x" * 30), F.col("id") % 7).alias("name"))
+    docs = spark.range(2000).select(F.col("id"), F.concat(F.lit("item"), F.col("id"), F.lit(" word" + "x" * 30),
+        F.col("id") % 7).alias("name"))
     post = StoredPostings.build(docs, "id", ["name"], str(tmp_path / "p"))
     assert post.known(["item5", "item5000", "zz"]) == {"item5": 0}
     plan = post.read(["item77"], [])._jdf.queryExecution().toString()

@@ -40,7 +40,8 @@ def test_add_get_delete_browse(spark, kept):
 def test_batch_folds_changes(spark, kept):
     kept.add("i", rows(spark, ("a", "a", 1), ("b", "b", 2), ("c", "c", 3)))
     changes = spark.createDataFrame(
-        [(1, "partialUpdateObject", "a", None, 7), (2, "deleteObject", "b", None, None), (3, "partialUpdateObjectNoCreate", "z", "z", 1), (4, "partialUpdateObject", "y", "y", None), (5, "addObject", "b", "b2", None)],
+        [(1, "partialUpdateObject", "a", None, 7), (2, "deleteObject", "b", None, None), (3, "partialUpdateObjectNoCreate", "z",
+            "z", 1), (4, "partialUpdateObject", "y", "y", None), (5, "addObject", "b", "b2", None)],
         "seq long, action string, object_id string, name string, n long",
     )
     kept.batch("i", changes)
@@ -129,4 +130,5 @@ def test_snapshots_cursors_and_analytics(spark, tmp_path):
     root = str(tmp_path / "analytics")
     searches = spark.createDataFrame([("p", d * DAY_MS) for d in (0, 95, 100)] + [("q", 0)], "index_name string, timestamp_ms long")
     assert store.flush(searches, root, disabled=True) == {"status": "disabled"} and store.flush(searches, root) == {"status": "ok"}
-    assert store.clear_analytics(spark, root, "p") == 3 and spark.read.parquet(root).count() == 1 and store.clear_analytics(spark, root, "p") == 0
+    assert store.clear_analytics(spark, root, "p") == 3 and spark.read.parquet(root).count() == 1 and store.clear_analytics(spark,
+        root, "p") == 0

@@ -14,8 +14,10 @@ def words(t):
 @pytest.mark.parametrize(
     ("t", "expected"),
     [
-        ("hello world", ["hello", "world"]), ("O'Kelly", ["O", "Kelly", "OKelly"]), ("mens-watches x", ["mens", "watches", "menswatches", "x"]), ("foo--bar", ["foo", "bar", "foobar"]),
-        ("-foo-bar", ["foo", "bar"]), ("a.b", ["a", "b"]), ("é.b", ["é", "b", "éb"]), ("ab\0cd-ef", ["ab", "cd", "ef", "cdef"]), ("日本go", ["日", "本", "go"]), ("x-日", ["x", "日"]), ("a-b-日c", ["a", "b", "日", "c"]),
+        ("hello world", ["hello", "world"]), ("O'Kelly", ["O", "Kelly", "OKelly"]), ("mens-watches x",
+            ["mens", "watches", "menswatches", "x"]), ("foo--bar", ["foo", "bar", "foobar"]),
+        ("-foo-bar", ["foo", "bar"]), ("a.b", ["a", "b"]), ("é.b", ["é", "b", "éb"]), ("ab\0cd-ef", ["ab", "cd", "ef", "cdef"]), (
+            "日本go", ["日", "本", "go"]), ("x-日", ["x", "日"]), ("a-b-日c", ["a", "b", "日", "c"]),
         ("a-bc日", ["a", "bc", "abc", "日"]), ("", []), ("、", ["、"]), ("foo bar-baz", ["foo", "bar", "baz", "barbaz"]),
     ],
 )
@@ -32,9 +34,12 @@ def test_token_positions_and_offsets():
 
 def test_tokenize_columns(spark):
     rng = random.Random(11)
-    chars = ["a", "B", "é", "1", "²", "-", "'", ".", "_", " ", "\t", "\0", "\xa0", "\u2003", "\u3000", "、", "日", "か", "한", "𠀀", "ß", "٣", "\n", "&"]
-    texts = ["Abdel-Rahman", None, "", "O'Kelly", "-foo-bar x", "foo--bar"] + ["".join(rng.choices(chars, k=rng.randint(0, 14))) for _ in range(800)]
-    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", text.tokenize(F.col("t")).alias("k"), text.tokenize_offsets(F.col("t")).alias("o"))
+    chars = ["a", "B", "é", "1", "²", "-", "'", ".", "_", " ", "\t", "\0", "\xa0", "\u2003", "\u3000", "、", "日", "か", "한", "𠀀",
+        "ß", "٣", "\n", "&"]
+    texts = ["Abdel-Rahman", None, "", "O'Kelly", "-foo-bar x", "foo--bar"] + ["".join(rng.choices(chars, k=rng.randint(0, 14)))
+        for _ in range(800)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", text.tokenize(F.col("t")).alias("k"),
+        text.tokenize_offsets(F.col("t")).alias("o"))
     for r in df.collect():
         want = [(w.lower(), p) for w, p, *_ in text.tokens_of(texts[r.id] or "")]
         assert [(x.token, x.pos) for x in r.k] == want, texts[r.id]
@@ -65,13 +70,15 @@ def test_fuzzy_terms_find_all_in_reach(spark):
     rng = random.Random(7)
     vocab = sorted({"".join(rng.choices("abcd", k=rng.randint(3, 9))) for _ in range(60)})
     asked = sorted({"".join(rng.choices("abcd", k=rng.randint(3, 9))) for _ in range(25)})
-    got = {(r.word, r.term, r.typos) for r in matching.fuzzy_terms(spark.createDataFrame([(a,) for a in asked], "token string"), spark.createDataFrame([(v,) for v in vocab], "token string")).collect()}
+    got = {(r.word, r.term, r.typos) for r in matching.fuzzy_terms(spark.createDataFrame([(a,) for a in asked], "token string"),
+        spark.createDataFrame([(v,) for v in vocab], "token string")).collect()}
     limit = lambda w: 0 if len(w) < 5 else 1 if len(w) < 9 else 2
     assert got == {(a, v, d) for a in asked for v in vocab if (d := matching.osa_distance(a, v, 2)) <= limit(a)}
 
 
 def test_prefix_modes(spark):
-    docs = spark.createDataFrame([(1, "Samsung Galaxy"), (2, "Samsung Washer"), (3, "Galaxy quest"), (4, None)], "object_id int, name string")
+    docs = spark.createDataFrame([(1, "Samsung Galaxy"), (2, "Samsung Washer"), (3, "Galaxy quest"), (4, None)],
+        "object_id int, name string")
     post = matching.postings(docs, "object_id", ["name"])
 
     def ids(q, mode="prefixLast"):
