@@ -42,11 +42,14 @@ _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 _RAW = {"script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {
-    "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp",
-    "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "math", "mi", "mn", "mo", "ms", "mtext", "mrow", "msup", "msub", "mfrac", "msqrt",
+    "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd",
+        "label", "mark", "q", "s", "samp",
+    "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "math", "mi", "mn", "mo", "ms", "mtext",
+        "mrow", "msup", "msub", "mfrac", "msqrt",
 }
 _FRAME = {
-    "nav", "header", "footer", "aside", "form", "menu", "dialog", "head", "button", "select", "datalist", "svg", "canvas", "object", "template", "noscript",
+    "nav", "header", "footer", "aside", "form", "menu", "dialog", "head", "button", "select", "datalist", "svg", "canvas",
+        "object", "template", "noscript",
 }
 #: Only these are cut by a name.
 _CONTAINER = {"div", "section", "ul", "ol", "dl", "table", "span", "article", "center", "details", "fieldset"}
@@ -183,7 +186,8 @@ def counts(page: str) -> Counter:
 
 def weights(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sample: int = 512) -> dict[str, float]:
     """Scores of features, counted on about `sample` of the pages that mark their article."""
-    marked = pages.where(F.col(html_col).contains("<article")).select(F.col(html_col).alias("html"), F.pmod(F.xxhash64(F.col(id_col), F.octet_length(html_col)), F.lit(1 << 30)).alias("h"))
+    marked = pages.where(F.col(html_col).contains("<article")).select(F.col(html_col).alias("html"), F.pmod(
+        F.xxhash64(F.col(id_col), F.octet_length(html_col)), F.lit(1 << 30)).alias("h"))
     n = marked.count()
     if not n:
         return {}
@@ -194,7 +198,8 @@ def weights(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", s
         for b in batches:
             for page in b.column(0).to_pylist():
                 got.update(counts(page))
-        yield pa.RecordBatch.from_pylist([{"feature": f, "inside": k, "n": c} for (f, k), c in got.items()], schema=pa.schema([("feature", pa.string()), ("inside", pa.int32()), ("n", pa.int64())]))
+        yield pa.RecordBatch.from_pylist([{"feature": f, "inside": k, "n": c} for (f, k), c in got.items()], schema=pa.schema(
+            [("feature", pa.string()), ("inside", pa.int32()), ("n", pa.int64())]))
 
     rows = few.mapInArrow(count, "feature string, inside int, n long").groupBy("feature", "inside").agg(F.sum("n").alias("n")).collect()
     total = [sum(r["n"] for r in rows if r["inside"] == k) for k in (0, 1)]
@@ -204,7 +209,8 @@ def weights(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", s
     for r in rows:
         by.setdefault(r["feature"], [0, 0])[r["inside"]] += r["n"]
     kinds = len(by) + 1
-    score = {f: math.log((v[1] + 0.5) / (total[1] + 0.5 * kinds)) - math.log((v[0] + 0.5) / (total[0] + 0.5 * kinds)) for f, v in by.items()}
+    score = {f: math.log((v[1] + 0.5) / (total[1] + 0.5 * kinds)) - math.log((v[0] + 0.5) / (total[0] + 0.5 * kinds)) for f,
+        v in by.items()}
     score[" "] = max(score.get(" ", 0.0), 0.05)  # a word never counts against a region
     return score
 
@@ -245,15 +251,18 @@ def extract(page: str | None, score: dict[str, float]) -> str:
     return " ".join("".join(parts).split())
 
 
-def extract_text(pages: DataFrame, score: dict[str, float], id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_text(pages: DataFrame, score: dict[str, float], id_col: str = "page_id", url_col: str = "url",
+    html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = [extract(p, score) for p in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()),
+                pa.array(map(len, text), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(run,
+        "page_id long, url string, text string, n_chars long")
 
 
 def op3_html(spark, sf_dir: str) -> DataFrame:

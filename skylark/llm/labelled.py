@@ -18,7 +18,8 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 def training_rows(labels: DataFrame, label_col: str, folds: int, fold: int, id_col: str = "doc_id") -> DataFrame:
     """doc_id and label (0 or 1) of the rows that may be learned from; a repeated id counts once, by its largest label."""
     rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
-    return rows.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"), folds, fold)).groupBy("doc_id").agg(F.max("label").alias("label"))
+    return rows.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"), folds, fold)).groupBy(
+        "doc_id").agg(F.max("label").alias("label"))
 
 
 def sample(

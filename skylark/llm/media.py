@@ -54,7 +54,8 @@ def encode_png(payload: bytes, n_bytes: int, level: int = 4) -> bytes:
     raw = np.zeros((rows.shape[0], WIDTH + 1), np.uint8)
     raw[:, 1:] = rows
     return (
-        _SIGNATURE + _chunk(b"IHDR", struct.pack(">LLBBBBB", WIDTH, rows.shape[0], 8, 0, 0, 0, 0)) + _chunk(b"tEXt", b"length\0%d" % n_bytes)
+        _SIGNATURE + _chunk(b"IHDR", struct.pack(">LLBBBBB", WIDTH, rows.shape[0], 8, 0, 0, 0, 0)) + _chunk(b"tEXt",
+            b"length\0%d" % n_bytes)
         + _chunk(b"IDAT", zlib.compress(raw.tobytes(), level)) + _chunk(b"IEND", b"")
     )
 
@@ -257,7 +258,8 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_media(docs: DataFrame, path: str, key_col: str = "doc_id", text_col: str = "text") -> None:
     """Store the text of every row as one member."""
     register(docs.sparkSession)
-    docs.select(F.col(key_col).cast("string").alias("key"), F.col(text_col).alias("text")).mapInArrow(_stored, "key string, media binary").write.format(FORMAT).mode("append").save(path)
+    docs.select(F.col(key_col).cast("string").alias("key"), F.col(text_col).alias("text")).mapInArrow(_stored,
+        "key string, media binary").write.format(FORMAT).mode("append").save(path)
 
 
 def read_media(spark: SparkSession, path: str, range_bytes: int = 32 << 20) -> DataFrame:
@@ -271,13 +273,15 @@ def feature(samples: np.ndarray) -> str:
     h, w = samples.shape
     x = samples.astype(np.float64)
     rows = np.add.reduceat(x, np.arange(8) * h // 8, axis=0) if h >= 8 else np.repeat(x, -(-8 // h), axis=0)[:8]
-    cells = rows.reshape(8, 8, w // 8).mean(axis=2) / (np.maximum(1, np.diff(np.append(np.arange(8) * h // 8, h)))[:, None] if h >= 8 else 1)
+    cells = rows.reshape(8, 8, w // 8).mean(axis=2) / (np.maximum(1, np.diff(np.append(np.arange(8) * h // 8, h)))[:, None]
+        if h >= 8 else 1)
     bits = int("".join("1" if v else "0" for v in (cells > cells.mean()).ravel()), 2)
     return f"{w}x{h} mean={round(x.mean() * 1000)} sd={round(x.std() * 1000)} ahash={bits:016x}"
 
 
 _DIGEST = pa.schema([
-    ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
+    ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), (
+        "tail_crc32", pa.int64()),
     ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("error", pa.string()),
 ])
 
@@ -291,7 +295,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 samples, n = decode_png(m)
                 payload = samples.tobytes()
                 row |= {
-                    "n_bytes": n, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]),
+                    "n_bytes": n, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(),
+                        "tail_crc32": zlib.crc32(payload[-16:]),
                     "media_bytes": len(m), "media_sha256": hashlib.sha256(m).hexdigest(), "feature": feature(samples),
                 }
             rows.append(row)

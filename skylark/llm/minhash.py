@@ -80,10 +80,12 @@ def signatures(docs: DataFrame, words: int, rows: int, id_col: str = "doc_id", t
                 k1.append(int(mix(s + _STEP).sum(dtype=np.uint64).view(np.int64)) if s.size else 0)
                 k2.append(int(mix(s ^ _STEP).sum(dtype=np.uint64).view(np.int64)) if s.size else 0)
                 bands.append(sign(s).view(np.int64) if s.size else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_key", "n", "k1", "k2", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(k1, pa.int64()),
+                pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_key", "n", "k1", "k2", "bands"])
 
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), _key(text), text.alias("text")).mapInArrow(run, "doc_id long, text_key long, n long, k1 long, k2 long, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), _key(text), text.alias("text")).mapInArrow(run,
+        "doc_id long, text_key long, n long, k1 long, k2 long, bands array<long>")
 
 
 def _key(text):
@@ -100,7 +102,8 @@ def confirm(texts: DataFrame, words: int, percent: int, block: int, block_bytes:
     parts = F.ceil(F.greatest(F.col("m") / block, F.col("bytes") / block_bytes)).cast("int")
     large = sizes.select("grp", parts.alias("parts")).where("parts > 1")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("i"), F.greatest("part", q).alias("j")))
+    meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("i"),
+        F.greatest("part", q).alias("j")))
     placed = texts.join(large, "grp", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", part)
     groups = placed.select("node", "text", "grp", F.explode(meet).alias("at"))
     groups = groups.select(F.xxhash64("grp", "at.i", "at.j").alias("g"), "node", "text")
@@ -149,7 +152,8 @@ def confirm(texts: DataFrame, words: int, percent: int, block: int, block_bytes:
                 keys.append(k)
                 bodies.append(t)
         out += links(keys, bodies)
-        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())],
+            names=["u", "v"])
 
     # a number of partitions of its own, since the work of a row is not its size
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -158,7 +162,8 @@ def confirm(texts: DataFrame, words: int, percent: int, block: int, block_bytes:
 
 def _groups(keys: DataFrame, block: int) -> DataFrame:
     """node and grp of what is compared together; keys are (node, band)."""
-    buckets = keys.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").select("band", "pivot")
+    buckets = keys.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").select(
+        "band", "pivot")
     shared = materialise(keys.join(buckets, "band"), "minhash-shared")
     found = components(shared.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")))
     members = found.select("node", F.col("root").alias("cluster"))
@@ -187,30 +192,36 @@ def classes(
     # a node's number is drawn once, as the table is written
     sets = materialise(sets.withColumn("node", F.monotonically_increasing_id()), "minhash-sets")
     groups = materialise(_groups(sets.select("node", F.explode("bands").alias("band")), block), "minhash-groups")
-    picked = groups.select("node").distinct().join(sets.select("node", F.col("first.doc_id").alias("want_id"), F.col("first.text_key").alias("want_key")), "node")
+    picked = groups.select("node").distinct().join(sets.select("node", F.col("first.doc_id").alias("want_id"),
+        F.col("first.text_key").alias("want_key")), "node")
     text = F.col("text").cast("string")
     bodies = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(text), text.alias("text"))
     found = bodies.join(picked, (F.col("text_key") == F.col("want_key")) & _same("doc_id", "want_id")).select("node", "text")
     texts = groups.join(found.dropDuplicates(["node"]), "node")
     linked = components(confirm(texts, words, percent, block, block_bytes))
-    nodes = sets.select("k1", "k2", "node", "first").join(linked, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"), "first")
+    nodes = sets.select("k1", "k2", "node", "first").join(linked, "node", "left").select("k1", "k2", F.coalesce("root",
+        "node").alias("root"), "first")
     least = nodes.groupBy("root").agg(F.min("first").alias("least"))
-    return rows_, nodes.join(least, "root").select("k1", "k2", "root", F.col("least.doc_id").alias("component_id"), F.col("least.text_key").alias("least_key"))
+    return rows_, nodes.join(least, "root").select("k1", "k2", "root", F.col("least.doc_id").alias("component_id"), F.col(
+        "least.text_key").alias("least_key"))
 
 
 def link(docs: DataFrame, words: int = 3, percent: int = 85, rows: int = 8, block: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     rows_, nodes = classes(docs, words, percent, rows, block)
-    joined = rows_.select("doc_id", "n", "k1", "k2").join(nodes.select("k1", "k2", "component_id", F.lit(True).alias("hit")), ["k1", "k2"], "left")
+    joined = rows_.select("doc_id", "n", "k1", "k2").join(nodes.select("k1", "k2", "component_id", F.lit(True).alias("hit")),
+        ["k1", "k2"], "left")
     component = F.when(F.col("hit"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col(
+        "doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_documents(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = 6, block: int = 256) -> DataFrame:
     """One row of each class, that with the smallest id, with all its columns; rows without words stay."""
     rows_, nodes = classes(docs, words, percent, rows, block)
     kept = nodes.select("component_id", "least_key").distinct()
-    packed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), _key(F.col("text").cast("string")), F.col("text").rlike(r"[^\x20\x09-\x0D]").alias("some"))
+    packed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), _key(F.col("text").cast("string")),
+        F.col("text").rlike(r"[^\x20\x09-\x0D]").alias("some"))
     chosen = packed.join(kept, (F.col("text_key") == F.col("least_key")) & _same("id", "component_id"), "left_semi").where("some")
     if not rows_.where("n > 0").groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
         chosen = chosen.dropDuplicates(["id", "text_key"])  # only repeated rows need it
@@ -224,7 +235,8 @@ def op6_minhash(spark, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+ '[^\x20\x09-\x0D]+') AS w FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 2], ' ') END AS x
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM w WHERE len(w) > 0)
@@ -236,5 +248,6 @@ WITH RECURSIVE w AS (
 ), reach AS (
   SELECT doc_id AS u, doc_id AS v FROM w UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v
 ), least AS (SELECT u AS doc_id, min(v) AS component_id FROM reach GROUP BY u)
-SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w
+ JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)
 """

@@ -96,7 +96,8 @@ def targets(units: DataFrame, weights: Sequence[float], cap: float) -> DataFrame
     total, level, capped = sources.agg(F.sum("source_size")).first()[0] or 0, 0.0, -1
     while True:
         full = F.col("most") <= F.lit(level) * F.col("weight")
-        got = sources.agg(F.sum(F.when(full, F.col("most")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))), F.count_if(full)).first()
+        got = sources.agg(F.sum(F.when(full, F.col("most")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))),
+            F.count_if(full)).first()
         if got[2] == capped or not got[1]:
             break
         capped, level = got[2], (total - got[0]) / got[1]
@@ -126,14 +127,18 @@ def _decided_first(units: DataFrame, sources: DataFrame, alone: float, heads: in
 
 
 def mix_units(
-    docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, seed: int = 17, chunk: int = 64, alone: float = 0.02, heads: int = 64,
+    docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, seed: int = 17, chunk: int = 64, alone: float = 0.02,
+        heads: int = 64,
     id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
 ) -> DataFrame:
     """doc_id, source, size, n, source_size, target, base and extra: the n equal rows have n x base + extra copies."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-    units = materialise(rows.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.xxhash64("doc_id", "size", F.lit(seed))), "mix-units")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(
+        F.col(text_col)).alias("size"))
+    units = materialise(rows.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.xxhash64(
+        "doc_id", "size", F.lit(seed))), "mix-units")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    sources = targets(units, weights, cap).withColumn("base", F.floor(share).cast("int")).withColumn("q", share - F.floor(share)).withColumnRenamed("source", "of")
+    sources = targets(units, weights, cap).withColumn("base", F.floor(share).cast("int")).withColumn("q", share - F.floor(
+        share)).withColumnRenamed("source", "of")
     sources = materialise(sources, "mix-targets")
     most = sources.agg(F.max("rows")).first()[0] or 0
     first, rest = _decided_first(units, sources, alone, heads, seed)
@@ -146,7 +151,8 @@ def mix_units(
     )
     q = F.when(F.col("n") == 1, F.coalesce("rest", "q")).otherwise(F.col("q"))
     sure = F.when(F.col("size") > 0, F.coalesce("told", F.floor(F.col("n") * q))).otherwise(0)
-    plan = plan.withColumn("sure", sure.cast("long")).withColumn("q", F.when(F.col("told").isNull() & (F.col("size") > 0), F.col("n") * q - F.col("sure")).otherwise(0.0))
+    plan = plan.withColumn("sure", sure.cast("long")).withColumn("q", F.when(F.col("told").isNull() & (F.col("size") > 0),
+        F.col("n") * q - F.col("sure")).otherwise(0.0))
     attributes = ["source", "source_size", "target", "rows", "base"]
     out = [plan.where("q <= 0").select("doc_id", "n", "sure", "size", *attributes, F.lit(0).alias("extra"))]
     unit = F.struct((-F.col("size")).alias("ns"), "h", "doc_id", "n", "sure", "size", "q")
@@ -154,10 +160,13 @@ def mix_units(
     width = chunk
     while True:
         last = most <= width
-        dealt = F.pmod(F.xxhash64("unit.h", "unit.doc_id", F.lit(width)), F.ceil(F.col("rows") / F.lit(width)).cast("long")) if not last else F.lit(0).cast("long")
+        dealt = F.pmod(F.xxhash64("unit.h", "unit.doc_id", F.lit(width)), F.ceil(F.col("rows") / F.lit(width)).cast(
+            "long")) if not last else F.lit(0).cast("long")
         lists = level.groupBy(*attributes, dealt.alias("chunk")).agg(F.sort_array(F.collect_list("unit")).alias("units"))
-        folded = materialise(lists.select(*attributes, F.expr(_FOLD.format(seed=seed)).alias("s")).select(*attributes, "s.open", "s.done"), "mix-level")
-        out.append(folded.select(*attributes, F.explode("done").alias("d")).select("d.doc_id", "d.n", "d.sure", "d.size", *attributes, "d.extra"))
+        folded = materialise(lists.select(*attributes, F.expr(_FOLD.format(seed=seed)).alias("s")).select(*attributes, "s.open",
+            "s.done"), "mix-level")
+        out.append(folded.select(*attributes, F.explode("done").alias("d")).select("d.doc_id", "d.n", "d.sure", "d.size",
+            *attributes, "d.extra"))
         level = folded.select(*attributes, F.col("open").alias("unit"))
         if last:
             break
@@ -169,7 +178,8 @@ def mix_units(
     for more in out[1:]:
         mixed = mixed.unionByName(more)
     extra = (F.col("sure") + F.col("extra")).alias("extra")
-    return mixed.select("doc_id", "source", "size", "n", "source_size", "target", F.when(F.col("size") > 0, F.col("base")).otherwise(0).alias("base"), extra)
+    return mixed.select("doc_id", "source", "size", "n", "source_size", "target", F.when(F.col("size") > 0,
+        F.col("base")).otherwise(0).alias("base"), extra)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -190,14 +200,16 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     row = docs.select(F.struct("*").alias("doc"), *[c.alias(k) for c, k in zip(key, keys, strict=True)])
     joined = row.join(taken, [F.col(k).eqNullSafe(F.col(m)) for k, m in zip(keys, names, strict=True)]).drop(*names)
     alone = joined.where("n = 1").select("doc", "copies")
-    equal = joined.where("n > 1").withColumn("h", F.xxhash64("doc")).groupBy(*keys, "n", "copies", "h").agg(F.first("doc").alias("doc"), F.count(F.lit(1)).alias("c"))
+    equal = joined.where("n > 1").withColumn("h", F.xxhash64("doc")).groupBy(*keys, "n", "copies", "h").agg(F.first("doc").alias(
+        "doc"), F.count(F.lit(1)).alias("c"))
     equal = equal.withColumn("salt", F.pmod("h", F.ceil(F.col("n") / 10_000).cast("long")))
     blocks = equal.groupBy(*keys, "salt").agg(F.sum("c").alias("s"))
     blocks = blocks.withColumn("before", F.sum("s").over(Window.partitionBy(*keys).orderBy("salt")) - F.col("s"))
     blocks = blocks.select(*[F.col(k).alias(m) for k, m in zip(keys, names, strict=True)], F.col("salt").alias("in"), "before")
     same = [F.col(k).eqNullSafe(F.col(m)) for k, m in zip(keys, names, strict=True)]
     inside = F.sum("c").over(Window.partitionBy(*keys, "salt").orderBy("h")) - F.col("c")
-    placed = equal.withColumn("inside", inside).join(blocks, [*same, F.col("salt") == F.col("in")]).withColumn("first", F.col("before") + F.col("inside"))
+    placed = equal.withColumn("inside", inside).join(blocks, [*same, F.col("salt") == F.col("in")]).withColumn("first", F.col(
+        "before") + F.col("inside"))
     whole, rest = F.floor(F.col("copies") / F.col("n")), F.col("copies") % F.col("n")
     more = F.greatest(F.lit(0), F.least(F.col("first") + F.col("c"), rest) - F.least(F.col("first"), rest))
     many = placed.select("doc", (whole * F.col("c") + more).alias("copies"))
@@ -207,4 +219,5 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 def op1_mix(spark, sf_dir: str) -> DataFrame:
     """The mix of all documents in words."""
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return mixed.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+    return mixed.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (
+        F.col("copies") * F.col("size")).alias("taken"), "source", "copies")

@@ -53,7 +53,8 @@ class Encoder:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         #: the same merges behind no normaliser, for words that are already split
         self.words = Tokenizer(models.BPE(model["vocab"], merges, end_of_word_suffix=suffix, cache_capacity=0))
-        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(),
+            pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.special = [t.content.casefold() for t in self.whole.get_added_tokens_decoder().values()]
         self.runs = Runs(self.words)
 
@@ -95,10 +96,12 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-_PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+_PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32",
+    pa.int64())])
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text",
+    ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece; with ids also its token ids."""
     end = np.array([end_id], "<u4").tobytes()
     width = capacity * 4
@@ -225,7 +228,8 @@ def pack(parts: DataFrame, capacity: int = 2048, block_rows: int = 500) -> DataF
     salted = parts.join(F.broadcast(salts), "length")  # at most `capacity` rows
     salted = salted.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts")).cast("int")).drop("salts")
     ranked = salted.selectExpr("*", "row_number() OVER (PARTITION BY length, salt ORDER BY doc_id, piece, ids_crc32) AS nth")
-    starts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).selectExpr("length", "salt", "sum(n) OVER (PARTITION BY length ORDER BY salt) - n AS first")
+    starts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).selectExpr("length", "salt",
+        "sum(n) OVER (PARTITION BY length ORDER BY salt) - n AS first")
     rows = ranked.join(starts, ["length", "salt"]).withColumn("rank", F.col("first") + F.col("nth") - 1).drop("salt", "nth", "first")
     sent = spark.sparkContext.broadcast(places)  # at most about `capacity` x 60 runs
     names = [c for c in rows.columns if c not in ("rank",)]
@@ -233,9 +237,11 @@ def pack(parts: DataFrame, capacity: int = 2048, block_rows: int = 500) -> DataF
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seq, off = sent.value.find(b.column("length").to_numpy(zero_copy_only=False), b.column("rank").to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(seq), pa.array(off)], names=[*names,
+                "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names) + ", sequence_id long, offset long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema
+        if f.name in names) + ", sequence_id long, offset long"
     return rows.mapInArrow(place, schema)
 
 

@@ -55,7 +55,8 @@ def features(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return slots, value / np.linalg.norm(value)
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], weight: dict[int, float], bits: int, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02) -> np.ndarray:
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]], weight: dict[int, float], bits: int, epochs: int = 4,
+    alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02) -> np.ndarray:
     """FTRL-proximal over (slots, values, label) in the given order; the last weight is the bias."""
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
 
@@ -76,7 +77,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], weight: dict[int, floa
     return weights(slice(None))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 3, fold: int = 1, per_class: int = 2048, bits: int = 18) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 3, fold: int = 1, per_class: int = 2048,
+    bits: int = 18) -> np.ndarray:
     """Weights learned from the labels outside the fold."""
     texts, total = sample(docs, training_rows(labels, label_col, folds, fold), per_class)
     if len(total) < 2:
@@ -92,17 +94,20 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: i
         for b in batches:
             found = [features(t, bits) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([s.astype(np.int32) for s, _ in found], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in found], pa.list_(pa.float32()))], names=["doc_id", "label", "slots", "vals"]
+                [b.column(0), b.column(1), pa.array([s.astype(np.int32) for s, _ in found], pa.list_(pa.int32())), pa.array(
+                    [v.astype(np.float32) for _, v in found], pa.list_(pa.float32()))], names=["doc_id", "label", "slots", "vals"]
             )
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(d, s, v, y) for b in batches for d, y, s, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), [np.array(x.values, np.int64) for x in b.column(2)], [np.array(x.values, np.float64) for x in b.column(3)], strict=True)]
+        rows = [(d, s, v, y) for b in batches for d, y, s, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(),
+            [np.array(x.values, np.int64) for x in b.column(2)], [np.array(x.values, np.float64) for x in b.column(3)], strict=True)]
         rows.sort(key=lambda r: (int(mix(np.array([r[0]], np.int64).view(np.uint64))[0]), r[0]))
         w = train([(s, v, y) for _, s, v, y in rows], weight, bits)
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(w[at])], names=["slot", "w"])
 
-    model = texts.select("doc_id", "label", "text").mapInArrow(vectors, "doc_id long, label int, slots array<int>, vals array<float>").repartition(1).mapInArrow(learn, "slot int, w double").toPandas()
+    model = texts.select("doc_id", "label", "text").mapInArrow(vectors,
+        "doc_id long, label int, slots array<int>, vals array<float>").repartition(1).mapInArrow(learn, "slot int, w double").toPandas()
     w = np.zeros((1 << bits) + 1)
     w[model["slot"].to_numpy()] = model["w"].to_numpy()
     return w
@@ -121,10 +126,12 @@ def score(docs: DataFrame, w: np.ndarray, folds: int = 3, fold: int = 1, id_col:
                 slots, values = features(t.as_py(), bits)
                 margin[i] = v[slots] @ values + v[-1]
             p = 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
+                names=["doc_id", "held_out", "score", "predicted"])
 
     key = F.col(id_col).cast("long")
-    return docs.select(key.alias("doc_id"), held_out(key, folds, fold).alias("held_out"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(key.alias("doc_id"), held_out(key, folds, fold).alias("held_out"), F.col(text_col).cast(
+        "string")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

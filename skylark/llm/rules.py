@@ -69,7 +69,8 @@ def base_counts(text: Column) -> Column:
         return F.struct(
             c["n"].alias("n_words"), F.char_length(c["j"]).cast("long").alias("word_chars"),
             (F.char_length(c["j"]) - F.char_length(F.regexp_replace(c["j"], r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
-            _let(F.filter(F.split(t, "\n"), lambda x: x.rlike(HAS_WORD)), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            _let(F.filter(F.split(t, "\n"), lambda x: x.rlike(HAS_WORD)), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast(
+                "long").alias("n_dup_lines"),
             c["r"].alias("n_repeat_words"), ((c["n"] < 20) | (c["r"] * 100 > c["n"] * 30)).alias("base_failed"),
         )
 
@@ -138,13 +139,16 @@ def depleted(
     rows = materialise(rows.join(at_stake, ["host", "line"], "left_semi"), "rules-at-stake")
     copies = _copies(texts, many, rows.select("host", "text_key").distinct(), own_words).withColumn("copy", F.lit(1))
     votes = rows.join(copies, ["host", "text_key"], "left").groupBy("host", "line")
-    frequent = votes.agg(F.sum(F.when(F.col("copy").isNull(), 1).otherwise(0)).alias("n"), F.max(F.coalesce("copy", F.lit(0))).alias("copy"))
+    frequent = votes.agg(F.sum(F.when(F.col("copy").isNull(), 1).otherwise(0)).alias("n"), F.max(
+        F.coalesce("copy", F.lit(0))).alias("copy"))
     frequent = frequent.where(F.col("n") + F.col("copy") > line_limit).select("host", "line")
-    return materialise(_poor(rows.join(poor, ["host", "text_key"], "left_semi").join(frequent, ["host", "line"]), left_percent), "rules-gone")
+    return materialise(_poor(rows.join(poor, ["host", "text_key"], "left_semi").join(frequent, ["host", "line"]), left_percent),
+        "rules-gone")
 
 
 def judge(
-    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", line_limit: int = 10, left_percent: int = 30
+    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", line_limit: int = 10,
+        left_percent: int = 30
 ) -> DataFrame:
     """The base counts and the verdict of every row."""
     text = F.col(text_col).cast("string")
@@ -166,7 +170,8 @@ def keep_documents(docs: DataFrame, line_limit: int = 10, left_percent: int = 30
 
 def op10_rules(spark, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
-    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "word_chars", "n_symbols",
+        "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 OP10_SQL = r"""
@@ -180,7 +185,8 @@ WITH d AS (
   SELECT r, i, array_to_string(w[i:i + 7], ' ') AS x FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 6, 1))) AS i FROM d)
 ), hits AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS n FROM win) WHERE n > 1
 ), rep AS (
-  SELECT r, sum(least(8, coalesce(nxt - i, 8))) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM hits) GROUP BY r
+  SELECT r, sum(least(8, coalesce(nxt - i, 8))) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM hits)
+ GROUP BY r
 ), base AS (
   SELECT d.r, doc_id, host, text, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
          length(array_to_string(w, '')) - length(regexp_replace(array_to_string(w, ''), '[#*$%&|<>]', '', 'g')) AS n_symbols,
@@ -189,7 +195,8 @@ WITH d AS (
 ), texts AS (SELECT DISTINCT host, text FROM d
 ), lines AS (
   SELECT DISTINCT host, text, line FROM (
-    SELECT host, text, trim(lower(regexp_replace(unnest(string_split(text, chr(10))), '[\x20\x09-\x0D]+', ' ', 'g'))) AS line FROM texts) WHERE line <> ''
+    SELECT host, text, trim(lower(regexp_replace(unnest(string_split(text, chr(10))), '[\x20\x09-\x0D]+', ' ', 'g'))) AS line
+ FROM texts) WHERE line <> ''
 ), marked AS (
   SELECT host, text, line, string_split(line, ' ') AS w FROM lines
 ), sized AS (
@@ -214,7 +221,8 @@ WITH d AS (
   SELECT host, text FROM (SELECT host, text, sum(words) AS removed FROM sized SEMI JOIN frequent USING (host, line) GROUP BY host, text)
   JOIN totals USING (host, text) WHERE (total - removed) * 100 < total * 30
 )
-SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT
+ AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND gone.text IS NULL AS kept
 FROM base LEFT JOIN gone USING (host, text)

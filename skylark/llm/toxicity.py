@@ -54,7 +54,8 @@ def _g2(a: Column, b: Column, na: int, nb: int) -> Column:
     for k, n in ((a, na), (b, nb)):
         e = (a + b) * n / (na + nb)
         f = n - e
-        out += F.when(k > 0, k * F.log(k / e)).otherwise(0.0) + F.when((F.lit(n) > k) & (f > 0), (n - k) * F.log((n - k) / f)).otherwise(0.0)
+        out += F.when(k > 0, k * F.log(k / e)).otherwise(0.0) + F.when((F.lit(n) > k) & (f > 0), (n - k) * F.log(
+            (n - k) / f)).otherwise(0.0)
     return 2 * out
 
 
@@ -94,10 +95,12 @@ class Finder:
 class BlockMax:
     """Examples under TF-IDF, normalised to length 1."""
 
-    def __init__(self, vectors: list[dict[int, int]], labels: list[int], ids: list[int], idf: np.ndarray, votes: dict[int, float], width: int = 64):
+    def __init__(self, vectors: list[dict[int, int]], labels: list[int], ids: list[int], idf: np.ndarray, votes: dict[int, float],
+        width: int = 64):
         self.idf, self.width = idf, width
         weighed = [self.vector(v) for v in vectors]
-        order = sorted(range(len(vectors)), key=lambda i: (int(weighed[i][0][np.argmax(weighed[i][1])]) if len(weighed[i][0]) else -1, ids[i]))
+        order = sorted(range(len(vectors)), key=lambda i: (int(weighed[i][0][np.argmax(weighed[i][1])]) if len(weighed[i][0])
+            else -1, ids[i]))
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.labels = np.array([labels[i] for i in order], np.int32)
         self.votes = np.array([votes[y] for y in self.labels], np.float64)
@@ -193,7 +196,8 @@ class Model:
             at, s = self.index.nearest(counts, self.k)
             vote = s * self.index.votes[at]
             p = (float(vote @ self.index.labels[at]) + self.pull * self.base) / (float(vote.sum()) + self.pull)
-            self._seen[key] = p, [{"doc_id": int(self.index.ids[i]), "similarity": float(x), "label": int(self.index.labels[i])} for i, x in zip(at[:3], s[:3], strict=True)]
+            self._seen[key] = p, [{"doc_id": int(self.index.ids[i]), "similarity": float(x), "label": int(self.index.labels[i])}
+                for i, x in zip(at[:3], s[:3], strict=True)]
         return self._seen[key]
 
     def _alike(self, text: str | None) -> tuple[float, list]:
@@ -218,7 +222,8 @@ def _different(texts: DataFrame) -> dict[tuple[int, int], np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = b.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(_crc, got), pa.int64()), pa.array([_sketch(t).tobytes() for t in got], pa.binary())], names=["doc_id", "label", "crc", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(_crc, got), pa.int64()),
+                pa.array([_sketch(t).tobytes() for t in got], pa.binary())], names=["doc_id", "label", "crc", "sketch"])
 
     rows = sorted(texts.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, crc long, sketch binary").collect())
     sketches = [np.frombuffer(r["sketch"], np.uint64) for r in rows]
@@ -233,7 +238,8 @@ def _different(texts: DataFrame) -> dict[tuple[int, int], np.ndarray]:
     return stay
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 5, fold: int = 0, per_class: int = 2048, strength: float = 24.0, k: int = 15, pull: float = 0.05) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 5, fold: int = 0, per_class: int = 2048,
+    strength: float = 24.0, k: int = 15, pull: float = 0.05) -> Model:
     """The terms, their idf over all docs, and the index of the labels outside the fold."""
     texts, total = sample(docs, training_rows(labels, label_col, folds, fold), per_class)
     n, share = sum(total.values()), (total.get(1, 0) / sum(total.values()) if total else 0.0)
@@ -252,15 +258,18 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int
                 got[y].update(terms_of(text))
                 got[y][""] += 1
         for y, c in got.items():
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([y] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], names=["term", "label", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([y] * len(c), pa.int32()),
+                pa.array(list(c.values()), pa.int64())], names=["term", "label", "n"])
 
-    counted = rows.select("doc_id", "label", "text").mapInArrow(count, "term string, label int, n long").groupBy("term").agg(F.sum(F.expr("if(label = 1, n, 0)")).alias("a"), F.sum(F.expr("if(label = 0, n, 0)")).alias("b"))
+    counted = rows.select("doc_id", "label", "text").mapInArrow(count, "term string, label int, n long").groupBy("term").agg(
+        F.sum(F.expr("if(label = 1, n, 0)")).alias("a"), F.sum(F.expr("if(label = 0, n, 0)")).alias("b"))
     counted = materialise(counted, "toxicity-terms")
     taken = next(((r["a"], r["b"]) for r in counted.where("term = ''").collect()), (0, 0))
     if not all(taken):
         return Model(Finder([]), None, share, share, k, pull)
     votes = {1: total[1] / taken[0], 0: total[0] / taken[1]}
-    tied = (F.col("a") * votes[1] >= F.col("b") * votes[0]) & (F.col("a") / taken[0] > F.col("b") / taken[1]) & (_g2(F.col("a"), F.col("b"), *taken) >= strength)
+    tied = (F.col("a") * votes[1] >= F.col("b") * votes[0]) & (F.col("a") / taken[0] > F.col("b") / taken[1]) & (_g2(F.col("a"),
+        F.col("b"), *taken) >= strength)
     terms = sorted(r["term"] for r in counted.where("term <> ''").where(tied).select("term").collect())
     finder = Finder(terms)
 
@@ -273,14 +282,17 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int
                     df[i] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(df), pa.int32()), pa.array(df[df > 0])], names=["term", "n"])
 
-    df = {r["term"]: r["n"] for r in docs.select(F.col("text").cast("string")).mapInArrow(frequency, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()} if terms else {}
+    df = {r["term"]: r["n"] for r in docs.select(F.col("text").cast("string")).mapInArrow(frequency, "term int, n long").groupBy(
+        "term").agg(F.sum("n").alias("n")).collect()} if terms else {}
     idf = np.array([math.log((1 + df.get(len(terms), 0)) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.array([(key, _crc(t)) in keys for key, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)], pa.bool_()))
+            b = b.filter(pa.array([(key, _crc(t)) in keys for key, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(),
+                strict=True)], pa.bool_()))
             found = [finder(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(_crc, b.column(2).to_pylist()), pa.int64()), pa.array([sorted(f.items()) for f in found], pa.map_(pa.int32(), pa.int32()))], names=["doc_id", "label", "crc", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(_crc, b.column(2).to_pylist()), pa.int64()),
+                pa.array([sorted(f.items()) for f in found], pa.map_(pa.int32(), pa.int32()))], names=["doc_id", "label", "crc", "counts"])
 
     examples = rows.select("doc_id", "label", "text").mapInArrow(vectors, "doc_id long, label int, crc long, counts map<int,int>").collect()
     examples.sort(key=lambda r: (r["doc_id"], r["crc"]))
@@ -288,7 +300,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int
     kept = [r for r in examples if r["counts"]]
     rest = [r for r in examples if not r["counts"]]
     copies = Copies([stay[r["doc_id"], r["crc"]] for r in rest])
-    about = [r["doc_id"] for r in rest], np.array([r["label"] for r in rest], np.int32), np.array([votes[r["label"]] for r in rest], np.float64)
+    about = [r["doc_id"] for r in rest], np.array([r["label"] for r in rest], np.int32), np.array([votes[r["label"]]
+        for r in rest], np.float64)
     index = None if not kept else BlockMax([r["counts"] for r in kept], [r["label"] for r in kept], [r["doc_id"] for r in kept], idf, votes)
     base = share
     return Model(finder, index, base, (bare[1] + share) / (sum(bare) + 1), k, pull, copies, about)
@@ -307,10 +320,12 @@ def score(docs: DataFrame, model: Model, folds: int = 5, fold: int = 0, id_col:
         for b in batches:
             got = [m(t.as_py()) for t in b.column(2)]
             p = np.array([g[0] for g in got], np.float64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array([g[1] for g in got], kind)], names=["doc_id", "held_out", "score", "predicted", "evidence"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32)),
+                pa.array([g[1] for g in got], kind)], names=["doc_id", "held_out", "score", "predicted", "evidence"])
 
     key = F.col(id_col).cast("long")
-    return docs.select(key.alias("doc_id"), held_out(key, folds, fold).alias("held_out"), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id long, held_out boolean, score double, predicted int, evidence {_EVIDENCE}")
+    return docs.select(key.alias("doc_id"), held_out(key, folds, fold).alias("held_out"), F.col(text_col).cast(
+        "string")).mapInArrow(run, f"doc_id long, held_out boolean, score double, predicted int, evidence {_EVIDENCE}")
 
 
 def keep_documents(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:

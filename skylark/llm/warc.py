@@ -55,7 +55,8 @@ HEADERS = {
 }
 _NUMBERS = {"payload_bytes", "page_id", "refers_to_page", "offset"}
 SCHEMA = ", ".join(f"{c} {'long' if c in _NUMBERS else 'string'}" for c in HEADERS) + ", payload binary, file string, offset long"
-_ARROW = pa.schema([(c, pa.int64() if c in _NUMBERS else pa.string()) for c in HEADERS] + [("payload", pa.binary()), ("file", pa.string()), ("offset", pa.int64())])
+_ARROW = pa.schema([(c, pa.int64() if c in _NUMBERS else pa.string()) for c in HEADERS] + [("payload", pa.binary()),
+    ("file", pa.string()), ("offset", pa.int64())])
 _SUFFIX = (".warc.gz", ".warc")
 HTTP = "application/http"
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -72,7 +73,8 @@ def member(header: bytes, payload: bytes, level: int = 6) -> bytes:
     body = c.compress(header) + c.flush(zlib.Z_SYNC_FLUSH) + c.compress(payload + b"\r\n\r\n") + c.flush()
     crc, size = zlib.crc32(payload + b"\r\n\r\n", zlib.crc32(header)), (len(header) + len(payload) + 4) & 0xFFFFFFFF
     total = 10 + 2 + 12 + len(body) + 8
-    return b"\x1f\x8b\x08\x04" + bytes(4) + b"\x00\xff" + struct.pack("<H", 12) + b"SL" + struct.pack("<HQ", 8, total) + body + struct.pack("<LL", crc, size)
+    return b"\x1f\x8b\x08\x04" + bytes(4) + b"\x00\xff" + struct.pack("<H", 12) + b"SL" + struct.pack("<HQ", 8,
+        total) + body + struct.pack("<LL", crc, size)
 
 
 def header_block(fields: dict[str, object], length: int) -> bytes:
@@ -87,7 +89,8 @@ def header_block(fields: dict[str, object], length: int) -> bytes:
 
 def http_message(payload: bytes, length: int | None) -> bytes:
     """A response message; its Content-Length is that of the full payload."""
-    return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % (len(payload) if length is None else length) + payload
+    return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % (len(payload)
+        if length is None else length) + payload
 
 
 def info_record(name: str, date: str, level: int) -> bytes:
@@ -309,7 +312,8 @@ def write_warc(records: DataFrame, path: str, level: int = 6) -> None:
     records.select(*cols).write.format(FORMAT).option("level", level).option("date", date).mode("append").save(path)
 
 
-def plan_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 1000) -> DataFrame:
+def plan_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
+    min_bytes: int = 1000) -> DataFrame:
     """Records of the pages, each marked as response or revisit by its payload."""
     body = F.coalesce(F.col(html_col).cast("binary"), F.lit(b""))
     p = pages.select(
@@ -317,13 +321,16 @@ def plan_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         F.octet_length(body).cast("long").alias("payload_bytes"), F.sha1(body).alias("payload_digest"),
     )
     large = p.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest")
-    groups = large.agg(F.max(F.struct("page_id", "target_uri")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first.page_id IS NOT NULL")
+    groups = large.agg(F.max(F.struct("page_id", "target_uri")).alias("first"), F.count(F.lit(1)).alias("n")).where(
+        "n > 1 AND first.page_id IS NOT NULL")
     # written first, so that Spark knows its size when it chooses the join; payloads are not shuffled to meet a small table
-    groups = materialise(groups.select("payload_digest", F.col("first.page_id").alias("first"), F.col("first.target_uri").alias("first_uri")), "warc-groups")
+    groups = materialise(groups.select("payload_digest", F.col("first.page_id").alias("first"), F.col("first.target_uri").alias(
+        "first_uri")), "warc-groups")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     of = lambda c: F.when(again, c)
     return p.join(groups, "payload_digest", "left").select(
-        "page_id", _uri(F.col("target_uri"), F.col("page_id")).alias("target_uri"), "payload_bytes", F.concat(F.lit("sha1:"), "payload_digest").alias("payload_digest"),
+        "page_id", _uri(F.col("target_uri"), F.col("page_id")).alias("target_uri"), "payload_bytes", F.concat(F.lit("sha1:"),
+            "payload_digest").alias("payload_digest"),
         F.when(again, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"),
         F.when(F.col("page_id").eqNullSafe(F.col("first")), _urn(F.col("page_id"))).alias("record_id"),
         of(_urn(F.col("first"))).alias("refers_to"), of(_uri(F.col("first_uri"), F.col("first"))).alias("refers_to_uri"),
@@ -339,7 +346,8 @@ def _uri(url: Column, page_id: Column) -> Column:
 def _urn(page_id: Column) -> Column:
     """The record id of a page that others refer to; other records draw theirs as they are written."""
     h = F.md5(F.concat(F.lit("page "), page_id.cast("string")))
-    parts = [F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("3"), F.substring(h, 14, 3)), F.concat(F.lit("8"), F.substring(h, 18, 3)), F.substring(h, 21, 12)]
+    parts = [F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("3"), F.substring(h, 14, 3)), F.concat(F.lit("8"),
+        F.substring(h, 18, 3)), F.substring(h, 21, 12)]
     return F.concat(F.lit("urn:uuid:"), F.concat_ws("-", *parts))
 
 
@@ -348,10 +356,12 @@ def op7_warc(spark, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     write_warc(plan_revisits(spark.read.parquet(f"{sf_dir}/pages.parquet")), path)
     responses = read_warc(spark, path).where("record_type = 'response'").select(
-        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to")
+        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"),
+            "record_type", F.lit(None).cast("long").alias("refers_to")
     )
     revisits = read_warc(spark, path, payload=False).where("record_type = 'revisit'").select(
-        "page_id", "payload_bytes", F.substring_index("payload_digest", ":", -1).alias("payload_digest"), "record_type", F.col("refers_to_page").alias("refers_to")
+        "page_id", "payload_bytes", F.substring_index("payload_digest", ":", -1).alias("payload_digest"), "record_type", F.col(
+            "refers_to_page").alias("refers_to")
     )
     return responses.unionByName(revisits)
 

@@ -16,10 +16,12 @@ def odd_rows():
     base = prose(rng, 120)
     near = base.split()
     near[50] = "changed"
-    texts = [None, "", "   \n\t", "one", base, base, " ".join(near), prose(rng, 30_000, 5_000), prose(rng, 60) + "\nshared line here\n" + prose(rng, 40), "Ünïcode … 中文 <|endoftext|> É", "a\x00b", "x" * 5000]
+    texts = [None, "", "   \n\t", "one", base, base, " ".join(near), prose(rng, 30_000, 5_000), prose(rng, 60)
+        + "\nshared line here\n" + prose(rng, 40), "Ünïcode … 中文 <|endoftext|> É", "a\x00b", "x" * 5000]
     texts += [prose(rng, rng.randint(25, 90)) + (" idiot" if k % 7 == 0 else "") for k in range(160)]
     rows = [(i, t, "en", f"s{i % 5}", len(t or ""), i, "s", "u", "d", "k", "y", "l", "s", "n", "p") for i, t in enumerate(texts)]
-    rows += [rows[20], rows[20], (None, prose(rng, 40), None, None, *[None] * 11), (None, None, None, None, *[None] * 11), (500, prose(rng, 40), None, None, *[None] * 11)]
+    rows += [rows[20], rows[20], (None, prose(rng, 40), None, None, *[None] * 11), (None, None, None, None, *[None] * 11), (500,
+        prose(rng, 40), None, None, *[None] * 11)]
     return rows
 
 

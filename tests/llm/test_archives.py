@@ -14,13 +14,16 @@ from skylark.llm import media, warc
 
 from .conftest import odd_rows
 
-PAGES = [(1, "u1", "<p>" + "a" * 2000), (2, "u2", "<p>" + "a" * 2000), (3, None, "b"), (4, "u\r\n4", "b"), (5, "u5", None), (None, "u6", "<p>" + "a" * 2000), (7, "u7", "é" * 600), (7, "u7", "é" * 600), (8, "u8", "c" * 999), (9, "u9", "c" * 999), (10, "u", "d" * 200_000)]
+PAGES = [(1, "u1", "<p>" + "a" * 2000), (2, "u2", "<p>" + "a" * 2000), (3, None, "b"), (4, "u\r\n4", "b"), (5, "u5", None), (None,
+    "u6", "<p>" + "a" * 2000), (7, "u7", "é" * 600), (7, "u7", "é" * 600), (8, "u8", "c" * 999), (9, "u9", "c" * 999), (10, "u",
+    "d" * 200_000)]
 
 
 @pytest.fixture(scope="module")
 def pages_dir(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("pages"))
-    spark.createDataFrame([(*p, "x", "y") for p in PAGES], "page_id long, url string, html string, payload string, first string").repartition(2).write.parquet(f"{d}/pages.parquet")
+    spark.createDataFrame([(*p, "x", "y") for p in PAGES],
+        "page_id long, url string, html string, payload string, first string").repartition(2).write.parquet(f"{d}/pages.parquet")
     return d
 
 
@@ -111,14 +114,16 @@ class Counting(io.BytesIO):
 
 def test_unwanted_payloads_are_not_read(tmp_path):
     body = np.random.default_rng(0).integers(0, 256, 500_000, dtype=np.uint8).tobytes()
-    data = b"".join(warc.member(warc.header_block({"record_type": "response" if i else "revisit", "page_id": i}, len(body)), body) for i in range(4))
+    data = b"".join(warc.member(warc.header_block({"record_type": "response" if i else "revisit", "page_id": i}, len(body)),
+        body) for i in range(4))
     f = Counting(data)
     got = [h["x-page-id"] for _, h, _ in warc.gz_records(f, len(data), lambda h: h["warc-type"] == "revisit", True)]
     assert got == ["0"] and f.total < 600_000
     import gzip
 
     plain = gzip.decompress(data)
-    assert [(h["x-page-id"], b == body) for _, h, b in warc.plain_records(io.BytesIO(plain), len(plain), lambda h: True, True)] == [(str(i), True) for i in range(4)]
+    assert [(h["x-page-id"], b == body) for _, h, b in warc.plain_records(io.BytesIO(plain), len(plain), lambda h: True,
+        True)] == [(str(i), True) for i in range(4)]
     other = gzip.compress(plain[: len(plain) // 4]) + gzip.compress(plain[len(plain) // 4 : len(plain) // 2])  # members without a length
     assert [b == body for *_, b in warc.gz_records(io.BytesIO(other), len(other), lambda h: True, True)] == [True, True]
     for cut in (len(plain) - 2000, len(plain) - 2, len(plain) // 4 + 20):
@@ -219,6 +224,7 @@ def test_png_filters(kind):
         guess = [0, left, up, (left + up) // 2, paeth][kind]
         raw.append(bytes([kind]) + ((line - guess) & 255).astype(np.uint8).tobytes())
         up = line
-    png = media._SIGNATURE + media._chunk(b"IHDR", struct.pack(">LLBBBBB", 192, 5, 8, 0, 0, 0, 0)) + media._chunk(b"IDAT", zlib.compress(b"".join(raw))) + media._chunk(b"IEND", b"")
+    png = media._SIGNATURE + media._chunk(b"IHDR", struct.pack(">LLBBBBB", 192, 5, 8, 0, 0, 0, 0)) + media._chunk(b"IDAT",
+        zlib.compress(b"".join(raw))) + media._chunk(b"IEND", b"")
     got, _ = media.decode_png(png)
     assert (got == image).all()

@@ -23,12 +23,15 @@ WORDS = {" ": 1.0}
 @pytest.mark.parametrize(
     ("page", "text"),
     [
-        (None, ""), ("", ""), ("no markup at &amp; all", "no markup at & all"), ("<article><p>a  b\n c</p><p>d<b>e</b></p></article>", "a b c de"), ("<script>if (a < b) {}</script><p>x</p><style>p{}</style>", "x"), ("<p>x<br>y</p>", "x y"),
+        (None, ""), ("", ""), ("no markup at &amp; all", "no markup at & all"), (
+            "<article><p>a  b\n c</p><p>d<b>e</b></p></article>", "a b c de"), (
+            "<script>if (a < b) {}</script><p>x</p><style>p{}</style>", "x"), ("<p>x<br>y</p>", "x y"),
         ("<nav>m m m</nav><article><h1>t</h1><p>one two</p><aside>no</aside><div class='ad big'>no</div><p>three</p></article><footer>f f</footer>", "t one two three"), ("<article><p>a</p><div class=comments><p>no</p></div></article>", "a"),
         ("<article><h2 id=header-files>Header files</h2><p class=ad-hoc>one</p><div class=share-price>two</div><p class=notice>three</p><p>a <math><mi>x</mi><mo>=</mo></math> b</p></article>", "Header files one two three a x= b"),
         ("<article><p>a a a a</p><button>open open open open open<p>b b b</p><svg><p>c c c</p><select><canvas><textarea><title><p>d d d d d d d d d d d d d d</p></article>", "a a a a open open open open open b b b c c c d d d d d d d d d d d d d d"), ("<article><p>a</p><button>no</button><select><option>no</select><svg><text>no</text></svg>b</article>", "a b"),
         ("<article><p title='class=ad id=menu'>a</p><div data-class=ad>b</div><div id=comments>no</div><div class='x sidebar-box'>no</div></article>", "a b"), ('<p>a</p><p title=">b</p><p>c</p>', "a b c"),
-        ("<p>a &lt;b&gt; &eacute;&#233;</p><!-- <p>no</p> -->", "a <b> éé"), ("<article><p>a</p><form>no<input></form><script>no", "a"), ("<article><div class='cookie-notice'>open <p>text</p></article>", "open text"), ("<p>1 < 2</p>", "1 < 2"),
+        ("<p>a &lt;b&gt; &eacute;&#233;</p><!-- <p>no</p> -->", "a <b> éé"), ("<article><p>a</p><form>no<input></form><script>no",
+            "a"), ("<article><div class='cookie-notice'>open <p>text</p></article>", "open text"), ("<p>1 < 2</p>", "1 < 2"),
     ],
 )
 def test_extract(page, text):
@@ -66,7 +69,8 @@ def test_best_run_is_the_maximum_subsequence():
     assert html_text.extract("<li>m<li>n</li><p>a b</p><p>c</p><li>o</li>", score) == "a b c"
 
 
-@pytest.mark.parametrize("page", ["<a" + " " * 400_000, "<a " * 200_000, '<a "' * 200_000 + ">", "<a '>' " * 100_000, "<textarea>" * 100_000, "<!--" * 100_000, "<p class=" * 100_000, "</p" * 200_000, "< " * 300_000, "<div>" * 100_000])
+@pytest.mark.parametrize("page", ["<a" + " " * 400_000, "<a " * 200_000, '<a "' * 200_000 + ">", "<a '>' " * 100_000,
+    "<textarea>" * 100_000, "<!--" * 100_000, "<p class=" * 100_000, "</p" * 200_000, "< " * 300_000, "<div>" * 100_000])
 def test_pages_are_read_in_linear_time(page):
     import time
 
@@ -85,7 +89,8 @@ def slow_counts(text):
 
 def test_rules_against_brute_force(spark, odd):
     rng = random.Random(9)
-    extra = [" ".join(rng.choices("ab", k=rng.randint(0, 60))) + "\n" * rng.randint(0, 2) + rng.choice(["x#$ y", "", "same\nsame\n same"]) for _ in range(80)]
+    extra = [" ".join(rng.choices("ab", k=rng.randint(0, 60))) + "\n" * rng.randint(0, 2) + rng.choice(
+        ["x#$ y", "", "same\nsame\n same"]) for _ in range(80)]
     texts = [r[1] for r in odd_rows()] + extra
     df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
     for r in rules.judge(df).collect():
@@ -115,9 +120,12 @@ def test_rules_count_near_copies_once_but_no_block_of_boilerplate(spark):
         rows += [(1000 * b + i, "\n".join([*block, prose(rng, 4 * b, 5000)]), f"host {b}") for i in range(40)]
     head = [prose(rng, 10, 5000) for _ in range(2)]
     copy = [prose(rng, 30, 5000) for _ in range(3)]
-    rows += [(i, "\n".join([*head, *copy, f"edit {i}"]), "hot") for i in range(40)] + [(100 + i, "\n".join([*head, prose(rng, 5, 5000)]), "hot") for i in range(12)]
-    rows += [(i, "\n".join([*head, *copy, f"edit {i}"]), "few") for i in range(200, 240)] + [(300 + i, "\n".join([*head, prose(rng, 5, 5000)]), "few") for i in range(9)]
-    kept = {r.doc_id: r.kept for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)).collect()}
+    rows += [(i, "\n".join([*head, *copy, f"edit {i}"]), "hot") for i in range(40)] + [(100 + i,
+        "\n".join([*head, prose(rng, 5, 5000)]), "hot") for i in range(12)]
+    rows += [(i, "\n".join([*head, *copy, f"edit {i}"]), "few") for i in range(200, 240)] + [(300 + i,
+        "\n".join([*head, prose(rng, 5, 5000)]), "few") for i in range(9)]
+    kept = {r.doc_id: r.kept for r in rules.judge(spark.createDataFrame(rows,
+        "doc_id long, text string, source string").repartition(5)).collect()}
     assert not any(v for i, v in kept.items() if i >= 1000)
     assert not any(kept[100 + i] for i in range(12)) and all(kept[i] for i in range(40))
     assert all(kept[i] for i in range(200, 240)) and all(kept[300 + i] for i in range(9))
@@ -207,7 +215,8 @@ def test_components(spark):
 
 def test_word_hashes_tell_words_apart():
     rng = random.Random(8)
-    text = " ".join("".join(rng.choices("abAB é中", k=rng.randint(1, 6))) for _ in range(3000)) + " " + "q" * 700 + " " + "q" * 701 + " " + "a" * 256 + "b" * 256 + " " + "b" * 256 + "a" * 256
+    text = " ".join("".join(rng.choices("abAB é中", k=rng.randint(1, 6))) for _ in range(
+        3000)) + " " + "q" * 700 + " " + "q" * 701 + " " + "a" * 256 + "b" * 256 + " " + "b" * 256 + "a" * 256
     for fold in (True, False):
         words = [w.translate({c: c + 32 for c in range(65, 91)}) if fold else w for w in WORD.findall(text)]
         h = common.word_hashes(text, fold).tolist()
@@ -271,7 +280,8 @@ def test_held_out_labels(spark, name, label, bad):
     if not os.path.exists(d):
         pytest.skip("no larger tables")
     labels = spark.read.parquet(f"{d}/labels.parquet")
-    got = registry.queries()[name](spark, d).where("held_out").join(labels, "doc_id").where(f"{label} IS NOT NULL").select("score", "predicted", F.col(label).alias("y")).toPandas()
+    got = registry.queries()[name](spark, d).where("held_out").join(labels, "doc_id").where(f"{label} IS NOT NULL").select(
+        "score", "predicted", F.col(label).alias("y")).toPandas()
     hit, wanted = got.predicted == bad, got.y == bad
     assert (hit & wanted).sum() >= 0.9 * wanted.sum() > 0 and (hit & wanted).sum() >= 0.9 * hit.sum() and got.score.between(0, 1).all()
     assert got.score.nunique() > 100
@@ -307,7 +317,8 @@ def test_ftrl_against_one_coordinate_at_a_time():
 
 
 def test_a_hot_id_does_not_fill_the_sample(spark):
-    docs = spark.createDataFrame([(1, f"text {i % 7}") for i in range(3000)] + [(i, "x" * 1000) for i in range(2, 40)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, f"text {i % 7}") for i in range(3000)] + [(i, "x" * 1000) for i in range(2, 40)],
+        "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, y int")
     rows = labelled.training_rows(labels, "y", 5, 0)
     texts, _ = labelled.sample(docs, rows, 100)
@@ -351,7 +362,8 @@ def test_stages(spark, odd, odd_dir):
     assert Counter(r.text for r in clean.collect()) == Counter(r[1] for r in rows if "idiot" not in (r[1] or ""))
     good = stages["quality_rules"](spark, docs, odd_dir)
     assert good.columns == docs.columns
-    assert Counter(r.text for r in good.collect()) == Counter(r[1] for r in rows if (c := slow_counts(r[1]))[0] >= 20 and 100 * c[4] <= 30 * c[0])
+    assert Counter(r.text for r in good.collect()) == Counter(r[1] for r in rows if (c := slow_counts(r[1]))[0] >= 20
+        and 100 * c[4] <= 30 * c[0])
     one = stages["near_duplicates"](spark, docs, odd_dir)
     assert one.columns == docs.columns
     ids = Counter(r.doc_id for r in one.collect())

@@ -51,7 +51,8 @@ def test_mix_meets_targets(odd):
 def test_every_source_meets_its_target(spark, d):
     docs = spark.read.parquet(f"/root/testdata/{d}/documents.parquet")
     for seed in (17, 18):
-        got = mixing.mix(docs, seed=seed).groupBy("source", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.expr("percentile(size, 0.2)").alias("short")).collect()
+        got = mixing.mix(docs, seed=seed).groupBy("source", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"),
+            F.expr("percentile(size, 0.2)").alias("short")).collect()
         assert len(got) == docs.select("source").distinct().count()
         assert all(abs(r.taken - r.target) <= max(0.02 * r.target, r.short) for r in got), [(r.source, r.taken, r.target) for r in got]
 
@@ -72,8 +73,10 @@ def test_equal_rows_are_dealt_by_number(spark):
 def test_mix_agrees_on_reruns_and_keeps_expectations(spark, odd):
     key = lambda df: Counter(map(tuple, df.select("doc_id", "source", "size", "copies").collect()))
     assert key(mixing.mix(odd, chunk=8)) == key(mixing.mix(odd.repartition(7), chunk=8))
-    even = spark.createDataFrame([(i, f"s{i % 2}", " ".join(["w"] * (1 + i % 7))) for i in range(600)], "doc_id long, source string, text string")
-    share = np.mean([[r.copies for r in mixing.mix(even, weights=(3, 1), seed=k, chunk=16).where("source = 's1'").orderBy("doc_id").collect()] for k in range(3)])
+    even = spark.createDataFrame([(i, f"s{i % 2}", " ".join(["w"] * (1 + i % 7))) for i in range(600)],
+        "doc_id long, source string, text string")
+    share = np.mean([[r.copies for r in mixing.mix(even, weights=(3, 1), seed=k, chunk=16).where("source = 's1'").orderBy(
+        "doc_id").collect()] for k in range(3)])
     assert 0.4 < share < 0.6
 
 
@@ -95,7 +98,8 @@ def test_shards_are_even_and_gapless(spark, odd):
     for r in rows:
         by[r.shard].append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
-    many = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot text").otherwise(F.repeat(F.lit("ab"), (F.col("id") % 50).cast("int"))).alias("text"))
+    many = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot text").otherwise(
+        F.repeat(F.lit("ab"), (F.col("id") % 50).cast("int"))).alias("text"))
     sums = sharding.shard(many).groupBy("shard").agg(F.sum("size").alias("b")).collect()
     mean = sum(r.b for r in sums) / 16
     assert len(sums) == 16 and all(abs(r.b - mean) < 2e-4 * mean + 60 for r in sums)  # a row has up to 60 bytes
@@ -181,7 +185,8 @@ def slow_two_fit(counts, capacity):
 def test_bins_hold_every_piece_once(seed):
     rng = np.random.default_rng(seed)
     capacity = int(rng.integers(5, 120))
-    counts = {int(n): int(rng.integers(1, 40)) for n in rng.choice(np.arange(1, capacity + 1), size=int(rng.integers(1, capacity)), replace=False)}
+    counts = {int(n): int(rng.integers(1, 40)) for n in rng.choice(np.arange(1, capacity + 1),
+        size=int(rng.integers(1, capacity)), replace=False)}
     bins = packing.pack_lengths(counts, capacity)
     held = Counter()
     for times, items in bins:
