@@ -6,6 +6,8 @@ from __future__ import annotations
 import atexit
 import re
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,6 +71,24 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+# --- what a worker keeps between its tasks
+
+_HELD: dict[str, Any] = {}
+
+
+def held(key: str, build: Callable[[], Any]) -> Any:
+    """The object of this key, built once a worker. A worker keeps one at a time."""
+    if key not in _HELD:
+        let_go()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
+def let_go() -> None:
+    """Drop what an earlier stage left in this worker, since Spark gives the same workers to all stages."""
+    _HELD.clear()
+
+
 # --- vectorised word hashes
 
 _RNG = np.random.default_rng(20240229)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _STEP, materialise, mix, shingle_hashes, word_hashes
+from .common import _STEP, let_go, materialise, mix, shingle_hashes, word_hashes
 from .components import components
 
 BANDS = 50
@@ -71,6 +71,7 @@ def signatures(docs: DataFrame, words: int, rows: int, id_col: str = "doc_id", t
     """doc_id, text_key, n, two set keys and bands of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         sign = Signer(rows)
         for b in batches:
             n, k1, k2, bands = [], [], [], []
@@ -143,6 +144,7 @@ def confirm(texts: DataFrame, words: int, percent: int, block: int, block_bytes:
         return [(keys[i], keys[int(r)]) for i, r in enumerate(label) if i != r]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         group, keys, bodies, out = None, [], [], []
         for b in batches:
             for g, k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):

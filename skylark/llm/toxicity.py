@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, shingle_hashes, word_hashes
+from .common import let_go, materialise, mix, shingle_hashes, word_hashes
 from .labelled import held_out, sample, training_rows
 
 _WORD = re.compile(r"\w+")
@@ -274,6 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int
     finder = Finder(terms)
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         df = np.zeros(len(terms) + 1, np.int64)
         for b in batches:
             for t in b.column(0):
@@ -315,6 +316,7 @@ def score(docs: DataFrame, model: Model, folds: int = 5, fold: int = 0, id_col:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         m = sent.value
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
         for b in batches:
@@ -334,6 +336,7 @@ def keep_documents(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFra
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         m = sent.value
         for b in batches:
             yield b.filter(pa.array([m(t.as_py())[0] < limit for t in b.column(at)], pa.bool_()))

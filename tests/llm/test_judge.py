@@ -1,9 +1,11 @@
 """Extraction, classifiers, rules, near duplicates and the pipeline."""
 
+import gc
 import math
 import os
 import random
 import re
+import weakref
 from collections import Counter
 
 import duckdb
@@ -399,3 +401,24 @@ def test_pipeline(spark, odd_dir, empty_dir):
     for items in by.values():
         items.sort()
         assert all(o == sum(n for _, n in items[:k]) for k, (o, _) in enumerate(items)) and sum(n for _, n in items) <= 2048
+
+
+def test_a_stage_drops_what_another_left_in_its_worker(spark, odd, odd_labels):
+    """Idle workers keep what they hold through the stages that run no Python, beside the heap of those."""
+    pytest.importorskip("public_tokenizers")
+
+    class Taken:
+        """Documents whose mapInArrow() returns the function that a worker would run."""
+
+        columns, schema, sparkSession = odd.columns, odd.schema, spark  # noqa: N815
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run  # noqa: E731, N815
+
+    path, model = packing.tokenizer_path(), toxicity.fit(odd, odd_labels)
+    works = [minhash.signatures(Taken(), 5, 6), toxicity.keep_documents(Taken(), model), toxicity.score(Taken(), model)]
+    for work in works:
+        left = weakref.ref(packing.encoder(path))
+        assert packing.encoder(path) is left()
+        assert list(work(iter([]))) == []
+        gc.collect()
+        assert left() is None
