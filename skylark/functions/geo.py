@@ -33,13 +33,19 @@ def inside_boxes(lat: Column, lng: Column, boxes: Sequence[tuple[float, float, f
 
 
 def inside_polygon(lat: Column, lng: Column, points: Sequence[tuple[float, float]]) -> Column:
-    """Whether a point is in the polygon: an odd number of edges lies to its east."""
-    crossings = F.lit(0)
-    for (a, b), (c, d) in zip(points, [*points[1:], points[0]], strict=True):
-        if a != c:
-            crossings += ((F.lit(a) > lat).cast("int") != (F.lit(c) > lat).cast("int")).cast("int") * (lng < F.lit(d - b) * (
-                lat - F.lit(a)) / F.lit(c - a) + F.lit(b)).cast("int")
-    return crossings % 2 == 1
+    """Whether a point is in the polygon: an odd number of edges lies to its east, and none runs through it."""
+    crossings, on_edge = F.lit(0), F.lit(False)
+    for p, q in zip(points, [*points[1:], points[0]], strict=True):
+        (a, b), (c, d) = sorted((p, q))  # neighbours that share an edge compute the same line
+        on_edge |= (lat == p[0]) & (lng == p[1])
+        if a == c:
+            on_edge |= (lat == a) & lng.between(b, d)
+        else:
+            slope = (d - b) / (c - a)
+            east, line = lng - lat * slope, b - a * slope
+            crossings += ((lat >= a) & (lat < c) & (east < line)).cast("int")
+            on_edge |= lat.between(a, c) & (east == line)
+    return (crossings % 2 == 1) & ~on_edge
 
 
 def precision(distance: Column, by: int | Sequence[tuple[int, int]] = 1) -> Column:

@@ -1,8 +1,10 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from skylark.functions import filters as ff
 from skylark.functions import geo
+from skylark.plans import catalog
 
 ROWS = [(1, "Apple", "x", 10.0, ["red", "big"]), (2, "Apple", "v", 20.0, ["red"]), (3, "Dell", "x", 30.0, []), (4, None, "q", None, None)]
 
@@ -75,3 +77,23 @@ def test_geo(spark):
     assert ids(df, geo.around(lat, lng, (48.85, 2.35), 400_000)) == [1, 2]
     assert ids(df, geo.around(lat, lng, (48.85, 2.35), 300_000)) == [1]
     assert ids(df, geo.inside_polygon(lat, lng, [(50, -2), (53, -2), (53, 2), (50, 2)])) == [2]
+
+
+def test_polygons_do_not_contain_their_edges(spark):
+    df = spark.createDataFrame([(1, 1.0, 1.0), (2, 0.0, 1.0), (3, 1.0, 0.0), (4, 2.0, 2.0), (5, 0.0, 0.0), (6, 3.0, 1.0), (7, 4.0, 0.0), (
+        8, 0.0, 4.0), (9, None, 1.0), (10, -1.0, 1.0), (11, 0.0, 5.0), (12, 0.5, 3.0)], "id int, lat double, lng double")
+    corners = [(0, 0), (4, 0), (0, 4)]
+    for points in (corners, corners[::-1], corners[1:] + corners[:1]):
+        assert ids(df, geo.inside_polygon(F.col("lat"), F.col("lng"), points)) == [1, 12]
+    dart = [(0, 0), (2, 4), (0, 2), (-2, 4)]  # not convex: (0, 2) is a corner that points inwards
+    df = spark.createDataFrame([(1, 0.0, 1.0), (2, 0.0, 2.0), (3, 0.0, 3.0), (4, 1.0, 2.0), (5, 1.0, 2.5), (6, 1.0, 3.0), (7, 0.0, -1.0)],
+        "id int, lat double, lng double")
+    assert ids(df, geo.inside_polygon(F.col("lat"), F.col("lng"), dart)) == [1, 5]
+
+
+def test_geo_polygon_on_every_coordinate(spark, tmp_path):
+    spark.range(61200).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r.object_id for r in catalog.geo_polygon(spark, str(tmp_path)).collect()}
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    assert got == {r[0] for r in duck.sql(catalog.SQL["geo_polygon"]).fetchall()}
