@@ -2,34 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skylark.operators import matching
+from skylark.session import work_path
 
 
 def _best(rows: DataFrame, group: str, n: int, *keys: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*keys))).where(F.col("rank") <= n)
 
 
-def bought_together(baskets: DataFrame, basket: str, item: str, n: int = 3, least: int = 2, block: int = 512) -> DataFrame:
+def _tasks(spark: SparkSession, rows: int, each: int) -> int:
+    return max(spark.sparkContext.defaultParallelism, -(-rows // each))
+
+
+def basket_blocks(baskets: DataFrame, basket: str, item: str, block: int = 512, each: int = 1_000_000) -> DataFrame:
+    """basket, x, blocks, items: the different items of every basket of two or more, in order, cut into `blocks` rows of up
+    to `block` items, x from 0. It is stored, since its readers count it before they deal it out."""
+    spark, w = baskets.sparkSession, Window.partitionBy("basket").orderBy("item")
+    rows = baskets.select(F.col(basket).alias("basket"), F.col(item).alias("item")).where("basket IS NOT NULL")
+    at = rows.repartition(_tasks(spark, baskets.count(), each), "basket").withColumn("at", F.dense_rank().over(w))
+    once = at.withColumn("before", F.lag("at", 1, 0).over(w)).where("before < at")
+    sized = once.withColumn("size", F.max("at").over(Window.partitionBy("basket"))).where("size >= 2")
+    blocks = sized.groupBy("basket", F.floor((F.col("at") - 1) / block).alias("x"), F.ceil(F.col("size") / block).alias(
+        "blocks")).agg(F.collect_list("item").alias("items"))
+    path = work_path(spark, "baskets")
+    blocks.write.parquet(path)
+    return spark.read.schema(blocks.schema).parquet(path)
+
+
+def item_pairs(blocks: DataFrame, tasks: int) -> DataFrame:
+    """item, other: each two items of a basket once, item < other. Every two blocks of a basket meet in one of so many tasks."""
+    many = blocks.where("blocks > 1")
+    left = many.select("basket", "x", F.explode(F.sequence("x", F.col("blocks") - 1)).alias("y"), F.col("items").alias("left"))
+    right = many.select("basket", F.explode(F.sequence(F.lit(0).cast("long"), "x")).alias("x"), F.col("x").alias("y"), F.col(
+        "items").alias("right"))
+    whole = blocks.where("blocks = 1").select("basket", "x", F.col("x").alias("y"), F.col("items").alias("left"), F.col(
+        "items").alias("right"))
+    met = whole.unionByName(left.join(right, ["basket", "x", "y"])).repartition(tasks, "basket", "x", "y")
+    return met.select(F.explode("left").alias("item"), "right").select("item", F.explode("right").alias("other")).where("item < other")
+
+
+def bought_together(baskets: DataFrame, basket: str, item: str, n: int = 3, least: int = 2, block: int = 512,
+    each: int = 1_000_000) -> DataFrame:
     """item, other, together, lift, rank of items in common baskets.
 
-    A basket pairs its own items by equality of its id. The items of a large one are dealt over blocks of
-    about `block`, every two of which meet by themselves, so no task pairs a whole basket."""
-    b = baskets.select(basket, item).distinct()
-    sized = b.join(b.groupBy(basket).agg(F.count(F.lit(1)).alias("size")).where("size >= 2"), basket).withColumn("blocks", F.ceil(
-        F.col("size") / block))
-    alone = sized.groupBy(item).agg(F.count(F.lit(1)).alias("n"))
-    total = sized.agg(F.count_distinct(basket).alias("baskets"))
-    own, each = F.pmod(F.xxhash64(item), "blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    left = sized.select(F.col(basket).alias("basket"), F.col(item).alias("item"), own.alias("x"), each.alias("y"))
-    right = sized.select(F.col(basket).alias("basket"), F.col(item).alias("other"), each.alias("x"), own.alias("y"))
-    pairs = left.join(right, ["basket", "x", "y"]).where("item <> other")
-    joint = pairs.groupBy("item", "other").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= least)
-    scored = joint.join(alone.select(F.col(item).alias("item"), F.col("n").alias("n_item")), "item").join(alone.select(
-        F.col(item).alias("other"), F.col("n").alias("n_other")), "other").join(F.broadcast(total))
-    lift = F.round(F.col("together") * F.col("baskets") / (F.col("n_item") * F.col("n_other")), 6)
+    No task pairs a whole basket of more than `block` items. Rows and pairs are counted first and dealt to tasks of
+    about `each`, so a task's memory does not follow the input."""
+    count, size = F.count(F.lit(1)), F.size("items").cast("long")
+    blocks = basket_blocks(baskets, basket, item, block, each)
+    total, n_pairs = blocks.agg(F.count_if(F.col("x") == 0), F.coalesce(F.sum(size * (size - 1) / 2 + size * block * (
+        F.col("blocks") - 1 - F.col("x"))), F.lit(0)).cast("long")).first()
+    tasks = _tasks(baskets.sparkSession, n_pairs, each)
+    joint = item_pairs(blocks, tasks).groupBy("item", "other").agg(count.alias("together")).where(F.col("together") >= least)
+    ways = [F.struct(F.col(a).alias("item"), F.col(o).alias("other"), "together") for a, o in (("item", "other"), ("other", "item"))]
+    # lift decides only between pairs that `together` leaves equal; they may be many, so these are dealt out as well
+    near = joint.select(F.explode(F.array(*ways)).alias("p")).select("p.*").repartition(tasks, "item").withColumn("place", F.rank(
+        ).over(Window.partitionBy("item").orderBy(F.desc("together")))).where(F.col("place") <= n)
+    alone = blocks.select(F.explode("items").alias("item")).groupBy("item").agg(count.alias("n"))
+    scored = near.join(alone.select("item", F.col("n").alias("n_item")), "item").repartition(tasks, "other").join(alone.select(
+        F.col("item").alias("other"), F.col("n").alias("n_other")), "other")
+    lift = F.round(F.col("together") * F.lit(total).cast("long") / (F.col("n_item") * F.col("n_other")), 6)
     return _best(scored.select("item", "other", "together", lift.alias("lift")), "item", n, F.desc("together"), F.desc("lift"),
         F.col("other"))
 

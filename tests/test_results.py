@@ -1,10 +1,12 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from skylark.operators import analytics as an
 from skylark.operators import facets, merchandising, ranking, recommend
+from skylark.plans import catalog
 from skylark.plans.search import Index, IndexSettings, SearchRequest
 
 
@@ -141,3 +143,29 @@ def test_pairs_of_large_baskets_count(spark):
     for more in ({}, {"block": 40}):
         got = recommend.bought_together(df, "basket", "item", n=1000, **more).collect()
         assert len(got) == len(want) and {(r.item, r.other, r.together, r.lift) for r in got} == want
+
+
+def test_pairs_are_dealt_to_tasks_by_their_number(spark):
+    rng = random.Random(5)
+    rows = [(k, i) for k in range(3000) for i in rng.sample(range(400), 6)] + [(-1, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "basket long, item long")
+    got = recommend.item_pairs(recommend.basket_blocks(df, "basket", "item", 100, 2000), 45)
+    tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 3000 * 15 + 300 * 299 // 2 and max(tasks) <= 2000 + 2 * 100 * 100
+    blocks = recommend.basket_blocks(df, "basket", "item", 100, 2000).where("basket = -1").orderBy("x").collect()
+    assert [(b.x, b.blocks, sorted(b["items"])) for b in blocks] == [(k, 3, list(range(100 * k, 100 * k + 100))) for k in range(3)]
+    plan = recommend.bought_together(df, "basket", "item", each=2000)._jdf.queryExecution().toString()
+    assert plan.count(f", {-(-(3000 * 15 + 300 * 299 // 2) // 2000)}), REPARTITION_BY_NUM") >= 2
+
+
+def test_also_bought_with_missing_and_repeated_values(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, *range(40)]), rng.choice([None, *range(30)])) for _ in range(400)] + [(99, None), (99, 1), (98, None), (97, 2)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([], "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/none/lineitem.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = duck.sql(catalog.SQL["also_bought"])
+    got = catalog.also_bought(spark, str(tmp_path))
+    assert sorted(tuple(r[c] for c in want.columns) for r in got.collect()) == sorted(want.fetchall())
+    assert catalog.also_bought(spark, f"{tmp_path}/none").count() == 0
